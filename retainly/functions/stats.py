@@ -146,3 +146,56 @@ def kolmogorov_sf(lam: float, terms: int = 100) -> float:
         return 1.0
     s = sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, terms + 1))
     return min(1.0, max(0.0, 2 * s))
+
+
+def unpivot_values(df: DataFrame, cols: list[str], name_col: str = "column", value_col: str = "value",
+                   keep: list[str] | None = None) -> DataFrame:
+    """Long (column, value) rows via ``inline`` of a struct array (no union of scans)."""
+    keep = keep or []
+    structs = [F.struct(F.lit(c).alias(name_col), F.col(c).cast("double").alias(value_col)) for c in cols]
+    return df.select(*keep, F.inline(F.array(*structs)))
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
+    """Linearly interpolated quantiles (numpy 'linear' = DuckDB quantile_cont) per column.
+
+    ``exact``: all columns are unpivoted and ranked by ONE distributed sort
+    (range partitioning on (column, value, tiebreak)); only the 2 rows per
+    (column, prob) around position (n-1)q are kept. Memory per task is
+    bounded by the partition size, not by the number of distinct values,
+    and a value shared by a third of the rows is still split across tasks by
+    the tiebreak. ``approx``: ``percentile_approx`` sketches (bounded memory,
+    one pass) for when approximate edges are acceptable.
+
+    Returns (column, prob, value); nulls are ignored; empty column -> null.
+    """
+    from ..functions.ranking import rank_within_groups
+
+    if method == "approx":
+        wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), 100000).alias(f"q{i}")
+                        for i, c in enumerate(cols)])
+        parts = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"q{i}")[j].alias("value"))
+                 for i, c in enumerate(cols) for j, p in enumerate(probs)]
+        return wide.select(F.inline(F.array(*parts)))
+    long = (df.select(F.monotonically_increasing_id().alias("_tb"),
+                      F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])))
+            .filter(F.col("value").isNotNull()))
+    ranked = rank_within_groups(long, ["column"], ["value", "_tb"], out="_r")
+    pos = (F.col("_group_n") - 1) * F.col("prob")
+    lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+    cand = (ranked.select("column", "value", "_r", "_group_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+            .filter((F.col("_r") == lo) | (F.col("_r") == hi)))
+    g = cand.groupBy("column", "prob").agg(
+        F.max(F.when(F.col("_r") == lo, F.col("value"))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == hi, F.col("value"))).alias("_vhi"),
+        F.max(pos - F.floor(pos)).alias("_frac"))
+    res = g.select("column", "prob", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+    # columns that are entirely null still get rows (value null)
+    allp = df.sparkSession.createDataFrame([(c, float(p)) for c in cols for p in probs], "column string, prob double")
+    return allp.join(res, ["column", "prob"], "left")
+
+
+def quantile_scalar(qdf: DataFrame, column: str, prob: float):
+    """Scalar-subquery column for one (column, prob) of a ``quantiles`` result."""
+    return qdf.filter((F.col("column") == column) & (F.col("prob") == float(prob))).select("value").scalar()

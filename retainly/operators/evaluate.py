@@ -212,13 +212,13 @@ def noise_robustness(df: DataFrame, key: str, features: list[str], predict, labe
     +/- ``clip`` std around the value; ``predict`` maps a DataFrame of
     features to a column ``pred``.
     """
-    stds = df.agg(*[F.stddev_pop(c).alias(c) for c in features])
+    stds = df.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()  # fitted: one value per feature
     lv = F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level")
     base = predict(df).select(key, label, F.col("pred").alias("_pred0"), *features)
     fan = base.select("*", lv)
     noisy = {}
     for c in features:
-        sd = stds.select(c).scalar()
+        sd = F.lit(stds[c]).cast("double")
         z = F.greatest(F.lit(-clip), F.least(F.lit(clip), gaussian(seed, F.col(key), F.col("level"), F.lit(c))))
         noisy[c] = F.col(c) + F.col("level") * z * sd
     pert = predict(fan.withColumns(noisy))

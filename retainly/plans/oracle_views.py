@@ -101,10 +101,21 @@ run_log AS (
           FROM (SELECT *, sum(neg) OVER (PARTITION BY run_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below
                 FROM bt_auc_g) GROUP BY run_id) a ON a.run_id = m.run_id))"""
 
-_ORDER = ["CHURN_BASE", "SCORED", "PREDICTIONS", "REGION_DIM", "BACKTEST"]
+PROCESSED = """
+processed AS (
+  SELECT c_custkey, n_orders,
+         coalesce(CAST(spend AS DOUBLE), (SELECT quantile_cont(spend, 0.5) FROM churn_base)) AS spend,
+         coalesce(CAST(recency_days AS DOUBLE), (SELECT quantile_cont(recency_days, 0.5) FROM churn_base)) AS recency_days,
+         coalesce(CAST(tenure_days AS DOUBLE), (SELECT quantile_cont(tenure_days, 0.5) FROM churn_base)) AS tenure_days,
+         n_urgent, CAST(coalesce(sc.code, -1) AS INTEGER) AS c_mktsegment, c_nationkey, c_acctbal, churn
+  FROM churn_base LEFT JOIN (
+    SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+    FROM (SELECT DISTINCT c_mktsegment AS v FROM churn_base WHERE c_mktsegment IS NOT NULL)) sc ON sc.v = c_mktsegment)"""
+
+_ORDER = ["CHURN_BASE", "SCORED", "PREDICTIONS", "REGION_DIM", "PROCESSED", "BACKTEST"]
 _TEXT = {"CHURN_BASE": CHURN_BASE, "SCORED": SCORED, "PREDICTIONS": PREDICTIONS, "REGION_DIM": REGION_DIM,
-         "BACKTEST": BACKTEST}
-_DEPS = {"SCORED": ["CHURN_BASE"], "PREDICTIONS": ["SCORED"], "BACKTEST": []}
+         "PROCESSED": PROCESSED, "BACKTEST": BACKTEST}
+_DEPS = {"SCORED": ["CHURN_BASE"], "PREDICTIONS": ["SCORED"], "PROCESSED": ["CHURN_BASE"], "BACKTEST": []}
 
 
 def with_views(body: str, *views: str, extra: str = "") -> str:

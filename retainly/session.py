@@ -23,6 +23,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false"))
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", os.environ.get("RETAINLY_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
