@@ -36,3 +36,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
     """(column, simple type) from the schema; no data is read."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def check_rows(df: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Several checks over the SAME aggregate row(s), emitted by one ``inline`` (one scan, no union).
+
+    ``specs``: (name, subject, actual Column, expected str, passed Column[, fail_status]).
+    """
+    structs = []
+    for spec in specs:
+        name, subject, actual, expected, passed = spec[:5]
+        fail = spec[5] if len(spec) > 5 else FAILED
+        subj = F.lit(subject) if isinstance(subject, str) else subject
+        status = F.when(passed.isNull(), F.lit(UNKNOWN)).when(passed, F.lit(PASSED)).otherwise(F.lit(fail))
+        structs.append(F.struct(F.lit(name).alias("check"), subj.cast("string").alias("subject"),
+                                actual.cast("double").alias("actual"), F.lit(expected).alias("expected"),
+                                status.alias("status")))
+    return df.select(F.inline(F.array(*structs)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import check_row, union_all
+from ..functions.checks import check_row, check_rows, union_all
 from ..functions.hashing import seeded_md5
 from ..functions.ranking import rank_within_groups
 
@@ -245,22 +245,24 @@ def check_offers(predictions: DataFrame, prob: str = "p", offer: str = "Retentio
 def check_priority(predictions: DataFrame, priority: str = "Priority_Score") -> DataFrame:
     a = predictions.agg(F.count_if((F.col(priority) < 0) | (F.col(priority) > 100)).alias("bad"),
                         F.min(priority).alias("mn"), F.max(priority).alias("mx"))
-    return union_all([
-        check_row(a, "priority_range", priority, F.col("bad"), "0 outside [0,100]", F.col("bad") == 0),
-        check_row(a, "priority_min", priority, F.col("mn"), ">= 0", F.col("mn") >= 0),
-        check_row(a, "priority_max", priority, F.col("mx"), "<= 100", F.col("mx") <= 100),
+    return check_rows(a, [
+        ("priority_range", priority, F.col("bad"), "0 outside [0,100]", F.col("bad") == 0),
+        ("priority_min", priority, F.col("mn"), ">= 0", F.col("mn") >= 0),
+        ("priority_max", priority, F.col("mx"), "<= 100", F.col("mx") <= 100),
     ])
 
 
 def check_budget(plan: DataFrame, budget_limit: float = 10000.0, segment: str = "Risk_Segment") -> DataFrame:
     cost = campaign_cost(plan, budget_limit, segment)
-    tot = cost.filter(F.col("segment") == "TOTAL")
-    segs = cost.filter(F.col("segment") != "TOTAL")
-    return union_all([
-        check_row(tot, "budget_total", "TOTAL", F.col("total_cost"), f"<= {budget_limit}", F.col("total_cost") <= budget_limit),
-        check_row(segs, "budget_segment_count", F.col("segment"), F.col("customer_count"), "> 0", F.col("customer_count") > 0),
-        check_row(segs, "budget_segment_cost", F.col("segment"), F.col("total_cost"), f"<= {budget_limit}", F.col("total_cost") <= budget_limit),
-    ])
+    tot = F.col("segment") == "TOTAL"
+    rows = cost.select(F.inline(F.array(
+        F.struct(F.when(tot, "budget_total").alias("check"), F.col("total_cost").alias("v"), (F.col("total_cost") <= budget_limit).alias("ok")),
+        F.struct(F.when(~tot, "budget_segment_count").alias("check"), F.col("customer_count").cast("double").alias("v"), (F.col("customer_count") > 0).alias("ok")),
+        F.struct(F.when(~tot, "budget_segment_cost").alias("check"), F.col("total_cost").alias("v"), (F.col("total_cost") <= budget_limit).alias("ok")))),
+        F.col("segment")).filter(F.col("check").isNotNull())
+    return rows.select("check", F.col("segment").alias("subject"), F.col("v").alias("actual"),
+                       F.when(F.col("check") == "budget_segment_count", "> 0").otherwise(f"<= {budget_limit}").alias("expected"),
+                       F.when(F.col("ok"), "PASSED").otherwise("FAILED").alias("status"))
 
 
 def offer_disparity(plan: DataFrame, attributes: list[str], threshold: float = 0.1,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import check_row, union_all
+from ..functions.checks import check_row, check_rows, union_all
 from ..functions.hashing import gaussian
 from ..functions.ranking import prefix_sum
 
@@ -142,9 +142,9 @@ def brier(df: DataFrame, label: str = "churn", score: str = "p") -> DataFrame:
 
 
 def check_model_metrics(metrics: DataFrame, min_auc: float = 0.75, min_f1: float = 0.55) -> DataFrame:
-    return union_all([
-        check_row(metrics, "min_auc", "auc", F.col("auc"), f">= {min_auc}", F.col("auc") >= min_auc),
-        check_row(metrics, "min_f1", "f1", F.col("f1"), f">= {min_f1}", F.col("f1") >= min_f1),
+    return check_rows(metrics, [
+        ("min_auc", "auc", F.col("auc"), f">= {min_auc}", F.col("auc") >= min_auc),
+        ("min_f1", "f1", F.col("f1"), f">= {min_f1}", F.col("f1") >= min_f1),
     ])
 
 
@@ -167,14 +167,14 @@ def confusion_matrix(df: DataFrame, label: str = "churn", pred: str = "pred", mi
 
 def check_predictions_complete(df: DataFrame, cols=("pred", "p")) -> DataFrame:
     a = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return union_all([check_row(a, "predictions_complete", c, F.col(c), "0 nulls", F.col(c) == 0) for c in cols])
+    return check_rows(a, [("predictions_complete", c, F.col(c), "0 nulls", F.col(c) == 0) for c in cols])
 
 
 def check_prediction_columns(df: DataFrame, cols=("pred", "p")) -> DataFrame:
     present = set(df.columns)
     one = df.sparkSession.range(1)
-    return union_all([check_row(one, "prediction_column", c, F.lit(1.0 if c in present else 0.0), "present",
-                                F.lit(c in present)) for c in cols])
+    return check_rows(one, [("prediction_column", c, F.lit(1.0 if c in present else 0.0), "present",
+                             F.lit(c in present)) for c in cols])
 
 
 def check_positive_rate(df: DataFrame, pred: str = "pred", min_rate: float = 0.1, max_rate: float = 0.35) -> DataFrame:

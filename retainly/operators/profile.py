@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import FAILED, PASSED, WARNING, check_row, union_all
+from ..functions.checks import FAILED, PASSED, WARNING, check_row, check_rows, union_all
 from ..functions.stats import numeric_columns, quantiles
 
 # ---- fixed values (reference keyword list and patterns) ----
@@ -122,14 +122,13 @@ def check_types(df: DataFrame, coerce: dict[str, Column], numeric_required: list
     """Values failing numeric coercion per expression (> ``max_bad`` FAILED) and required numeric types."""
     items = list(coerce.items())
     a = df.agg(*[F.count_if(e.try_cast("double").isNull()).alias(f"b{i}") for i, (_, e) in enumerate(items)])
-    parts = [check_row(a, "numeric_coercion", name, F.col(f"b{i}"), f"<= {max_bad} failures", F.col(f"b{i}") <= max_bad)
+    specs = [("numeric_coercion", name, F.col(f"b{i}"), f"<= {max_bad} failures", F.col(f"b{i}") <= max_bad)
              for i, (name, _) in enumerate(items)]
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    one = df.sparkSession.range(1)
     for c in numeric_required:
         ok = types.get(c, "").split("(")[0] in ("bigint", "int", "double", "float")
-        parts.append(check_row(one, "numeric_type", c, F.lit(1.0 if ok else 0.0), "bigint/int/double/float", F.lit(ok)))
-    return union_all(parts)
+        specs.append(("numeric_type", c, F.lit(1.0 if ok else 0.0), "bigint/int/double/float", F.lit(ok)))
+    return check_rows(a, specs)
 
 
 def check_missing_threshold(df: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -142,9 +141,9 @@ def check_missing_threshold(df: DataFrame, threshold: float = 1.0) -> DataFrame:
 def check_target_domain(df: DataFrame, label: str, allowed: list) -> DataFrame:
     a = df.agg(F.count_if(~F.coalesce(F.col(label).isin(*allowed), F.lit(False))).alias("bad"),
                F.avg(F.when(F.col(label) == allowed[-1], 1.0).otherwise(0.0)).alias("rate"))
-    return union_all([
-        check_row(a, "target_domain", label, F.col("bad"), f"in {allowed}", F.col("bad") == 0),
-        check_row(a, "target_positive_rate", label, F.round(F.col("rate") * 100, 2), "reported", F.lit(True)),
+    return check_rows(a, [
+        ("target_domain", label, F.col("bad"), f"in {allowed}", F.col("bad") == 0),
+        ("target_positive_rate", label, F.round(F.col("rate") * 100, 2), "reported", F.lit(True)),
     ])
 
 
@@ -163,10 +162,10 @@ def check_all_numeric(df: DataFrame) -> DataFrame:
 def check_scaling(df: DataFrame, cols: list[str], max_abs_mean: float = 0.1) -> DataFrame:
     """Mean and sample std of scaled columns; |mean| < ``max_abs_mean`` passes."""
     wide = df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))])
-    return union_all([
+    return check_rows(wide, [
         x for i, c in enumerate(cols) for x in (
-            check_row(wide, "scaled_mean", c, F.round(F.col(f"m{i}"), 6) + 0.0, f"|x| < {max_abs_mean}", F.abs(F.col(f"m{i}")) < max_abs_mean),
-            check_row(wide, "scaled_std", c, F.round(F.col(f"s{i}"), 6), "reported", F.lit(True)))])
+            ("scaled_mean", c, F.round(F.col(f"m{i}"), 6) + 0.0, f"|x| < {max_abs_mean}", F.abs(F.col(f"m{i}")) < max_abs_mean),
+            ("scaled_std", c, F.round(F.col(f"s{i}"), 6), "reported", F.lit(True)))])
 
 
 def check_cardinality(df: DataFrame, cols: list[str] | None = None, max_unique: int = 50, exact: bool = True) -> DataFrame:
@@ -174,8 +173,8 @@ def check_cardinality(df: DataFrame, cols: list[str] | None = None, max_unique:
     cols = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     fn = F.count_distinct if exact else F.approx_count_distinct
     wide = df.agg(*[fn(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    return union_all([check_row(wide, "cardinality", c, F.col(f"d{i}"), f"<= {max_unique}", F.col(f"d{i}") <= max_unique)
-                      for i, c in enumerate(cols)])
+    return check_rows(wide, [("cardinality", c, F.col(f"d{i}"), f"<= {max_unique}", F.col(f"d{i}") <= max_unique)
+                             for i, c in enumerate(cols)])
 
 
 def check_constant(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -183,11 +182,11 @@ def check_constant(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     wide = df.agg(*[x for i, c in enumerate(cols) for x in (
         F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.count(c).alias(f"n{i}"))])
-    parts = []
+    specs = []
     for i, c in enumerate(cols):
         const = (F.col(f"n{i}") > 0) & (F.col(f"lo{i}") == F.col(f"hi{i}"))
-        parts.append(check_row(wide, "constant", c, const.cast("double"), "not constant", ~const))
-    return union_all(parts)
+        specs.append(("constant", c, const.cast("double"), "not constant", ~const))
+    return check_rows(wide, specs)
 
 
 def check_pii_columns(df: DataFrame, pii_fields: list[str]) -> DataFrame:
