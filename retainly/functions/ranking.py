@@ -8,8 +8,11 @@ shifted by the row counts of earlier partitions. The offsets table has one
 row per partition, so broadcasting it is bounded by the partition count,
 not by the data.
 
-The ordering must be total (end with a unique key) so a recomputed task
-reproduces the same numbers after an executor loss.
+The ordering must be total (end with a unique key). The range-partitioned
+frame is materialised once with a reliable checkpoint (in the cluster's
+checkpoint folder): range bounds come from sampling, and a sample taken
+over shuffle output depends on fetch order, so the counts and the rows
+must come from the same materialisation, also after an executor loss.
 """
 
 from __future__ import annotations
@@ -17,15 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    ranged = reliable_checkpoint(
+        df.repartitionByRange(n, *order_cols)
+        .sortWithinPartitions(*order_cols)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
@@ -60,7 +66,7 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value: str, out: str = "pre
     keys = [*group_cols, *order_cols]
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = reliable_checkpoint(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
     offsets = totals.select("_pid", F.sum("_tot").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
