@@ -157,3 +157,20 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import clean
     d = clean.impute_median(churn_base(spark, sf_dir), IMPUTED)
     return clean.encode_categoricals(d, ["c_mktsegment"])
+
+
+def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
+    """Run history: one scorecard evaluation per backtest cut (metrics at 6 dp)."""
+    from ..operators import evaluate as E
+    s = score(backtest_base(spark, sf_dir, n_runs))
+    cm = E.confusion_counts(s, "churn", "pred", ["run_id"])
+    auc = E.auc_exact(s, "churn", "p", ["run_id"]).select("run_id", "auc")
+    dates = s.groupBy("run_id").agg(F.date_format(F.min("cut_ts"), "yyyy-MM-dd").alias("run_date"))
+    m = E.metric_columns(None)
+    n = F.col("n").cast("double")
+    return (cm.join(auc, "run_id").join(dates, "run_id")
+            .select("run_id", "run_date", F.lit("scorecard").alias("model_type"),
+                    F.round("auc", 6).alias("auc"), F.round(m["f1"], 6).alias("f1"), F.round(m["recall"], 6).alias("recall"),
+                    F.round(m["precision"], 6).alias("precision"), F.round(m["accuracy"], 6).alias("accuracy"),
+                    F.col("n").alias("n_rows"), F.round((F.col("tp") + F.col("fn")) / n, 6).alias("positive_rate"),
+                    F.round((F.col("tp") + F.col("fp")) / n, 6).alias("predicted_rate")))
