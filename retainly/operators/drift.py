@@ -121,12 +121,12 @@ def root_cause(runs: DataFrame, base_prev: DataFrame, base_cur: DataFrame, key_f
     hyp = cur.select(F.inline(F.array(
         F.struct(F.lit("hypothesis").alias("item"), F.lit("Data Drift").alias("detail"), n_shift.cast("double").alias("value"),
                  F.when(n_shift > 2, "HIGH").when(n_shift > 0, "MEDIUM").alias("confidence")),
-        F.struct(F.lit("hypothesis"), F.lit("Model Algorithm Change"), F.lit(None).cast("double"),
-                 F.when(F.col("c.model_type") != F.col("p.model_type"), "MEDIUM")),
-        F.struct(F.lit("hypothesis"), F.lit("Small Test Set"), F.col("c.n_rows").cast("double"),
-                 F.when(F.col("c.n_rows") < min_test_rows, "MEDIUM")),
-        F.struct(F.lit("hypothesis"), F.lit("Class Imbalance"), F.round(F.col("c.positive_rate"), 6),
-                 F.when((F.col("c.positive_rate") < rate_range[0]) | (F.col("c.positive_rate") > rate_range[1]), "MEDIUM")),
+        F.struct(F.lit("hypothesis").alias("item"), F.lit("Model Algorithm Change").alias("detail"), F.lit(None).cast("double").alias("value"),
+                 F.when(F.col("c.model_type") != F.col("p.model_type"), "MEDIUM").alias("confidence")),
+        F.struct(F.lit("hypothesis").alias("item"), F.lit("Small Test Set").alias("detail"), F.col("c.n_rows").cast("double").alias("value"),
+                 F.when(F.col("c.n_rows") < min_test_rows, "MEDIUM").alias("confidence")),
+        F.struct(F.lit("hypothesis").alias("item"), F.lit("Class Imbalance").alias("detail"), F.round(F.col("c.positive_rate"), 6).alias("value"),
+                 F.when((F.col("c.positive_rate") < rate_range[0]) | (F.col("c.positive_rate") > rate_range[1]), "MEDIUM").alias("confidence")),
     ))).filter(F.col("confidence").isNotNull())
     unknown = cur.select(F.lit("hypothesis").alias("item"), F.lit("Unknown / Multiple Factors").alias("detail"),
                          F.lit(None).cast("double").alias("value"), F.lit("LOW").alias("confidence"))

@@ -274,7 +274,7 @@ def run_ttest(runs: DataFrame, significance: float = 0.05, min_runs: int = 4) ->
     z = last / (std + 0.001)
     return runs.sparkSession.range(1).select(
         n.alias("n_runs"), F.when(n >= min_runs, F.round(t, 6)).alias("t_stat"), F.when(n >= min_runs, dof).cast("bigint").alias("dof"),
-        F.round(mo, 6).alias("older_mean"), F.round(mn, 6).alias("newer_mean"),
+        F.round(mo, 7).alias("older_mean"), F.round(mn, 7).alias("newer_mean"),
         F.round(last, 6).alias("auc_delta"), F.round(z, 6).alias("z_score"), (F.abs(z) > 1.96).cast("int").alias("meaningful"))
 
 
