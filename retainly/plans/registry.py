@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, QuerySpec]:
     # importing the binding modules fills the registry
-    from . import (q_campaign, q_evaluate, q_explain, q_features, q_ml, q_profile, q_summary)  # noqa: F401
+    from . import (q_campaign, q_evaluate, q_explain, q_features, q_ml, q_profile, q_stream, q_summary)  # noqa: F401
     return REGISTRY
