@@ -208,3 +208,20 @@ def q_calibrate(spark, sf):
     fit_part, cal_part = train.filter(F.col("fold") != 0), train.filter(F.col("fold") == 0)
     base = M.make_model("gbt", len(FEATS), **PARAMS["gbt"]).fit(fit_part)
     return M.calibrate(cal_part, test, base, "isotonic")
+
+
+def _train_rows(spark, sf):
+    train, _ = ml_data(spark, sf)
+    return train.select(KEY, *FEATS, F.col("label").cast("int").alias(LABEL))
+
+
+@register("smote")
+def q_smote(spark, sf):
+    from ..operators.resample import smote
+    return smote(_train_rows(spark, sf), FEATS, LABEL, KEY, k=5)
+
+
+@register("adasyn")
+def q_adasyn(spark, sf):
+    from ..operators.resample import adasyn
+    return adasyn(_train_rows(spark, sf), FEATS, LABEL, KEY, k=5)
