@@ -205,3 +205,20 @@ FROM scored, (SELECT -sum(q * log2(q)) / log2(10.0) AS entropy FROM (
 GROUP BY e.entropy""", "SCORED"))
 def q_probability_distribution(spark, sf):
     return E.probability_distribution(V.scored(spark, sf))
+
+
+@register("check_overfit", with_views("""
+SELECT 'overfit_gap' AS "check", 'train_auc - test_auc' AS subject, round(tr - te, 6) AS actual, '<= 0.05' AS expected,
+       CASE WHEN tr - te IS NULL THEN 'UNKNOWN' WHEN tr - te <= 0.05 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM (SELECT max(auc) FILTER (WHERE split = 'train') AS tr, max(auc) FILTER (WHERE split = 'test') AS te FROM (
+  SELECT split, sum(pos * (coalesce(nb, 0) + neg / 2.0)) / nullif(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
+  FROM (SELECT *, sum(neg) OVER (PARTITION BY split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb
+        FROM (SELECT split, p, count(*) FILTER (WHERE churn = 1) AS pos, count(*) FILTER (WHERE churn = 0) AS neg FROM (
+                SELECT *, CASE WHEN row_number() OVER (PARTITION BY churn ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey)
+                                    <= ceil(count(*) OVER (PARTITION BY churn) * 0.2) THEN 'test' ELSE 'train' END AS split FROM scored)
+              GROUP BY split, p))
+  GROUP BY split))""", "SCORED"))
+def q_check_overfit(spark, sf):
+    from ..operators import split as SP
+    s = SP.stratified_split(V.scored(spark, sf), "churn", "c_custkey", 0.2, 42)
+    return E.check_overfit(s, "split", "churn", "p", 0.05)
