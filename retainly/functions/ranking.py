@@ -39,18 +39,38 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "row_number",
             .drop("_pid", "_local", "_off"))
 
 
-def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "rank") -> DataFrame:
-    """Row number inside each group, computed from one global numbering.
+def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "rank",
+                       max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Row number inside each group (plus ``_group_n``, the group size) from one global numbering.
 
     Works for few, huge groups (class labels, segments): no window is
     partitioned by the group key, so a group holding a third of all rows
-    is still spread over many tasks.
+    is still spread over all tasks. The only table joined back to the rows
+    has one row per (partition, group) run, broadcast after a size check.
     """
-    numbered = global_row_number(df, [*group_cols, *order_cols], out="_g")
-    first = numbered.groupBy(*group_cols).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_group_n"))
-    return (numbered.join(first, group_cols)
-            .withColumn(out, F.col("_g") - F.col("_first") + 1)
-            .drop("_first", "_g"))
+    keys = [*group_cols, *order_cols]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = reliable_checkpoint(
+        df.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    runs = ranked.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("_local").alias("_first"))
+    pid_off = (runs.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
+               .select("_pid", F.coalesce(F.sum("_pc").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0)).alias("_poff")))
+    runs = runs.join(pid_off, "_pid").withColumn("_gstart", F.col("_poff") + F.col("_first"))
+    groups = runs.groupBy(*group_cols).agg(F.min("_gstart").alias("_gmin"), F.sum("_c").alias("_group_n"))
+    g_renamed = groups.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_gmin", "_group_n")
+    cond = [runs[c].eqNullSafe(g_renamed[f"_g_{c}"]) for c in group_cols]
+    table = runs.join(g_renamed, cond).select("_pid", *[F.col(c).alias(f"_t_{c}") for c in group_cols], "_poff", "_gmin", "_group_n")
+    if table.count() <= max_broadcast_rows:
+        table = F.broadcast(table)
+    cond = [ranked["_pid"] == table["_pid"]] + [ranked[c].eqNullSafe(table[f"_t_{c}"]) for c in group_cols]
+    return (ranked.join(table, cond)
+            .withColumn(out, F.col("_poff") + F.col("_local") - F.col("_gmin") + 1)
+            .drop("_pid", "_local", "_poff", "_gmin", *[f"_t_{c}" for c in group_cols])
+            .drop(table["_pid"]))
 
 
 def prefix_sum(df: DataFrame, order_cols: list[str], value: str, out: str = "prefix",

@@ -225,8 +225,9 @@ def pii_counts(texts: dict[str, DataFrame], text_col: str = "text", patterns: di
     """Regex match counts per (source, type) over whole texts; only counts leave the executors."""
     parts = []
     for src, df in texts.items():
-        wide = df.agg(*[F.sum(F.regexp_count(F.col(text_col), F.lit(p))).alias(f"t{j}") for j, p in enumerate(patterns.values())],
-                      *[F.count_if(F.regexp_count(F.col(text_col), F.lit(p)) > 0).alias(f"r{j}") for j, p in enumerate(patterns.values())])
+        counts = df.select(*[F.regexp_count(F.col(text_col), F.lit(p)).alias(f"c{j}") for j, p in enumerate(patterns.values())])
+        wide = counts.agg(*[F.sum(f"c{j}").alias(f"t{j}") for j in range(len(patterns))],
+                          *[F.count_if(F.col(f"c{j}") > 0).alias(f"r{j}") for j in range(len(patterns))])
         parts.append(wide.select(F.inline(F.array(*[
             F.struct(F.lit(src).alias("source"), F.lit(n).alias("pii_type"),
                      F.coalesce(F.col(f"t{j}"), F.lit(0)).cast("bigint").alias("n_matches"),

@@ -168,7 +168,9 @@ def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
     dates = s.groupBy("run_id").agg(F.date_format(F.min("cut_ts"), "yyyy-MM-dd").alias("run_date"))
     m = E.metric_columns(None)
     n = F.col("n").cast("double")
-    return (cm.join(auc, "run_id").join(dates, "run_id")
+    from ..session import reliable_checkpoint
+    # one row per run: materialised once so every rule over the history reads 4 rows, not the backtest
+    return reliable_checkpoint(cm.join(auc, "run_id").join(dates, "run_id")
             .select("run_id", "run_date", F.lit("scorecard").alias("model_type"),
                     F.round("auc", 6).alias("auc"), F.round(m["f1"], 6).alias("f1"), F.round(m["recall"], 6).alias("recall"),
                     F.round(m["precision"], 6).alias("precision"), F.round(m["accuracy"], 6).alias("accuracy"),
