@@ -201,7 +201,9 @@ def budget_allocation(plan: DataFrame, total_budget: float = 10000.0, min_custom
     df = plan.withColumns({"Offer_Cost": offer_cost(), "Estimated_Retention_Rate": rate})
     df = df.withColumns({"Expected_Value": F.col("Estimated_Retention_Rate") * CUSTOMER_LIFETIME_VALUE})
     df = df.withColumn("ROI_Score", F.col("Expected_Value") / (F.col("Offer_Cost") + 0.01))
-    agg = (df.groupBy(F.col(segment).alias("seg"))
+    # rank first (materialised once), then the per-segment aggregate reads the materialised rows
+    ranked = rank_within_groups(df.withColumn("_neg_pri", -F.col(priority)), [segment], ["_neg_pri", key], out="_r")
+    agg = (ranked.groupBy(F.col(segment).alias("seg"))
            .agg(F.count(F.lit(1)).alias("n"), F.max("Offer_Cost").alias("cost"), F.max("ROI_Score").alias("roi")))
     rows = sorted((r.asDict() for r in agg.collect()), key=lambda r: (-(r["roi"] or 0), r["seg"] or ""))
     if len(rows) > len(SEGMENT_LABELS) + 1:
@@ -209,7 +211,6 @@ def budget_allocation(plan: DataFrame, total_budget: float = 10000.0, min_custom
     take = _budget_quotas(rows, total_budget, min_customers_per_segment)
     spark = plan.sparkSession
     quotas = spark.createDataFrame([(k, int(v)) for k, v in take.items()], "seg string, quota bigint")
-    ranked = rank_within_groups(df.withColumn("_neg_pri", -F.col(priority)), [segment], ["_neg_pri", key], out="_r")
     return (ranked.join(F.broadcast(quotas), F.col(segment) == F.col("seg"), "left")
             .withColumn("Included_in_Optimized_Plan", (F.col("_r") <= F.coalesce("quota", F.lit(0))).cast("int"))
             .drop("_neg_pri", "_r", "_group_n", "seg", "quota"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_row, check_rows
@@ -89,11 +89,11 @@ def mutual_information(df: DataFrame, features: list[str], label: str, n_bins: i
     """
     bins = fit_bins(df, features, n_bins)
     long = binned_long(df, features, label, bins)
+    # one pass over the rows; marginals come from the (small) joint table
     joint = long.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("n_xy"))
-    nx = long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_x"))
-    ny = long.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("n_y"))
-    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    j = joint.join(nx, ["feature", "bin"]).join(ny, ["feature", "_y"]).join(n, "feature")
+    j = (joint.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("feature", "bin")))
+         .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("feature", "_y")))
+         .withColumn("n", F.sum("n_xy").over(Window.partitionBy("feature"))))
     mi = j.groupBy("feature").agg(F.sum(F.col("n_xy") / F.col("n") * F.log(F.col("n_xy") * F.col("n") / (F.col("n_x") * F.col("n_y")))).alias("mi"))
     corr = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
     corr_long = corr.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in features])))

@@ -80,9 +80,14 @@ def q_check_leaderboard(spark, sf):
                           ("leaderboard_f1", "max_f1", F.col("f1"), ">= 0.55", F.col("f1") >= 0.55)])
 
 
-@register("check_automl_input", with_views("""
-SELECT 'target_present' AS "check", 'churn' AS subject, 1.0::DOUBLE AS actual, 'present' AS expected, 'PASSED' AS status
-UNION ALL SELECT 'all_numeric', 'features', 0.0::DOUBLE, '0 string columns', 'PASSED'"""))
+@register("check_automl_input", with_views(f"""
+SELECT 'target_present' AS "check", 'churn' AS subject, CAST(count(*) FILTER (WHERE column_name = 'churn') AS DOUBLE) AS actual,
+       'present' AS expected, CASE WHEN count(*) FILTER (WHERE column_name = 'churn') = 1 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM (DESCRIBE processed)
+UNION ALL
+SELECT 'all_numeric', 'features', CAST(count(*) FILTER (WHERE column_type = 'VARCHAR') AS DOUBLE), '0 string columns',
+       CASE WHEN count(*) FILTER (WHERE column_type = 'VARCHAR') = 0 THEN 'PASSED' ELSE 'FAILED' END
+FROM (DESCRIBE processed) WHERE column_name IN ({", ".join(repr(x) for x in FEATS)})""", "PROCESSED"))
 def q_check_automl_input(spark, sf):
     p = V.processed(spark, sf).select(*FEATS, LABEL)
     strings = [f.name for f in p.schema.fields if f.dataType.simpleString() == "string"]

@@ -20,6 +20,7 @@ LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TABLE_NCOLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
                "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 Q = '"column"'
+PII_FIELDS = ["c_name", "c_phone", "c_address", "email", "customerID"]
 
 
 def _round_doubles(df, digits=6):
@@ -147,8 +148,11 @@ def q_check_no_nulls(spark, sf):
     return PR.check_no_nulls(V.processed(spark, sf))
 
 
-@register("check_all_numeric", """SELECT 'all_numeric' AS "check", '-' AS subject, 0.0::DOUBLE AS actual,
- '0 string columns' AS expected, 'PASSED' AS status""")
+@register("check_all_numeric", with_views("""
+SELECT 'all_numeric' AS "check", coalesce(string_agg(column_name, ',' ORDER BY column_name), '-') AS subject,
+       CAST(count(column_name) AS DOUBLE) AS actual, '0 string columns' AS expected,
+       CASE WHEN count(column_name) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM (SELECT column_name FROM (DESCRIBE processed) WHERE column_type = 'VARCHAR')""", "PROCESSED"))
 def q_check_all_numeric(spark, sf):
     return PR.check_all_numeric(V.processed(spark, sf))
 
@@ -190,11 +194,10 @@ def q_check_constant(spark, sf):
     return PR.check_constant(V.processed(spark, sf), PROC_COLS)
 
 
-PII_FIELDS = ["c_name", "c_phone", "c_address", "email", "customerID"]
-
-
-@register("check_pii_columns", """SELECT 'pii_removed' AS "check", '-' AS subject, 0.0::DOUBLE AS actual,
- '0 PII columns' AS expected, 'PASSED' AS status""")
+@register("check_pii_columns", with_views(f"""
+SELECT 'pii_removed' AS "check", coalesce(string_agg(column_name, ','), '-') AS subject, CAST(count(column_name) AS DOUBLE) AS actual,
+       '0 PII columns' AS expected, CASE WHEN count(column_name) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM (SELECT column_name FROM (DESCRIBE processed) WHERE column_name IN ({", ".join(repr(x) for x in PII_FIELDS)}))""", "PROCESSED"))
 def q_check_pii_columns(spark, sf):
     return PR.check_pii_columns(V.processed(spark, sf), PII_FIELDS)
 
