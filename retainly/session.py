@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing ``df`` once to the shared checkpoint folder.
+
+    Default: ``Dataset.checkpoint`` (reliable, in the cluster's checkpoint
+    folder); ``RETAINLY_MATERIALIZE=parquet`` writes a Parquet table under
+    ``<checkpoint dir>/tables`` and reads it back instead (slower here, but a
+    plain table other jobs can reuse).
+    Either way the result no longer depends on recomputing its lineage, so
+    every consumer sees identical rows even after an executor loss.
+    """
+    d = ensure_checkpoint_dir(df.sparkSession)
+    if os.environ.get("RETAINLY_MATERIALIZE", "checkpoint") == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = f"{d.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
