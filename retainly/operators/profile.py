@@ -240,8 +240,8 @@ def freshness(sources: dict[str, tuple[DataFrame, str]], as_of: str, max_age_hou
     parts = []
     for name, (df, ts) in sources.items():
         a = df.agg(F.max(ts).alias("_mx"))
-        age = (F.unix_micros(F.lit(as_of).cast("timestamp_ntz").cast("timestamp"))
-               - F.unix_micros(F.col("_mx").cast("timestamp"))) / 3.6e9
+        # difference of wall-clock values: no session time zone involved (NTZ stays NTZ)
+        age = F.timestamp_diff("MICROSECOND", F.col("_mx").cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz")) / 3.6e9
         parts.append(a.select(F.lit(name).alias("source"), F.round(age, 6).alias("age_hours")))
     u = union_all(parts)
     return u.withColumn("status", F.when(F.col("age_hours") <= max_age_hours, "FRESH").otherwise("STALE"))

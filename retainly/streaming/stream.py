@@ -43,15 +43,20 @@ def drift_stream(events: DataFrame, ts: str = "ts", key: str = "event_type", val
                  window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Watermarked tumbling-window count and mean per key (state bounded by the open windows).
 
-    TIMESTAMP_NTZ is cast to TIMESTAMP (session time zone UTC) because
-    watermarks need it. Rows later than the watermark are dropped by Spark;
+    Watermarks need TIMESTAMP; the NTZ wall clock is mapped to the instant
+    it denotes in UTC through epoch microseconds, so windows and their
+    labels do not depend on the session time zone. Rows later than the watermark are dropped by Spark;
     in append mode a window is emitted once it closes. ``attach_baseline``
     compares the emitted windows with a static baseline (one row per key).
     """
-    e = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    # wall clock -> instant as UTC without the session time zone: epoch micros of the NTZ value
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    e = (events.withColumn("_ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))))
+         .withWatermark("_ts", delay))
     agg = (e.groupBy(F.window("_ts", window).alias("w"), F.col(key))
            .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value")))
-    return agg.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), key, "n", "mean_value")
+    start = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")), epoch)  # back to wall clock (NTZ)
+    return agg.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), key, "n", "mean_value")
 
 
 def attach_baseline(windows: DataFrame, baseline: DataFrame, key: str = "event_type", threshold_pct: float = 10.0) -> DataFrame:
