@@ -25,10 +25,10 @@ from ..session import reliable_checkpoint
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # without an explicit count AQE may coalesce adjacent ranges; order across partitions is preserved
+    ranged_in = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
     ranged = reliable_checkpoint(
-        df.repartitionByRange(n, *order_cols)
+        ranged_in
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
@@ -49,9 +49,9 @@ def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list, o
     has one row per (partition, group) run, broadcast after a size check.
     """
     keys = [*group_cols, *order_cols]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # no explicit partition count: AQE may coalesce adjacent ranges (order is preserved)
     ranked = reliable_checkpoint(
-        df.repartitionByRange(n, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
@@ -84,9 +84,7 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value: str, out: str = "pre
     """
     group_cols = list(group_cols or [])
     keys = [*group_cols, *order_cols]
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    ranged = reliable_checkpoint(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
     offsets = totals.select("_pid", F.sum("_tot").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
