@@ -21,7 +21,9 @@ HEADLINE = [
     "campaign_cost", "budget_allocation", "ab_groups", "auc_exact", "threshold_sweep", "classification_report",
     "describe_numeric", "outlier_iqr_cap", "standard_scale", "pii_counts", "duplicates", "dedup_exact",
     "ks_drift", "mean_shift_drift", "woe_iv", "mutual_information", "stratified_split", "fold_distribution",
-    "shapley_global", "group_fairness", "run_ttest", "pipeline_summary", "score_batch", "train_gbt", "stream_drift",
+    "shapley_global", "group_fairness", "run_ttest", "pipeline_summary", "train_gbt",
+    "persist_model", "score_batch",  # fit + save the pipeline, then batch scoring with the saved model
+    "stream_score", "stream_drift",
 ]
 
 
