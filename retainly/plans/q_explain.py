@@ -151,7 +151,33 @@ def q_counterfactual_feasibility(spark, sf):
     return X.counterfactual_feasibility(ch, "c_custkey", rules)
 
 
-@register("explanation_stability")
+def _stability_sql():
+    feats = list(TERM_SQL)
+    def u(tag, f):
+        return (f"((('0x' || substr(md5(concat_ws(':', '5{tag}', CAST(c_custkey AS VARCHAR), CAST(copy AS VARCHAR), '{f}')), 1, 8))::BIGINT"
+                f" + 0.5) / 4294967296.0)")
+    def z(f):
+        return f"(sqrt(-2.0 * ln({u('a', f)})) * cos({2 * 3.141592653589793!r} * {u('b', f)}))"
+    base = ", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, (e, _) in TERM_SQL.items())
+    st = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in feats)
+    noisy = ", ".join(f"{f} + CASE WHEN copy = 0 THEN 0.0 ELSE {z(f)} * 0.01 * s_{f} END AS {f}" for f in feats)
+    phi = " UNION ALL ".join(f"SELECT c_custkey, copy, '{f}' AS feature, {w} * ({f} - m_{f}) AS phi FROM fan, st" for f, (_, w) in TERM_SQL.items())
+    return with_views(f"""
+SELECT c_custkey, round(stability, 6) AS stability,
+       CASE WHEN stability >= 0.9 THEN 'HIGHLY STABLE' WHEN stability >= 0.7 THEN 'STABLE' WHEN stability >= 0.5 THEN 'MODERATE'
+            ELSE 'UNSTABLE' END AS status
+FROM (SELECT c_custkey, avg(r) AS stability FROM (
+        SELECT p.c_custkey, p.copy, corr(p.phi, b.phi) AS r
+        FROM phi p JOIN phi b ON b.c_custkey = p.c_custkey AND b.feature = p.feature AND b.copy = 0
+        WHERE p.copy > 0 GROUP BY p.c_custkey, p.copy)
+      GROUP BY c_custkey)""", "SCORED", extra=f"""
+base AS (SELECT c_custkey, {base} FROM scored),
+st AS (SELECT {st} FROM base),
+fan AS (SELECT c_custkey, copy, {noisy} FROM base, st, (SELECT range AS copy FROM range(0, 11))),
+phi AS ({phi})""")
+
+
+@register("explanation_stability", _stability_sql())
 def q_explanation_stability(spark, sf):
     return X.explanation_stability(V.scored(spark, sf), "c_custkey", terms(), n_copies=10)
 

@@ -54,7 +54,15 @@ def leaderboard(spark, sf):
     return _memo("leaderboard", spark, sf, build)
 
 
-@register("automl_setup")
+@register("automl_setup", with_views("""
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_rows, round(avg(CAST(churn AS DOUBLE)), 6) AS positive_rate, 8 AS n_features,
+       round((1 - (SELECT avg(CAST(churn AS DOUBLE)) FROM tr)) / (SELECT avg(CAST(churn AS DOUBLE)) FROM tr), 6) AS positive_class_weight
+FROM (SELECT *, (row_number() OVER (ORDER BY churn, md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) - 1) % 5 AS fold FROM tr)
+GROUP BY fold""", "PROCESSED", extra="""
+tr AS (SELECT * FROM (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY churn ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey)
+                      <= ceil(count(*) OVER (PARTITION BY churn) * 0.2) THEN 'test' ELSE 'train' END AS split FROM processed)
+  WHERE split = 'train')"""))
 def q_automl_setup(spark, sf):
     train, _ = ml_data(spark, sf)
     pos_rate = train.agg(F.avg("label")).scalar()
