@@ -135,16 +135,60 @@ def q_local_surrogate(spark, sf):
     return X.local_surrogate(_plan_features(spark, sf), "c_custkey", CF_FEATURES, _score_fn, n_samples=64, top_n=8)
 
 
-@register("counterfactuals")
+def _cf_cte():
+    f = CF_FEATURES
+
+    def u(tag, *parts):
+        inner = ", ".join(["'42" + tag + "'", "CAST(c_custkey AS VARCHAR)", "CAST(it AS VARCHAR)", *parts])
+        return f"((('0x' || substr(md5(concat_ws(':', {inner})), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+    def z(c):
+        return f"(sqrt(-2.0 * ln({u('va', repr(c))})) * cos({2 * 3.141592653589793!r} * {u('vb', repr(c))}))"
+
+    def rank(c):
+        return "1 + " + " + ".join(f"CAST(h_{o} < h_{c} AS INTEGER)" for o in f if o != c)
+
+    hashes = ", ".join(f"{u('f', repr(c))} AS h_{c}" for c in f)
+    cf = ", ".join(f"CASE WHEN {rank(c)} <= nch THEN greatest(mn_{c}, least(mx_{c}, {c} + {z(c)} * (0.5 * sd_{c}))) ELSE {c} END AS cf_{c}"
+                   for c in f)
+    st = ", ".join(f"stddev_pop({c}) AS sd_{c}, min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in f)
+    score = ("round(1.0 / (1.0 + exp(-(-1.6 + 0.004 * (coalesce(cf_recency_days, 400) - 200) - 0.12 * (cf_n_orders - 9) "
+             "- 0.0001 * cf_c_acctbal))), 4) >= 0.5")
+    best = ", ".join(f"arg_min(cf_{c}, [nch, it]) AS b_{c}" for c in f)
+    longs = " UNION ALL ".join(
+        f"SELECT c_custkey, it, nch, '{c}' AS feature, {c} AS original, b_{c} AS counterfactual FROM bj" for c in f)
+    return f"""
+pf AS (SELECT c_custkey, CAST(coalesce(recency_days, 400) AS DOUBLE) AS recency_days, CAST(n_orders AS DOUBLE) AS n_orders,
+              c_acctbal FROM plan),
+cst AS (SELECT {st} FROM pf),
+fan AS (SELECT *, CAST(least(floor({u('n')} * 3) + 1, 3) AS INTEGER) AS nch, {hashes}
+        FROM pf, (SELECT range AS it FROM range(1, 101))),
+cand AS (SELECT c_custkey, it, nch, {cf} FROM fan, cst),
+flip AS (SELECT * FROM cand WHERE NOT ({score})),
+best AS (SELECT c_custkey, arg_min(it, [nch, it]) AS it, min(nch) AS nch, {best} FROM flip GROUP BY c_custkey),
+bj AS (SELECT best.*, pf.recency_days, pf.n_orders, pf.c_acctbal FROM best JOIN pf USING (c_custkey)),
+cfl AS (SELECT c_custkey, CAST(it AS INTEGER) AS iteration, nch AS n_changes, feature, original, counterfactual,
+               counterfactual - original AS change FROM ({longs}) WHERE abs(counterfactual - original) > 0)"""
+
+
+@register("counterfactuals", with_views("""
+SELECT c_custkey, iteration, n_changes, feature, round(original, 6) AS original, round(counterfactual, 6) AS counterfactual,
+       round(change, 6) AS change FROM cfl""", "PREDICTIONS", extra=_cf_cte()))
 def q_counterfactuals(spark, sf):
-    return X.counterfactuals(_plan_features(spark, sf), "c_custkey", CF_FEATURES, _pred_fn, target=0, n_iter=100, max_changes=3)
+    ch = X.counterfactuals(_plan_features(spark, sf), "c_custkey", CF_FEATURES, _pred_fn, target=0, n_iter=100, max_changes=3)
+    return ch.select("c_custkey", "iteration", "n_changes", "feature", *[F.round(c, 6).alias(c) for c in ("original", "counterfactual", "change")])
 
 
 FEASIBILITY_RULES = [("n_orders", "increase_only", None, None, 1.0), ("recency_days", "mutable", None, None, 200.0),
                      ("c_acctbal", "immutable", None, None, 1.0)]
 
 
-@register("counterfactual_feasibility")
+@register("counterfactual_feasibility", with_views("""
+SELECT c_custkey, min(CAST(ok AS INTEGER)) AS feasible, count(*) AS n_changes FROM (
+  SELECT c_custkey, CASE feature WHEN 'c_acctbal' THEN false
+                                 WHEN 'n_orders' THEN change >= 0 AND counterfactual >= 0 AND abs(change) <= 3.0 * 1.0
+                                 ELSE counterfactual >= 0 AND abs(change) <= 3.0 * 200.0 END AS ok
+  FROM cfl) GROUP BY c_custkey""", "PREDICTIONS", extra=_cf_cte()))
 def q_counterfactual_feasibility(spark, sf):
     ch = X.counterfactuals(_plan_features(spark, sf), "c_custkey", CF_FEATURES, _pred_fn, target=0, n_iter=100, max_changes=3)
     rules = spark.createDataFrame(FEASIBILITY_RULES, "feature string, kind string, allowed_min double, allowed_max double, scale double")
