@@ -106,6 +106,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str, n_bins: i
     return out
 
 
+# fixed values: information-value strength bands (upper bounds), "Strong" above the last
 IV_LABELS = [(0.02, "Useless"), (0.1, "Weak"), (0.3, "Medium")]
 
 
@@ -123,7 +124,9 @@ def woe_iv(df: DataFrame, features: list[str], label: str, n_bins: int = 10, pos
     dn = F.greatest(F.coalesce(F.try_divide(F.col("nev"), F.col("tnev")), F.lit(0.0)), F.lit(0.0001))
     j = j.withColumn("_woe", F.log(de / dn)).withColumn("_iv", (de - dn) * F.col("_woe"))
     iv = j.groupBy("feature", "n_bins").agg(F.sum("_iv").alias("iv"))
-    strength = F.when(F.col("iv") < 0.02, "Useless").when(F.col("iv") < 0.1, "Weak").when(F.col("iv") < 0.3, "Medium").otherwise("Strong")
+    strength = F.lit("Strong")
+    for bound, name in reversed(IV_LABELS):
+        strength = F.when(F.col("iv") < bound, name).otherwise(strength)
     return iv.select("feature", "n_bins", F.round("iv", 6).alias("iv"), strength.alias("strength"))
 
 
