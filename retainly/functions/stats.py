@@ -159,17 +159,18 @@ def unpivot_values(df: DataFrame, cols: list[str], name_col: str = "column", val
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear' = DuckDB quantile_cont) per column.
 
-    ``exact``: all columns are unpivoted and ranked by ONE distributed sort
-    (range partitioning on (column, value, tiebreak)); only the 2 rows per
-    (column, prob) around position (n-1)q are kept. Memory per task is
-    bounded by the partition size, not by the number of distinct values,
-    and a value shared by a third of the rows is still split across tasks by
-    the tiebreak. ``approx``: ``percentile_approx`` sketches (bounded memory,
-    one pass) for when approximate edges are acceptable.
+    ``exact``: all columns are unpivoted and reduced to (column, value, count)
+    by one aggregation (partial aggregation map-side, so a value held by a
+    third of the rows is one row per task); a distributed prefix sum over the
+    distinct values (range partitioned, no single-task window) gives each
+    value's position range, and only the values covering positions
+    floor/ceil((n-1)q) are kept. Memory per task is bounded by partition
+    size, never by the number of distinct values of a column.
+    ``approx``: ``percentile_approx`` sketches (one pass, bounded memory).
 
     Returns (column, prob, value); nulls are ignored; empty column -> null.
     """
-    from ..functions.ranking import rank_within_groups
+    from ..functions.ranking import prefix_sum
 
     if method == "approx":
         wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), 100000).alias(f"q{i}")
@@ -177,19 +178,26 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
         parts = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"q{i}")[j].alias("value"))
                  for i, c in enumerate(cols) for j, p in enumerate(probs)]
         return wide.select(F.inline(F.array(*parts)))
-    long = (df.select(F.monotonically_increasing_id().alias("_tb"),
-                      F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+    long = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                                          for c in cols])))
             .filter(F.col("value").isNotNull()))
-    ranked = rank_within_groups(long, ["column"], ["value", "_tb"], out="_r")
-    pos = (F.col("_group_n") - 1) * F.col("prob")
-    lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-    cand = (ranked.select("column", "value", "_r", "_group_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-            .filter((F.col("_r") == lo) | (F.col("_r") == hi)))
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    pos = prefix_sum(counts, ["value"], "_c", out="_before", group_cols=["column"])
+    totals = counts.groupBy("column").agg(F.sum("_c").alias("_n"))  # one row per column
+    pos = pos.join(F.broadcast(totals), "column")
+    at = (F.col("_n") - 1) * F.col("prob")
+    lo, hi = F.floor(at), F.ceil(at)
+
+    def covers(t):
+        return (F.col("_before") <= t) & (t < F.col("_before") + F.col("_c"))
+
+    cand = (pos.select("column", "value", "_before", "_c", "_n",
+                       F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+            .filter(covers(lo) | covers(hi)))
     g = cand.groupBy("column", "prob").agg(
-        F.max(F.when(F.col("_r") == lo, F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == hi, F.col("value"))).alias("_vhi"),
-        F.max(pos - F.floor(pos)).alias("_frac"))
+        F.max(F.when(covers(lo), F.col("value"))).alias("_vlo"),
+        F.max(F.when(covers(hi), F.col("value"))).alias("_vhi"),
+        F.max(at - lo).alias("_frac"))
     res = g.select("column", "prob", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
     # columns that are entirely null still get rows (value null)
     allp = df.sparkSession.createDataFrame([(c, float(p)) for c in cols for p in probs], "column string, prob double")

@@ -27,7 +27,7 @@ _CACHE: dict = {}
 
 
 def ml_data(spark, sf):
-    k = (id(spark), sf)
+    k = (spark.sparkContext.applicationId, sf)
     if k not in _CACHE:
         p = V.processed(spark, sf)
         s = SP.stratified_split(p, LABEL, KEY, 0.2, 42)
@@ -40,7 +40,7 @@ def ml_data(spark, sf):
 
 
 def _memo(name, spark, sf, fn):
-    k = (name, id(spark), sf)
+    k = (name, spark.sparkContext.applicationId, sf)
     if k not in _CACHE:
         _CACHE[k] = fn()
     return _CACHE[k]

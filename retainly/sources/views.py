@@ -62,10 +62,33 @@ def latest_cut(orders: DataFrame, horizon_days: int = HORIZON_DAYS, back_periods
     return newest - F.expr(f"INTERVAL {horizon_days * back_periods} DAYS")
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A derived table computed once per (session, data folder) and written to the shared checkpoint folder.
+
+    Downstream operators read the written table (as a Spark pipeline reads its intermediate tables), so
+    its lineage is cut and an executor loss never recomputes it. ``RETAINLY_MATERIALIZE_VIEWS=0`` keeps
+    every view a lazy plan instead.
+    """
+    import os
+
+    from ..session import reliable_checkpoint
+    if os.environ.get("RETAINLY_MATERIALIZE_VIEWS", "1") == "0":
+        return build()
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _MATERIALIZED:
+        _MATERIALIZED[key] = reliable_checkpoint(build())
+    return _MATERIALIZED[key]
+
+
 def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load_table(spark, sf_dir, "orders")
-    customer = load_table(spark, sf_dir, "customer")
-    return churn_features(orders, customer, latest_cut(orders))
+    def build():
+        orders = load_table(spark, sf_dir, "orders")
+        customer = load_table(spark, sf_dir, "customer")
+        return churn_features(orders, customer, latest_cut(orders))
+    return materialized("churn_base", spark, sf_dir, build)
 
 
 def scorecard_probability(recency: Column | str = "recency_days", n_orders: Column | str = "n_orders",
@@ -155,8 +178,11 @@ IMPUTED = ["spend", "recency_days", "tenure_days"]
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``churn_base`` with medians imputed and the segment coded: all numeric, no nulls."""
     from ..operators import clean
-    d = clean.impute_median(churn_base(spark, sf_dir), IMPUTED)
-    return clean.encode_categoricals(d, ["c_mktsegment"])
+
+    def build():
+        d = clean.impute_median(churn_base(spark, sf_dir), IMPUTED)
+        return clean.encode_categoricals(d, ["c_mktsegment"])
+    return materialized("processed", spark, sf_dir, build)
 
 
 def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
