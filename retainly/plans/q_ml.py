@@ -22,7 +22,7 @@ from .registry import register
 KEY, LABEL = "c_custkey", "churn"
 PARAMS = {"lr": {"max_iter": 50}, "rf": {"n_trees": 50, "max_depth": 5}, "gbt": {"n_iter": 20, "max_depth": 3},
           "dt": {"max_depth": 5}, "svc": {"max_iter": 30}, "mlp": {"max_iter": 50}, "fm": {"max_iter": 30}}
-LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "svc", "fm", "mlp", "dummy"]
+LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "dummy"]
 _CACHE: dict = {}
 
 
@@ -111,7 +111,7 @@ def q_tune_random(spark, sf):
 
 
 def _top_models(spark, sf, n):
-    lb = leaderboard(spark, sf).filter(~F.col("model").isin("dummy", "svc"))
+    lb = leaderboard(spark, sf).filter(~F.col("model").isin("dummy", "svc", "nb"))
     return [r["model"] for r in lb.orderBy(F.col("auc").desc(), "model").limit(n).collect()]
 
 
