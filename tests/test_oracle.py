@@ -13,7 +13,7 @@ from retainly.plans.registry import load_all
 from retainly.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SUBSET = ["campaign_cost", "budget_allocation", "ab_groups", "auc_exact", "threshold_sweep", "describe_numeric",
+SUBSET = ["campaign_cost", "budget_allocation", "ab_groups", "auc_exact", "threshold_sweep", "describe_numeric", "counterfactuals",
           "pii_counts", "ks_drift", "woe_iv", "stratified_split", "fold_distribution", "shapley_global", "run_ttest",
           "metric_alerts", "stream_drift"]
 
