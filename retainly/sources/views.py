@@ -145,7 +145,12 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backtest_base(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
-    """``churn_base`` for ``n_runs`` successive cuts (run ``n_runs`` = latest).
+    """``churn_base`` for ``n_runs`` successive cuts (run ``n_runs`` = latest), materialised once per session."""
+    return materialized(f"backtest{n_runs}", spark, sf_dir, lambda: _backtest_base(spark, sf_dir, n_runs))
+
+
+def _backtest_base(spark: SparkSession, sf_dir: str, n_runs: int) -> DataFrame:
+    """``churn_base`` for ``n_runs`` successive cuts.
 
     Orders and customers are fanned out by a bounded ``explode`` of the run
     ids (no join), then aggregated by (run, customer) in one pass.
@@ -186,7 +191,11 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
-    """Run history: one scorecard evaluation per backtest cut (metrics at 6 dp)."""
+    """Run history: one scorecard evaluation per backtest cut (metrics at 6 dp), one row per run."""
+    return materialized(f"run_log{n_runs}", spark, sf_dir, lambda: _run_log(spark, sf_dir, n_runs))
+
+
+def _run_log(spark: SparkSession, sf_dir: str, n_runs: int) -> DataFrame:
     from ..operators import evaluate as E
     s = score(backtest_base(spark, sf_dir, n_runs))
     cm = E.confusion_counts(s, "churn", "pred", ["run_id"])
@@ -194,9 +203,8 @@ def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
     dates = s.groupBy("run_id").agg(F.date_format(F.min("cut_ts"), "yyyy-MM-dd").alias("run_date"))
     m = E.metric_columns(None)
     n = F.col("n").cast("double")
-    from ..session import reliable_checkpoint
-    # one row per run: materialised once so every rule over the history reads 4 rows, not the backtest
-    return reliable_checkpoint(cm.join(auc, "run_id").join(dates, "run_id")
+    # one row per run: materialised (by ``run_log``) so every rule over the history reads 4 rows
+    return (cm.join(auc, "run_id").join(dates, "run_id")
             .select("run_id", "run_date", F.lit("scorecard").alias("model_type"),
                     F.round("auc", 6).alias("auc"), F.round(m["f1"], 6).alias("f1"), F.round(m["recall"], 6).alias("recall"),
                     F.round(m["precision"], 6).alias("precision"), F.round(m["accuracy"], 6).alias("accuracy"),
