@@ -9,7 +9,7 @@ size-checked broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
@@ -32,12 +32,14 @@ def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: st
 def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, code) with code = position of the value in sorted order (0-based).
 
-    Built from the distinct values only; the window runs over the distinct
-    set of one column at a time, bounded by the column's cardinality.
+    Built from the distinct values only, numbered by the global range-partitioned
+    numbering (no window holding a whole column's distinct set in one task).
     """
+    from ..functions.ranking import rank_within_groups
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                         for c in cols]))).filter(F.col("value").isNotNull()).distinct()
-    return long.withColumn("code", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("int"))
+    ranked = rank_within_groups(long, ["column"], ["value"], out="_r")
+    return ranked.select("column", "value", (F.col("_r") - 1).cast("int").alias("code"))
 
 
 def encode_categoricals(df: DataFrame, multi_class: list[str], binary_maps: dict[str, dict] | None = None,
