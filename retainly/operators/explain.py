@@ -33,7 +33,7 @@ def linear_attributions(df: DataFrame, key: str, terms: dict[str, tuple[Column,
 
 
 def shapley_global(phi: DataFrame) -> DataFrame:
-    g = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    g = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))  # one row per feature, ranked below
     return g.select("feature", F.round("mean_abs_phi", 6).alias("mean_abs_phi"),
                     F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc(), "feature")).cast("bigint").alias("rank"))
 
@@ -213,7 +213,7 @@ def group_fairness(df: DataFrame, attributes: list[str], label: str = "churn", p
          .agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(pred).cast("double")) * 100).alias("pred_rate_pct"),
               F.avg(prob).alias("mean_prob"), F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy"),
               F.try_divide(F.count_if((F.col(pred) == 1) & (F.col(label) == 1)), F.count_if(F.col(label) == 1)).alias("recall")))
-    w = Window.partitionBy("attribute")
+    w = Window.partitionBy("attribute")  # over the (attribute, group) aggregate, not rows
     g = (g.withColumn("rate_gap", F.max("pred_rate_pct").over(w) - F.min("pred_rate_pct").over(w))
          .withColumn("recall_gap", F.max("recall").over(w) - F.min("recall").over(w)))
     return g.select("attribute", "group", "n", F.round(F.col("n") / total, 6).alias("share"),

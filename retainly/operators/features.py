@@ -89,7 +89,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str, n_bins: i
     """
     bins = fit_bins(df, features, n_bins)
     long = binned_long(df, features, label, bins)
-    # one pass over the rows; marginals come from the (small) joint table
+    # one pass over the rows; marginals come from the joint table (features x bins x labels rows)
     joint = long.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("n_xy"))
     j = (joint.withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("feature", "bin")))
          .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("feature", "_y")))

@@ -168,6 +168,7 @@ def tune_random(data: DataFrame, n_features: int, n_iter: int = 6, fold: str = "
     spark = data.sparkSession
     rows = [(c["numTrees"], c["maxDepth"], c["minInstancesPerNode"], round(float(m), 6)) for c, m in zip(chosen, model.avgMetrics)]
     df = spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_auc double")
+    # one row per parameter draw: ranking the small result table
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cv_auc").desc(), "num_trees", "max_depth", "min_instances")))
 
 
@@ -223,7 +224,7 @@ def feature_importances(train: DataFrame, features: list[str], n_trees: int = 10
     imp = model.featureImportances.toArray()
     spark = train.sparkSession
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))  # one row per feature
 
 
 def rfe(df: DataFrame, features: list[str], label: str, keep: list[str], n_select: int, fold: str = "fold",

@@ -203,7 +203,7 @@ def improvement_rules(metrics: DataFrame, rules=IMPROVEMENT_RULES) -> DataFrame:
 def _last_two(runs: DataFrame, metrics=("auc", "f1", "recall")) -> DataFrame:
     long = runs.select("run_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                     for m in metrics])))
-    w = Window.partitionBy("metric").orderBy("run_id")
+    w = Window.partitionBy("metric").orderBy("run_id")  # the run table: one row per run
     return (long.withColumn("previous", F.lag("value").over(w))
             .withColumn("_last", F.max("run_id").over(Window.partitionBy("metric")))
             .filter(F.col("run_id") == F.col("_last")).drop("_last"))
