@@ -118,12 +118,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_region(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    """Attach the region name through nation (both tiny dimension tables: broadcast)."""
+    """Attach the region name through nation (dimension tables; the planner broadcasts them by size estimate)."""
     nation = load_table(spark, sf_dir, "nation")
     region = load_table(spark, sf_dir, "region")
     dim = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey"), F.col("r_name").alias("region"))
-    return df.join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
+    return df.join(dim, F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

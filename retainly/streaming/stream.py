@@ -60,7 +60,8 @@ def drift_stream(events: DataFrame, ts: str = "ts", key: str = "event_type", val
 
 
 def attach_baseline(windows: DataFrame, baseline: DataFrame, key: str = "event_type", threshold_pct: float = 10.0) -> DataFrame:
-    j = windows.join(F.broadcast(baseline), key, "left")  # baseline: one row per key
+    # one row per key; the planner broadcasts it when its size estimate is under the broadcast threshold
+    j = windows.join(baseline, key, "left")
     pct = F.when(F.col("baseline_mean") == 0, 0.0).otherwise(
         F.abs((F.col("mean_value") - F.col("baseline_mean")) / F.col("baseline_mean")) * 100)
     return j.select("window_start", key, "n", F.round("mean_value", 6).alias("mean_value"),
