@@ -114,16 +114,18 @@ def threshold_sweep(df: DataFrame, label: str = "churn", score: str = "p", start
     tp, fp, P = F.col("tp"), F.col("fp"), F.col("P")
     prec = F.round(_div(tp, tp + fp), digits)
     rec = F.round(_div(tp, P), digits)
-    f1 = F.round(_div(2 * prec * rec, prec + rec), digits)
+    f1 = F.round(_div(2 * tp, tp + fp + P), digits)  # from counts, not from the rounded precision/recall
     sweep = at.select((F.col("k") / 100.0).alias("threshold"), prec.alias("precision"), rec.alias("recall"),
                       f1.alias("f1"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
                       (P - tp).cast("bigint").alias("fn"))
+    # first maximum (lowest threshold on ties); the recall-constrained best falls back to the overall best
     best = sweep.agg(F.min_by("threshold", F.struct(-F.col("f1"), F.col("threshold"))).alias("_best"),
                      F.min_by(F.when(F.col("recall") >= min_recall, F.col("threshold")),
                               F.struct(F.when(F.col("recall") >= min_recall, 0).otherwise(1), -F.col("f1"), F.col("threshold"))).alias("_best_r"))
+    best = best.select("_best", F.coalesce("_best_r", "_best").alias("_best_r"))
     return (sweep.withColumns({"_best": best.select("_best").scalar(), "_best_r": best.select("_best_r").scalar()})
             .withColumn("is_best_f1", (F.col("threshold") == F.col("_best")).cast("int"))
-            .withColumn("is_best_recall_constrained", F.coalesce((F.col("threshold") == F.col("_best_r")).cast("int"), F.lit(0)))
+            .withColumn("is_best_recall_constrained", (F.col("threshold") == F.col("_best_r")).cast("int"))
             .drop("_best", "_best_r"))
 
 

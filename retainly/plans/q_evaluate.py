@@ -57,14 +57,15 @@ def q_classification_report(spark, sf):
 _SWEEP_SQL = with_views("""
 SELECT threshold, precision, recall, f1, tp, fp, fn,
        CAST(threshold = (SELECT arg_min(threshold, [-f1, threshold]) FROM s2) AS INTEGER) AS is_best_f1,
-       coalesce(CAST(threshold = (SELECT arg_min(threshold, [-f1, threshold]) FROM s2 WHERE recall >= 0.6) AS INTEGER), 0) AS is_best_recall_constrained
+       CAST(threshold = coalesce((SELECT arg_min(threshold, [-f1, threshold]) FROM s2 WHERE recall >= 0.6),
+                                 (SELECT arg_min(threshold, [-f1, threshold]) FROM s2)) AS INTEGER) AS is_best_recall_constrained
 FROM s2""", "SCORED", extra="""
 th AS (SELECT range AS k, range / 100.0 AS t FROM range(10, 91)),
 sg AS (SELECT p, count(*) FILTER (WHERE churn = 1) AS pos, count(*) FILTER (WHERE churn = 0) AS neg FROM scored GROUP BY p),
 s1 AS (SELECT k / 100.0 AS threshold, CAST(coalesce(sum(pos), 0) AS BIGINT) AS tp, CAST(coalesce(sum(neg), 0) AS BIGINT) AS fp,
               (SELECT count(*) FROM scored WHERE churn = 1) AS P
        FROM th LEFT JOIN sg ON sg.p >= th.t GROUP BY k),
-s2 AS (SELECT threshold, pr AS precision, rc AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 4) AS f1, tp, fp, CAST(P - tp AS BIGINT) AS fn
+s2 AS (SELECT threshold, pr AS precision, rc AS recall, round(coalesce(2.0 * tp / nullif(tp + fp + P, 0), 0), 4) AS f1, tp, fp, CAST(P - tp AS BIGINT) AS fn
        FROM (SELECT *, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 4) AS pr,
                        round(coalesce(tp / nullif(CAST(P AS DOUBLE), 0), 0), 4) AS rc FROM s1))""")
 
