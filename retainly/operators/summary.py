@@ -233,7 +233,8 @@ def cost_impact(scored: DataFrame, runs: DataFrame, label: str = "churn", pred:
     t = _last_two(runs).select("metric", (F.col("value") - F.col("previous")).alias("d"))
     d = {m: t.filter(F.col("metric") == m).agg(F.max("d")).scalar() for m in ("auc", "f1", "recall")}
     n, rate = rates.select("n").scalar(), rates.select("actual_rate").scalar()
-    effect = F.floor(n * rate * d["recall"]) * 300
+    x = n * rate * d["recall"]
+    effect = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)) * 300  # int(): truncation toward zero
     return bm.select("total_cost", "savings", "net_benefit", "net_per_customer",
                      F.round(rate, 6).alias("actual_rate"), F.round(rates.select("predicted_rate").scalar(), 6).alias("predicted_rate"),
                      F.round(d["auc"], 6).alias("delta_auc"), F.round(d["f1"], 6).alias("delta_f1"),

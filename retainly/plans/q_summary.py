@@ -292,7 +292,7 @@ SELECT CAST(fn * 400 + fp * 50 AS DOUBLE) AS total_cost, CAST(tp * 250 AS DOUBLE
        round((SELECT value - previous FROM last2 WHERE metric = 'auc'), 6) AS delta_auc,
        round((SELECT value - previous FROM last2 WHERE metric = 'f1'), 6) AS delta_f1,
        round((SELECT value - previous FROM last2 WHERE metric = 'recall'), 6) AS delta_recall,
-       CAST(floor(n * ((tp + fn) / CAST(n AS DOUBLE)) * (SELECT value - previous FROM last2 WHERE metric = 'recall')) * 300 AS DOUBLE)
+       CAST(trunc(n * ((tp + fn) / CAST(n AS DOUBLE)) * (SELECT value - previous FROM last2 WHERE metric = 'recall')) * 300 AS DOUBLE)
          AS recall_financial_effect
 FROM cm""", "SCORED", "BACKTEST", extra=AUC_CTE + "," + LAST2_SQL))
 def q_cost_impact(spark, sf):
