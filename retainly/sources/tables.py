@@ -36,3 +36,12 @@ def read_json(spark: SparkSession, path: str, schema: StructType | None = None)
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                fmt: str = "parquet") -> None:
+    """Sink: overwrite (reports, plans) or append (run logs, version logs), optionally partitioned."""
+    w = df.write.mode(mode).format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)

@@ -70,3 +70,21 @@ def test_materialised_views_equal_lazy(spark, monkeypatch):
     b = V.churn_base(spark, sf)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.filter(F.col("churn").isNull()).count() == 0
+
+
+def test_csv_round_trip_with_explicit_schema(spark, tmp_path):
+    from retainly.operators import profile as PR
+    from retainly.sources.tables import load_table, read_csv, write_table
+    cust = load_table(spark, "/root/testdata/sf0.001", "customer")
+    out = str(tmp_path / "customer_csv")
+    cust.write.mode("overwrite").option("header", "true").csv(out)
+    back = read_csv(spark, out, cust.schema)
+    assert back.exceptAll(cust).count() == 0
+    # numeric text with blanks: try_cast coercion counts failures instead of raising under ANSI
+    raw = spark.createDataFrame([("1.5",), (" ",), ("x",), (None,)], "TotalCharges string")
+    chk = PR.check_types(raw, {"TotalCharges": F.col("TotalCharges")}, [], max_bad=2).first()
+    assert chk.actual == 3.0 and chk.status == "FAILED"
+    log = str(tmp_path / "runs")
+    write_table(spark.createDataFrame([(1, 0.8)], "run_id int, auc double"), log)
+    write_table(spark.createDataFrame([(2, 0.79)], "run_id int, auc double"), log, mode="append")
+    assert spark.read.parquet(log).count() == 2
