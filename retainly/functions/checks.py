@@ -33,11 +33,6 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, simple type) from the schema; no data is read."""
-    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-
-
 def check_rows(df: DataFrame, specs: list[tuple]) -> DataFrame:
     """Several checks over the SAME aggregate row(s), emitted by one ``inline`` (one scan, no union).
 

@@ -39,10 +39,6 @@ def column_stats(df: DataFrame, cols: list[str], stats: dict[str, Callable[[Colu
     return wide.select(F.inline(F.array(*structs)))
 
 
-def cast_numeric(cols_types: dict[str, str], to: str = "double") -> dict[str, Column]:
-    return {c: F.col(c).cast(to) for c in cols_types}
-
-
 def kolmogorov_pvalue(lam: Column, terms: int = 100) -> Column:
     """Asymptotic Kolmogorov survival function Q(lam) = 2 sum (-1)^(j-1) exp(-2 j^2 lam^2), clipped to [0,1]."""
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
@@ -148,14 +144,6 @@ def kolmogorov_sf(lam: float, terms: int = 100) -> float:
     return min(1.0, max(0.0, 2 * s))
 
 
-def unpivot_values(df: DataFrame, cols: list[str], name_col: str = "column", value_col: str = "value",
-                   keep: list[str] | None = None) -> DataFrame:
-    """Long (column, value) rows via ``inline`` of a struct array (no union of scans)."""
-    keep = keep or []
-    structs = [F.struct(F.lit(c).alias(name_col), F.col(c).cast("double").alias(value_col)) for c in cols]
-    return df.select(*keep, F.inline(F.array(*structs)))
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear' = DuckDB quantile_cont) per column.
 
@@ -202,8 +190,3 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     # columns that are entirely null still get rows (value null)
     allp = df.sparkSession.createDataFrame([(c, float(p)) for c in cols for p in probs], "column string, prob double")
     return allp.join(res, ["column", "prob"], "left")
-
-
-def quantile_scalar(qdf: DataFrame, column: str, prob: float):
-    """Scalar-subquery column for one (column, prob) of a ``quantiles`` result."""
-    return qdf.filter((F.col("column") == column) & (F.col("prob") == float(prob))).select("value").scalar()

@@ -93,10 +93,6 @@ def retention_plan(predictions: DataFrame, pred: str = "pred", key: str = "c_cus
     return predictions.filter(F.col(pred) == 1).orderBy(F.col("Priority_Score").desc(), F.col(key))
 
 
-def plan_segment_counts(plan: DataFrame, segment: str = "Risk_Segment") -> DataFrame:
-    return plan.groupBy(F.col(segment).alias("segment")).agg(F.count(F.lit(1)).alias("n_customers"))
-
-
 def campaign_cost(plan: DataFrame, budget_limit: float = 10000.0, segment: str = "Risk_Segment",
                   include_all_segments: bool = True) -> DataFrame:
     """Per-segment count/sum/mean of offer cost plus a TOTAL row with budget and ROI figures (rollup)."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import FAILED, PASSED, WARNING, check_row, check_rows, union_all
-from ..functions.stats import numeric_columns, quantiles
+from ..functions.stats import column_stats, numeric_columns, quantiles
 
 # ---- fixed values (reference keyword list and patterns) ----
 PII_KEYWORDS = ["email", "phone", "ssn", "social", "password", "credit_card", "id", "name"]
@@ -75,13 +75,8 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantile_method: str = "exact") -> DataFrame:
     """count, mean, std (ddof=1), min, 25/50/75 % (linear interpolation), max per column."""
     cols = cols or numeric_columns(df)
-    wide = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-        F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))])
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-                        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-               for i, c in enumerate(cols)]
-    basic = wide.select(F.inline(F.array(*structs)))
+    basic = column_stats(df, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp,
+                                    "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double"))})
     q = quantiles(df, cols, [0.25, 0.5, 0.75], quantile_method)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                    for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
