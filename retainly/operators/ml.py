@@ -78,19 +78,29 @@ def eval_predictions(pred: DataFrame, group_cols=(), digits: int = 4) -> DataFra
         ("f1", m["f1"]), ("kappa", kappa), ("mcc", mcc))])
 
 
-def cross_val_predictions(data: DataFrame, name: str, n_features: int, fold: str = "fold", **kw) -> tuple[DataFrame, float]:
-    """Out-of-fold predictions (union over folds) and total fit seconds."""
+def cross_val_predictions(data: DataFrame, name: str, n_features: int, fold: str = "fold", parallelism: int = 4,
+                          **kw) -> tuple[DataFrame, float]:
+    """Out-of-fold predictions (union over folds) and total fit seconds.
+
+    Fold fits are independent Spark jobs; up to ``parallelism`` run concurrently
+    (as ``CrossValidator(parallelism=...)`` does) so small fits share the cluster.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # fold ids: k small integers
-    parts, secs = [], 0.0
-    for f in folds:
+
+    def fit_one(f):
         t0 = time.time()
         model = make_model(name, n_features, **kw).fit(data.filter(F.col(fold) != f))
-        secs += time.time() - t0
-        parts.append(positive_score(model.transform(data.filter(F.col(fold) == f))))
+        return model, time.time() - t0
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(fit_one, folds))
+    parts = [positive_score(m.transform(data.filter(F.col(fold) == f))) for f, (m, _) in zip(folds, fitted)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out, secs
+    return out, sum(t for _, t in fitted)
 
 
 class ConstantBaseline:
@@ -110,17 +120,27 @@ def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str =
     Fits run per model and fold; the out-of-fold predictions of all models are
     unioned with a ``model`` column and evaluated by ONE grouped aggregation.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # fold ids: k small integers
+
+    def fit_one(task):
+        name, f = task
+        t0 = time.time()
+        est = ConstantBaseline() if name == "dummy" else make_model(name, n_features, **kw.get(name, {}))
+        return est.fit(data.filter(F.col(fold) != f)), time.time() - t0
+
+    tasks = [(m, f) for m in models for f in folds]
+    with ThreadPoolExecutor(max_workers=4) as pool:  # independent fits share the cluster, as CrossValidator(parallelism)
+        fitted = dict(zip(tasks, pool.map(fit_one, tasks)))
     preds, secs = [], {}
     for name in models:
-        if name == "dummy":
-            folds = sorted(r[0] for r in data.select(fold).distinct().collect())
-            parts = [ConstantBaseline().fit(data.filter(F.col(fold) != f)).transform(data.filter(F.col(fold) == f)) for f in folds]
-            pred = parts[0]
-            for p in parts[1:]:
-                pred = pred.unionByName(p)
-            secs[name] = 0.0
-        else:
-            pred, secs[name] = cross_val_predictions(data, name, n_features, fold, **kw.get(name, {}))
+        parts = [fitted[(name, f)][0].transform(data.filter(F.col(fold) == f)) for f in folds]
+        parts = [p if name == "dummy" else positive_score(p) for p in parts]
+        pred = parts[0]
+        for p in parts[1:]:
+            pred = pred.unionByName(p)
+        secs[name] = 0.0 if name == "dummy" else sum(fitted[(name, f)][1] for f in folds)
         preds.append(pred.select(F.lit(name).alias("model"), "label", "prediction", F.col("score").cast("double").alias("score")))
     pooled = preds[0]
     for p in preds[1:]:
