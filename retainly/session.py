@@ -38,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    and the master is local (tests) a scratch folder is created; on a cluster
+    an unset folder is an error rather than a machine-local path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="retainly-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors (HDFS/S3/...)")
+    local = tempfile.mkdtemp(prefix="retainly-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))  # local mode only
     sc.setCheckpointDir(local)
     return local
 
