@@ -44,13 +44,16 @@ def time_split(df: DataFrame, date_col: str, key: str, test_size: float = 0.2, g
     return d.withColumn(out, split).filter(F.col(out).isNotNull())
 
 
-def fold_assign(df: DataFrame, label: str, key: str, n_folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+def fold_assign(df: DataFrame, label: str, key: str, n_folds: int = 5, seed: int = 42, out: str = "fold",
+                extra: dict[str, int] | None = None) -> DataFrame:
     """fold = (global row number in (label, md5(seed:key), key) order - 1) mod n_folds.
 
     Continuing the numbering across classes balances fold totals exactly.
+    ``extra`` adds more fold columns ({name: k}) from the same single numbering.
     """
     numbered = global_row_number(df.withColumn("_h", seeded_md5(seed, key)), [label, "_h", key], out="_rn")
-    return numbered.withColumn(out, ((F.col("_rn") - 1) % n_folds).cast("int")).drop("_h", "_rn")
+    cols = {out: n_folds, **(extra or {})}
+    return numbered.withColumns({c: ((F.col("_rn") - 1) % k).cast("int") for c, k in cols.items()}).drop("_h", "_rn")
 
 
 def split_summary(df: DataFrame, label: str, split: str = "split") -> DataFrame:

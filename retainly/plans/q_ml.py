@@ -31,8 +31,7 @@ def ml_data(spark, sf):
     if k not in _CACHE:
         p = V.processed(spark, sf)
         s = SP.stratified_split(p, LABEL, KEY, 0.2, 42)
-        tr = SP.fold_assign(s.filter(F.col("split") == "train"), LABEL, KEY, 5, 42)
-        tr = SP.fold_assign(tr, LABEL, KEY, 3, 42, out="fold3")
+        tr = SP.fold_assign(s.filter(F.col("split") == "train"), LABEL, KEY, 5, 42, extra={"fold3": 3})
         train = M.assemble(tr, FEATS, LABEL, [KEY, "fold", "fold3"]).cache()
         test = M.assemble(s.filter(F.col("split") == "test"), FEATS, LABEL, [KEY]).cache()
         _CACHE[k] = (train, test)
