@@ -154,4 +154,6 @@ def marked(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def columns(schema: pa.Schema, **arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)
+    made = [arrays[f.name].cast(f.type) if isinstance(arrays[f.name], pa.Array) else pa.array(arrays[f.name], type=f.type)
+            for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)

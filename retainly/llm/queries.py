@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import packing, quality_rules, token_counts
+from . import jaccard_join, packing, quality_rules, token_counts
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -15,6 +15,10 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(load_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -28,5 +32,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("host_rate", F.round("host_rate", 9)))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op7_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op7_token_counts, op9_quality_rules)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}
