@@ -7,10 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ._text import mix
 
 _SHIPPED: set[str] = set()
 
@@ -43,3 +48,51 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def id_filter(ids: DataFrame, rows: int, max_bits: int = 1 << 27):
+    """A bitmap over hashed ids, as a broadcast of at most ``max_bits`` / 8 bytes.
+
+    It only thins a table before a join on the same ids: absent ids may pass, present ones
+    always do, and past the bound it merely passes more.
+    """
+    bits = 1 << 16
+    while bits < min(max_bits, 16 * rows):
+        bits *= 2
+    name = ids.columns[0]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits // 64, np.uint64)
+        for x in batches:
+            cell = id_cells(x.column(0), bits)
+            np.bitwise_or.at(seen, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
+        used = np.flatnonzero(seen)
+        for i in range(0, len(used), 100_000):
+            u = used[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(seen[u].view(np.int64))], names=["w", "bits"])
+
+    bitmap = np.zeros(bits // 64, np.uint64)
+    rows_of = (ids.select(F.col(name).cast("bigint")).mapInArrow(mark, "w bigint, bits bigint")
+               .groupBy("w").agg(F.bit_or("bits").alias("bits")))
+    got = rows_of.toArrow()  # at most bits / 64 rows
+    bitmap[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast((bits, bitmap))
+
+
+def id_cells(ids: pa.Array, bits: int) -> np.ndarray:
+    v = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return (mix(v + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
+
+
+def thinned(df: DataFrame, id_col: str, shared) -> DataFrame:
+    """``df`` without rows whose id is surely not in the filter."""
+    at = df.columns.index(id_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, bitmap = shared.value
+        for x in batches:
+            cell = id_cells(x.column(at), bits)
+            hit = (bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)
+            yield x.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(keep, df.schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import ship, stored
+from ._store import id_filter, ship, stored, thinned
 from ._text import _C, _K, Block, blocks, columns, mix, window_hashes, windows, word_hashes
 
 WORDS = 5
@@ -327,7 +327,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
     touched = (groups.select("lead").union(groups.select("doc")).distinct()
                .join(node_of, F.col("lead") == F.col("doc_id")).select("node").distinct())
-    texts = stored(narrow.join(touched, narrow["doc_id"] == touched["node"], "left_semi")
+    touched = stored(touched, "touched")
+    some = thinned(narrow, "doc_id", id_filter(touched, nodes.count()))
+    texts = stored(some.join(touched, some["doc_id"] == touched["node"], "left_semi")
                    .select(F.col("doc_id").alias("node"), "text"), "texts")
     links = stored(verify(close, texts, percent, words), "links")
     found = stored(components(links), "components")

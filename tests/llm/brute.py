@@ -41,3 +41,22 @@ def jaccard_components(rows, percent=75):
                 a, b = sorted((find(d), find(e)))
                 parent[b] = a
     return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+def substring_dedup(rows, window=13):
+    import hashlib
+    first = {}
+    texts = [(d, words(t)) for d, t in rows]
+    for d, w in texts:
+        for i in range(len(w) - window + 1):
+            g = tuple(w[i:i + window])
+            first[g] = min(first.get(g, d), d)
+    out = []
+    for d, w in texts:
+        cut = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i:i + window])] < d:
+                cut.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in cut)
+        out.append((d, len(w), len(cut), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
