@@ -68,7 +68,7 @@ def shingles(b: Block, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         own = np.empty(len(short), np.uint64)
         for m in range(1, k):
             of = counts[short] == m
-            own[of] = mix(window_hashes(h, first[of], m) + np.uint64(m) * _K)
+            own[of] = mix(window_hashes(h, first[of], m) + np.uint64(m * int(_K) % 2**64))
         rows, s = np.concatenate([rows, short]), np.concatenate([s, own])
     return rows, s
 

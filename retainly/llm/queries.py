@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import jaccard_join, packing, quality_rules, substring_dedup, token_counts
+from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -27,14 +27,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(load_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality_rules.quality_rules(load_table(spark, sf_dir, "documents"))
             .withColumn("host_rate", F.round("host_rate", 9)))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op5_substring_dedup, op7_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op5_substring_dedup, op6_quality_classifier, op7_token_counts,
+                                op8_benchmark_decontamination, op9_quality_rules)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}

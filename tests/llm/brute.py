@@ -60,3 +60,13 @@ def substring_dedup(rows, window=13):
         kept = " ".join(x for i, x in enumerate(w) if i not in cut)
         out.append((d, len(w), len(cut), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def leaks(docs, items, percent=75):
+    """(doc_id, item_id) where at least percent of the item's distinct shingles occur in the document."""
+    sets = [(i, shingle_set(t)) for i, t in items]
+    out = []
+    for d, t in docs:
+        s = shingle_set(t)
+        out += [(d, i) for i, g in sets if g and 100 * len(s & g) >= percent * len(g)]
+    return sorted(out)
