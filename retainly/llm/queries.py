@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -44,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("host_rate", F.round("host_rate", 9)))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op5_substring_dedup, op6_quality_classifier, op7_token_counts,
-                                op8_benchmark_decontamination, op9_quality_rules)}
+                                op8_benchmark_decontamination, op9_quality_rules, op10_secret_scan)}
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE}
