@@ -84,15 +84,17 @@ def id_cells(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(v + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
 
 
-def thinned(df: DataFrame, id_col: str, shared) -> DataFrame:
-    """``df`` without rows whose id is surely not in the filter."""
+def thinned(df: DataFrame, id_col: str, shared, absent: bool = False) -> DataFrame:
+    """The rows of ``df`` whose id may be in the filter, or (``absent``) the others and those without an id."""
     at = df.columns.index(id_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, bitmap = shared.value
         for x in batches:
-            cell = id_cells(x.column(at), bits)
-            hit = (bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)
-            yield x.filter(pa.array(hit.astype(bool)))
+            ids = x.column(at).cast(pa.int64())
+            cell = id_cells(ids, bits)
+            hit = ((bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            yield x.filter(pa.array((~hit | none) if absent else (hit & ~none)))
 
     return df.mapInArrow(keep, df.schema)

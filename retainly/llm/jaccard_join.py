@@ -351,3 +351,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     final = stored(components(links.union(more).union(copies)), "components")
     return (nodes.join(final, nodes["doc_id"] == final["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def one_per_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component left, that of its smallest id; columns unchanged.
+
+    Of rows that repeat an id the smallest (by all columns) stays; rows without an id stay.
+    Only rows that a bitmap of the ids in question lets through are shuffled.
+    """
+    groups = stored(jaccard_components(docs, percent, words, id_col, text_col).filter("doc_id IS NOT NULL")
+                    .groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    concerned = groups.filter("n > 1 OR component_id <> doc_id")
+    dropped = concerned.filter("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id"))
+    shared = id_filter(concerned.select("doc_id"), groups.count())
+    sure = thinned(docs, id_col, shared, absent=True)
+    maybe = thinned(docs, id_col, shared).filter(F.col(id_col).isNotNull())
+    maybe = maybe.join(dropped, maybe[id_col].cast("bigint") == dropped["dropped_id"], "left_anti")
+    kept = maybe.groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return sure.unionByName(kept.select("_row.*"))

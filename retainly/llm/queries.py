@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts
+from . import decontamination, jaccard_join, lm_scores, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +23,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_digests(load_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (lm_scores.lm_scores(load_table(spark, sf_dir, "documents"))
+            .withColumn("score", F.round("score", 4)).withColumn("mean_score", F.round("mean_score", 4)))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(load_table(spark, sf_dir, "documents"))
 
@@ -48,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(load_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op5_substring_dedup, op6_quality_classifier, op7_token_counts,
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_token_shards, op4_lm_scores,
+                                op5_substring_dedup, op6_quality_classifier, op7_token_counts,
                                 op8_benchmark_decontamination, op9_quality_rules, op10_secret_scan)}
-ORACLES = {"op9_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op4_lm_scores": lm_scores.ORACLE, "op9_quality_rules": quality_rules.ORACLE}

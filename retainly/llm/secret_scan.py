@@ -176,8 +176,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = SECRET_SCORE, id_col: str = "doc_id",
-           text_col: str = "text", mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mask``; other columns and rows unchanged."""
+           text_col: str = "text", length_col: str | None = None, mask: str = MASK) -> DataFrame:
+    """``docs`` with every secret in the text replaced by ``mask``; other columns and rows unchanged.
+
+    ``length_col`` names a column that takes the new length in characters where a text changed.
+    """
     found = stored(findings(docs, id_col, text_col), "findings")
     trees, words = learn(found, labelled)
     text = F.col(text_col)
@@ -186,4 +189,9 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
         forest_score(trees, features(z["value"], z["before"], z["after"], words)) >= threshold, F.lit(mask)).otherwise(z["value"]))
     rebuilt = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), shown.alias("s")),
                                        lambda z: F.concat(z["p"], F.coalesce(z["s"], F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), rebuilt).otherwise(text))
+    masked = F.when(text.rlike(CANDIDATE), rebuilt).otherwise(text)
+    if length_col is None:
+        return docs.withColumn(text_col, masked)
+    kind = docs.schema[length_col].dataType
+    size = F.when(masked.eqNullSafe(text), F.col(length_col)).otherwise(F.length(masked).cast(kind))
+    return docs.withColumns({text_col: masked, length_col: size})
