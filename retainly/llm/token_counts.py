@@ -62,8 +62,8 @@ def encode_with_starts(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a text and the character where each token starts."""
     tok = load(path)
     if path.endswith(".model"):
-        pieces = tok.encode(text, out_type="immutable_proto").pieces
-        return np.array([p.id for p in pieces], np.int64), np.array([p.begin for p in pieces], np.int64)
+        e = tok.encode(text, out_type="offset_mapping")
+        return np.array(e["ids"], np.int64), np.array([o[0] for o in e["offsets"]], np.int64)
     e = tok.encode(text, add_special_tokens=False)
     return np.array(e.ids, np.int64), np.array([o[0] for o in e.offsets], np.int64)
 
