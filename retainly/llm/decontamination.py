@@ -62,7 +62,7 @@ class Index:
     """Inverted index of a part of the items; arrays over segments, terms or postings."""
 
     item: np.ndarray           # item number of each segment
-    item_ids: np.ndarray
+    item_ids: list             # id of each item, which may be null
     shingle: np.ndarray        # sorted distinct shingle hashes of segments, flat
     shingle_at: np.ndarray
     is_answer: np.ndarray      # per shingle: it starts in the answer
@@ -139,7 +139,7 @@ def build_index(items: list[tuple[int, str]], segment: int = SEGMENT) -> Index:
     key = key[new]
     known = np.zeros(1 << 16, bool)
     known[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Index(np.array(seg_item), np.array([i for i, _ in items], np.int64), np.concatenate(sh),
+    return Index(np.array(seg_item), [i for i, _ in items], np.concatenate(sh),
                  np.concatenate([[0], np.cumsum([len(x) for x in sh])]), np.concatenate(sh_answer), terms, known, post_at,
                  seg_of, impact, np.maximum.reduceat(impact, post_at[:-1]), selective,
                  np.searchsorted(key // n_blocks, np.arange(len(terms) + 1)), key % n_blocks, tops, rest)
@@ -194,7 +194,8 @@ def retrieve(b: Block, h: np.ndarray, x: Index, threshold: float) -> tuple[np.nd
         sp, st = p[sel], tm[sel]
         which, at = ranges(x.max_at[st], x.max_at[st + 1] - x.max_at[st])
         ub = np.bincount(sp[which] * n_blocks + x.max_block[at], weights=x.max_impact[at], minlength=m * n_blocks)
-        open_ = (ub.reshape(m, n_blocks) + x.rest >= threshold - 1e-9) & (ub.reshape(m, n_blocks) > 0)
+        other = np.bincount(p[~sel], weights=x.best[tm[~sel]], minlength=m)
+        open_ = ub.reshape(m, n_blocks) + np.minimum(x.rest, other[:, None]) >= threshold - 1e-9
         go = open_.any(axis=1)
         keep = go[p]
         p, tm = p[keep], tm[keep]
@@ -239,7 +240,7 @@ def leaks(b: Block, x: Index, threshold: float, percent: int) -> list[tuple]:
         for i, (v, hits) in found.items():
             if 100 * hits.sum() >= percent * total[i].sum():
                 q, a = (float(hits[k] / total[i][k]) if total[i][k] else 0.0 for k in (0, 1))
-                out.append((int(r), int(x.item_ids[i]), v, float(hits.sum() / total[i].sum()), q, a))
+                out.append((int(r), x.item_ids[i], v, float(hits.sum() / total[i].sum()), q, a))
     return out
 
 

@@ -43,12 +43,13 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_stages_keep_columns_and_survive_odd_rows(spark):
-    docs = odd.frame(spark)
+    good = [(5000 + i, " ".join(f"v{(i * 37 + k * 11) % 997}" for k in range(80)) + f' token = "{i:040x}"', None, "src0") for i in range(120)]
+    docs = odd.frame(spark, odd.rows() + good)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
         docs = corpus_pipeline.stored(out, "test")
-        assert docs.count() <= len(odd.rows())
+        assert docs.count() <= len(odd.rows()) + len(good)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 

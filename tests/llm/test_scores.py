@@ -146,7 +146,7 @@ def test_leaks_in_odd_rows(spark):
 
 
 def test_answer_is_the_last_sentence():
-    assert D.answer_start("What is it? It is red. Nine") == 5
+    assert D.answer_start("What is it? It is red. Nine") == 6
     assert D.answer_start("one two three four five six seven eight") == 6
 
 
