@@ -120,7 +120,8 @@ def host_verdicts(counts: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
 def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT, **columns_and_limits) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, kept, host_rate."""
     counts = stored(document_counts(docs, **columns_and_limits), "quality")
-    verdicts = host_verdicts(counts, host_limit).select("host", F.col("shrunk_rate").alias("host_rate"), "rejected")
+    # written first: the planner then knows its size and deals the documents by host only if it is too large to broadcast
+    verdicts = stored(host_verdicts(counts, host_limit).select("host", F.col("shrunk_rate").alias("host_rate"), "rejected"), "hosts")
     return (counts.join(verdicts, "host", "left")
             .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False)))
             .select("doc_id", *COUNTS, "base_failed", "kept", "host_rate"))
@@ -131,7 +132,7 @@ def keep_good(docs: DataFrame, host_limit: float = HOST_LIMIT, id_col: str = "do
     """The rows of ``docs``, all columns unchanged, that the rules keep."""
     counts = stored(document_counts(docs, id_col, text_col, host_col, min_words, repeat_percent)
                     .select("host", "base_failed"), "quality")
-    bad = host_verdicts(counts, host_limit).filter("rejected").select("host")
+    bad = stored(host_verdicts(counts, host_limit).filter("rejected").select("host"), "hosts")
     at = docs.columns.index(text_col)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
