@@ -73,28 +73,32 @@ def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list, o
             .drop(table["_pid"]))
 
 
-def prefix_sum(df: DataFrame, order_cols: list[str], value: str, out: str = "prefix",
+def prefix_sum(df: DataFrame, order_cols: list[str], value: str | dict[str, str], out: str = "prefix",
                group_cols: list[str] | None = None, inclusive: bool = False) -> DataFrame:
-    """Running sum of ``value`` in ``order_cols`` order (restarting per group), distributed.
+    """Running sum of ``value`` in ``order_cols`` order (restarting per group, null groups included), distributed.
 
-    Rows are range-partitioned on (group, order); each partition computes a
-    local running sum, and per-partition totals (one row per partition) give
-    the offsets. Group restarts subtract the prefix at the group's first row.
-    The order must be unique within a group.
+    ``value`` may map several columns to their output names: they share one
+    range-partitioning on (group, order). Each partition computes local running
+    sums per group; the sums a group has in earlier partitions come from one
+    row per (partition, group), so rows are joined on partition and group
+    together and a large group stays spread over its partitions. The order must
+    be unique within a group.
     """
+    values = value if isinstance(value, dict) else {value: out}
     group_cols = list(group_cols or [])
     keys = [*group_cols, *order_cols]
     ranged = reliable_checkpoint(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
-    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
-    offsets = totals.select("_pid", F.sum("_tot").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
-    local = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    res = (ranged.withColumn("_loc", F.sum(value).over(local))
-           .join(F.broadcast(offsets), "_pid")
-           .withColumn("_glob", F.coalesce("_off", F.lit(0)) + F.coalesce("_loc", F.lit(0))))
-    if group_cols:
-        start = res.groupBy(*group_cols).agg(F.min("_glob").alias("_start"))
-        res = res.join(start, group_cols).withColumn("_glob", F.col("_glob") - F.col("_start")).drop("_start")
-    if inclusive:
-        res = res.withColumn("_glob", F.col("_glob") + F.col(value))
-    return res.withColumnRenamed("_glob", out).drop("_pid", "_loc", "_off")
+    runs = ranged.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
+    # over one row per (partition, group)
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group_cols],
+                       *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_e{i}") for i in range(len(values))])
+    cond = ranged["_pid"] == runs["_p"]
+    for c in group_cols:
+        cond = cond & ranged[c].eqNullSafe(runs[f"_g_{c}"])
+    local = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    res = (ranged.withColumns({f"_l{i}": F.sum(v).over(local) for i, v in enumerate(values)}).alias("r")
+           .join(F.broadcast(runs) if not group_cols else runs, cond))
+    return (res.withColumns({name: F.coalesce(f"_l{i}", F.lit(0)) + F.col(f"_e{i}") for i, name in enumerate(values.values())})
+            .drop("_pid", "_p", *[f"_g_{c}" for c in group_cols], *[f"_{k}{i}" for i in range(len(values)) for k in "le"]))

@@ -75,9 +75,8 @@ def offer_cost(offer: str = "Retention_Offer") -> Column:
 
 
 def priority_expr(prob: str = "p") -> Column:
-    """p * 100 rounded half-up to 1 dp on the exact 4-dp decimal score (integer arithmetic, no binary drift)."""
-    units = F.round(F.col(prob) * 10000).cast("bigint")
-    return F.floor((units + 5) / 10) / 10.0
+    """p * 100 rounded half-up to 1 dp, once, on the decimal value of the score (no binary drift)."""
+    return F.round(F.col(prob).cast("decimal(20,15)") * 100, 1).cast("double")
 
 
 def priority_scores(df: DataFrame, prob: str = "p", out: str = "Priority_Score", key: str = "c_custkey",
@@ -170,18 +169,20 @@ def _budget_quotas(groups: list[dict], budget: float, min_per_group: int) -> dic
     """Greedy over a bounded list of (segment, cost) groups in ROI order.
 
     Phase 1 reserves the per-segment minimum, phase 2 spends the rest; never
-    exceeds the budget. Input has at most one entry per segment rule.
+    exceeds the budget. Input has one entry per (segment, offer cost).
     """
     remaining = budget
-    take = {}
-    for g in groups:
-        r = min(g["n"], min_per_group, int(remaining // g["cost"]) if g["cost"] > 0 else g["n"])
-        take[g["seg"]] = r
-        remaining -= r * g["cost"]
-    for g in groups:
-        q = min(g["n"] - take[g["seg"]], int(remaining // g["cost"]) if g["cost"] > 0 else g["n"])
-        take[g["seg"]] += q
-        remaining -= q * g["cost"]
+    take = dict.fromkeys(((g["seg"], g["cost"]) for g in groups), 0)
+    owed = {g["seg"]: min_per_group for g in groups}
+    for reserve in (True, False):
+        for g in groups:
+            k = (g["seg"], g["cost"])
+            q = min(g["n"] - take[k], int(remaining // g["cost"]) if g["cost"] > 0 else g["n"])
+            if reserve:
+                q = min(q, owed[g["seg"]])
+                owed[g["seg"]] -= q
+            take[k] += q
+            remaining -= q * g["cost"]
     return take
 
 
@@ -189,27 +190,24 @@ def budget_allocation(plan: DataFrame, total_budget: float = 10000.0, min_custom
                       segment: str = "Risk_Segment", key: str = "c_custkey", priority: str = "Priority_Score") -> DataFrame:
     """ROI-greedy selection under a hard budget, highest priority first within a segment.
 
-    The greedy runs on the per-segment aggregate (one row per segment rule,
-    bounded by the rule table, never by the data); customers are then picked
-    by rank <= quota inside each segment.
+    The greedy runs on the aggregate by (segment, offer cost), which the rule
+    tables bound; customers are then picked by rank <= quota inside each group.
     """
     rate = F.try_element_at(_map(RETENTION_RATES), F.col(segment))
     df = plan.withColumns({"Offer_Cost": offer_cost(), "Estimated_Retention_Rate": rate})
     df = df.withColumns({"Expected_Value": F.col("Estimated_Retention_Rate") * CUSTOMER_LIFETIME_VALUE})
     df = df.withColumn("ROI_Score", F.col("Expected_Value") / (F.col("Offer_Cost") + 0.01))
     # rank first (materialised once), then the per-segment aggregate reads the materialised rows
-    ranked = rank_within_groups(df.withColumn("_neg_pri", -F.col(priority)), [segment], ["_neg_pri", key], out="_r")
-    agg = (ranked.groupBy(F.col(segment).alias("seg"))
-           .agg(F.count(F.lit(1)).alias("n"), F.max("Offer_Cost").alias("cost"), F.max("ROI_Score").alias("roi")))
-    rows = sorted((r.asDict() for r in agg.collect()), key=lambda r: (-(r["roi"] or 0), r["seg"] or ""))
-    if len(rows) > len(SEGMENT_LABELS) + 1:
-        raise ValueError("budget groups must be bounded by the segment rules")
+    ranked = rank_within_groups(df.withColumn("_neg_pri", -F.col(priority)), [segment, "Offer_Cost"], ["_neg_pri", key], out="_r")
+    agg = (ranked.groupBy(F.col(segment).alias("seg"), F.col("Offer_Cost").alias("cost"))
+           .agg(F.count(F.lit(1)).alias("n"), F.max("ROI_Score").alias("roi")))
+    rows = sorted((r.asDict() for r in agg.collect()), key=lambda r: (-(r["roi"] or 0), r["seg"] or "", r["cost"]))
     take = _budget_quotas(rows, total_budget, min_customers_per_segment)
     spark = plan.sparkSession
-    quotas = spark.createDataFrame([(k, int(v)) for k, v in take.items()], "seg string, quota bigint")
-    return (ranked.join(F.broadcast(quotas), F.col(segment) == F.col("seg"), "left")
+    quotas = spark.createDataFrame([(*k, int(v)) for k, v in take.items()], "seg string, cost double, quota bigint")
+    return (ranked.join(F.broadcast(quotas), F.col(segment).eqNullSafe(F.col("seg")) & (F.col("Offer_Cost") == F.col("cost")), "left")
             .withColumn("Included_in_Optimized_Plan", (F.col("_r") <= F.coalesce("quota", F.lit(0))).cast("int"))
-            .drop("_neg_pri", "_r", "_group_n", "seg", "quota"))
+            .drop("_neg_pri", "_r", "_group_n", "seg", "cost", "quota"))
 
 
 def budget_summary(allocated: DataFrame, segment: str = "Risk_Segment") -> DataFrame:

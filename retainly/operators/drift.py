@@ -40,10 +40,13 @@ def ks_drift(df: DataFrame, cols: list[str], period: str = "period", alpha: floa
     long = df.select(F.col(period), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                                        for c in cols]))).filter(F.col("v").isNotNull())
     g = long.groupBy("column", "v").agg(F.count_if(F.col(period) == BASE).alias("c1"), F.count_if(F.col(period) == CUR).alias("c2"))
-    g = prefix_sum(g, ["v"], "c1", out="cum1", group_cols=["column"], inclusive=True)
-    g = prefix_sum(g, ["v"], "c2", out="cum2", group_cols=["column"], inclusive=True)
-    n = g.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
-    d = (g.join(n, "column")
+    g = prefix_sum(g, ["v"], {"c1": "cum1", "c2": "cum2"}, group_cols=["column"], inclusive=True)
+    # totals as literals: one row per tested column
+    n = F.create_map(*[x for r in g.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).collect()
+                       for x in (F.lit(r["column"]), F.struct(F.lit(r["n1"]).alias("n1"), F.lit(r["n2"]).alias("n2")))]
+                     or [F.lit(""), F.struct(F.lit(0).alias("n1"), F.lit(0).alias("n2"))])
+    g = g.withColumn("_n", n[F.col("column")])
+    d = (g.select("*", "_n.n1", "_n.n2")
          .groupBy("column", "n1", "n2")
          .agg(F.max(F.abs(F.col("cum1") / F.col("n1") - F.col("cum2") / F.col("n2"))).alias("d")))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
@@ -58,29 +61,34 @@ def ks_drift(df: DataFrame, cols: list[str], period: str = "period", alpha: floa
 def chi2_drift(df: DataFrame, cols: list[str], period: str = "period") -> DataFrame:
     """Chi-square of current counts against baseline counts scaled to the current total.
 
-    Returns statistic and degrees of freedom per column; ``with_chi2_pvalue``
-    adds the p-value from the (one row per column) result.
+    Returns statistic, degrees of freedom and ``n_new`` (current rows in categories that the
+    baseline lacks, which have no expected count: they count in the degrees of freedom and are
+    drift by themselves) per column; ``with_chi2_pvalue`` adds p-value and flag. The running
+    counts are one row per (column, category).
     """
     long = df.select(F.col(period), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
                                                        for c in cols])))
     g = long.groupBy("column", "v").agg(F.count_if(F.col(period) == BASE).alias("o_base"), F.count_if(F.col(period) == CUR).alias("o_cur"))
     tot = g.groupBy("column").agg(F.sum("o_base").alias("n_base"), F.sum("o_cur").alias("n_cur"))
-    j = g.join(tot, "column").withColumn("e", F.col("o_base") * F.col("n_cur") / F.col("n_base"))
+    j = g.join(tot, "column").withColumn("e", F.try_divide(F.col("o_base") * F.col("n_cur"), F.col("n_base")))
+    new = (F.col("o_base") == 0) & (F.col("o_cur") > 0)
     s = (j.groupBy("column")
          .agg(F.sum(F.when(F.col("e") > 0, F.pow(F.col("o_cur") - F.col("e"), 2) / F.col("e"))).alias("stat"),
-              F.count_if(F.col("e") > 0).alias("k")))
-    return s.select("column", F.round("stat", 6).alias("chi2_stat"), (F.col("k") - 1).cast("bigint").alias("dof"))
+              F.count_if((F.col("e") > 0) | new).alias("k"), F.coalesce(F.sum(F.when(new, F.col("o_cur"))), F.lit(0)).alias("n_new")))
+    return s.select("column", F.round("stat", 6).alias("chi2_stat"), (F.col("k") - 1).cast("bigint").alias("dof"),
+                    F.col("n_new").cast("bigint").alias("n_new"))
 
 
 def with_chi2_pvalue(result: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Attach p-values computed on the driver (one row per tested column)."""
-    rows = result.collect()
-    spark = result.sparkSession
+    """Attach p-values computed on the driver (one row per tested column) and the flag: DRIFT when p <= alpha or
+    a category is new, SKIPPED without a statistic."""
     out = []
-    for r in rows:
-        p = chi2_sf(r["chi2_stat"], int(r["dof"])) if r["chi2_stat"] is not None else float("nan")
-        out.append((r["column"], r["chi2_stat"], r["dof"], p, "DRIFT" if (not math.isnan(p) and p <= alpha) else "STABLE"))
-    return spark.createDataFrame(out, "column string, chi2_stat double, dof bigint, p_value double, status string")
+    for r in result.collect():
+        p = chi2_sf(r["chi2_stat"], int(r["dof"])) if r["chi2_stat"] is not None else math.nan
+        status = "DRIFT" if r["n_new"] > 0 or p <= alpha else "SKIPPED" if math.isnan(p) else "STABLE"
+        out.append((r["column"], r["chi2_stat"], r["dof"], r["n_new"], None if math.isnan(p) else round(p, 6), status))
+    return result.sparkSession.createDataFrame(
+        out, "column string, chi2_stat double, dof bigint, n_new bigint, p_value double, status string")
 
 
 def label_periods(df: DataFrame, ts: str, window_days: int = 10) -> DataFrame:

@@ -92,14 +92,16 @@ def threshold_sweep(df: DataFrame, label: str = "churn", score: str = "p", start
                     min_recall: float = 0.6, digits: int = 4) -> DataFrame:
     """Precision/recall/F1 at thresholds start/100 .. stop/100 (predict p >= t).
 
-    Scores (4 dp) become integers in 1e-4 units; each row lands in the bucket
-    of the highest threshold it reaches, then a suffix sum over <= 81 buckets
-    gives counts at every threshold: no join of rows with thresholds.
+    Each row lands in the bucket of the highest threshold it reaches (found by
+    arithmetic, settled by comparing the unrounded score with k/100 itself),
+    then a suffix sum over <= 81 buckets gives counts at every threshold: no
+    join of rows with thresholds.
     Flags: first maximum F1 (lowest threshold wins ties) and the same among
     thresholds with recall >= ``min_recall``.
     """
-    units = F.round(F.col(score) * 10000).cast("bigint")
-    bucket = F.least(F.floor(units / 100), F.lit(stop)).cast("int")
+    near = F.floor(F.col(score) * 100)
+    reached = F.when(F.col(score) >= (near + 1) / 100, near + 1).when(F.col(score) < near / 100, near - 1).otherwise(near)
+    bucket = F.when(F.col(score).isNotNull(), F.least(reached, F.lit(stop))).cast("int")  # least() skips nulls
     g = (df.select(F.col(label), bucket.alias("_b"))
          .groupBy("_b").agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
     totals = df.agg(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) == 0).alias("N"))

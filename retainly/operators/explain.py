@@ -120,12 +120,14 @@ def counterfactuals(df: DataFrame, key: str, features: list[str], predict, targe
 
     Candidates: change 1..max_changes features chosen by stable hashes;
     numeric change N(0, 0.5 std) clipped to [min, max]; categorical columns
-    take another observed value (value +/- 1 within [min, max]).
+    take another of the column's observed values, each with the same chance.
     Output: long (key, iteration, n_changes, feature, original, counterfactual, change) for changed features.
     """
     categorical = categorical or []
     st = df.agg(*[x for c in features for x in (F.stddev_pop(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_mn"),
                                                 F.max(c).alias(f"{c}_mx"))]).first().asDict()
+    observed = (df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("double"))).alias(c) for c in categorical]).first().asDict()
+                if categorical else {})  # one row; a categorical column's codes
     k = len(features)
     fan = df.select(key, *[F.col(c).cast("double").alias(c) for c in features],
                     F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("iteration"))
@@ -138,9 +140,9 @@ def counterfactuals(df: DataFrame, key: str, features: list[str], predict, targe
     for c in features:
         mn, mx, sd = st[f"{c}_mn"], st[f"{c}_mx"], st[f"{c}_sd"] or 0.0
         if c in categorical:
-            step = F.when(uniform(f"{seed}c", F.col(key), F.col("iteration"), F.lit(c)) < 0.5, -1.0).otherwise(1.0)
-            cand = F.col(c) + step
-            cand = F.when((cand < mn) | (cand > mx), F.col(c) - step).otherwise(cand)
+            others = F.array_remove(F.array(*[F.lit(float(v)) for v in observed[c]]), F.col(c))
+            pick = F.floor(uniform(f"{seed}c", F.col(key), F.col("iteration"), F.lit(c)) * F.size(others)).cast("int") + 1
+            cand = F.coalesce(F.try_element_at(others, pick), F.col(c))
         else:
             cand = F.greatest(F.lit(mn), F.least(F.lit(mx), F.col(c) + gaussian(f"{seed}v", F.col(key), F.col("iteration"), F.lit(c)) * (0.5 * sd)))
         new[f"cf_{c}"] = F.when(F.array_contains("_chosen", c), cand).otherwise(F.col(c))

@@ -190,15 +190,19 @@ def check_pii_columns(df: DataFrame, pii_fields: list[str]) -> DataFrame:
     return check_row(one, "pii_removed", ",".join(hit) or "-", F.lit(float(len(hit))), "0 PII columns", F.lit(len(hit) == 0))
 
 
+def _row_digest(cols: list[str]):
+    """Digest of the JSON text of the columns: names, quotes and nulls keep any two different rows apart."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]),
+                            {"ignoreNullFields": "false"}), 256)
+
+
 def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows repeating an earlier identical row: sum(n - 1) over groups of equal rows.
 
-    Long text columns are grouped by a 128-bit digest plus length instead of
-    the text itself, so the shuffle carries fixed-size keys.
+    Rows are grouped by a 256-bit digest instead of their values, so the
+    shuffle carries fixed-size keys.
     """
-    cols = cols or df.columns
-    key = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]))
-    g = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(_row_digest(cols or df.columns).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
                  F.sum(F.col("_n") - 1).alias("n_duplicates")).select(
         F.col("n_rows").cast("bigint"), "n_distinct", F.col("n_duplicates").cast("bigint"))
@@ -207,13 +211,12 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def dedup_exact(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """Keep the first row (smallest ``key``) of each group of identical ``cols`` values.
 
-    Groups on an md5 digest of the values (fixed-size shuffle keys); a hot
-    duplicate group only costs one aggregation slot (partial aggregation
-    combines map-side), never a collected list.
+    One aggregation by digest; a hot duplicate group costs one slot per task
+    (partial aggregation combines map-side), never a collected list. Rows
+    without a key come after all others of their group.
     """
-    digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]))
-    keep = df.groupBy(digest.alias("_d")).agg(F.min(key).alias("_keep"))
-    return df.join(keep, F.col(key) == F.col("_keep"), "left_semi")
+    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.col(key).isNull(), F.col(key)))
+    return df.groupBy(_row_digest(cols).alias("_d")).agg(first.alias("_row")).select("_row.*")
 
 
 def pii_counts(texts: dict[str, DataFrame], text_col: str = "text", patterns: dict[str, str] = PII_COUNT_PATTERNS) -> DataFrame:

@@ -26,13 +26,10 @@ ALERT_RULES = [  # metric, op, threshold, severity, message
     ("total_cost", ">", 10000.0, "CRITICAL", "Campaign over budget"),
     ("high_risk_coverage", "<", 0.80, "WARNING", "High-risk coverage below target"),
 ]
-IMPROVEMENT_RULES = [
-    ("auc", 0.80, "Try gradient-boosted trees with more iterations for potentially higher AUC."),
-    ("f1", 0.60, "Apply SMOTE or class weights to improve minority class F1."),
-    ("recall", 0.65, "Lower the classification threshold from 0.5 to 0.4 to improve churn recall."),
-]
-DEFAULT_ADVICE = "Model is performing well. Consider feature engineering on tenure and spend ratios."
-TUNING_ADVICE = "Run hyperparameter tuning with a randomized parameter search for further gains."
+IMPROVEMENT_FLOORS = {"auc": 0.80, "f1": 0.60, "recall": 0.65}
+# ---- own advice codes: what to change when a metric is below its floor ----
+ADVICE_CODES = {"auc": "R1_MODEL_FAMILY", "f1": "R2_CLASS_WEIGHTS", "recall": "R3_CUTOFF"}
+NO_FINDING, NEXT_STEP = "R0_NO_FLOOR_BROKEN", "R9_TUNE"
 SEVERITY_RANK = {"OK": 0, "UNKNOWN": 1, "WARNING": 2, "CRITICAL": 3}
 
 
@@ -186,17 +183,18 @@ def append_run(runs_path: str, new_rows: DataFrame) -> None:
     new_rows.write.mode("append").parquet(runs_path)
 
 
-def improvement_rules(metrics: DataFrame, rules=IMPROVEMENT_RULES) -> DataFrame:
-    """Advice rows for metrics under their thresholds, a default when none fires, tuning advice always."""
+def improvement_rules(metrics: DataFrame, floors=IMPROVEMENT_FLOORS, codes=ADVICE_CODES) -> DataFrame:
+    """An advice code per metric below its floor, NO_FINDING when there is none, NEXT_STEP always."""
+    rules = [(m, t, codes[m]) for m, t in floors.items()]
     specs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(t).alias("threshold"),
                       F.lit(a).alias("advice"), (F.col(m) < t).alias("fired")) for m, t, a in rules]
     rows = metrics.select(F.inline(F.array(*specs)))
     fired = rows.filter(F.col("fired")).select("metric", F.round("value", 6).alias("value"), "threshold", "advice")
     n_fired = fired.agg(F.count(F.lit(1))).scalar()
     default = metrics.select(F.lit("default").alias("metric"), F.lit(None).cast("double").alias("value"),
-                             F.lit(None).cast("double").alias("threshold"), F.lit(DEFAULT_ADVICE).alias("advice")).filter(n_fired == 0)
+                             F.lit(None).cast("double").alias("threshold"), F.lit(NO_FINDING).alias("advice")).filter(n_fired == 0)
     tuning = metrics.select(F.lit("tuning").alias("metric"), F.lit(None).cast("double").alias("value"),
-                            F.lit(None).cast("double").alias("threshold"), F.lit(TUNING_ADVICE).alias("advice"))
+                            F.lit(None).cast("double").alias("threshold"), F.lit(NEXT_STEP).alias("advice"))
     return fired.unionByName(default).unionByName(tuning)
 
 
@@ -268,8 +266,9 @@ def run_ttest(runs: DataFrame, significance: float = 0.05, min_runs: int = 4) ->
     mo, vo, ko = (o.select(c).scalar() for c in ("m", "v", "k"))
     mn, vn, kn = (nw.select(c).scalar() for c in ("m", "v", "k"))
     dof = kn + ko - 2
-    sp = F.sqrt(((kn - 1) * vn + (ko - 1) * vo) / dof)
-    t = (mn - mo) / (sp * F.sqrt(1.0 / kn + 1.0 / ko))
+    sp = F.sqrt(F.try_divide((kn - 1) * vn + (ko - 1) * vo, dof))
+    # no variance in either half: no statistic
+    t = F.try_divide(mn - mo, sp * F.sqrt(F.try_divide(F.lit(1.0), kn) + F.try_divide(F.lit(1.0), ko)))
     std = runs.agg(F.stddev_pop("auc")).scalar()
     last = _last_two(runs).filter(F.col("metric") == "auc").select((F.col("value") - F.col("previous")).alias("d")).agg(F.max("d")).scalar()
     z = last / (std + 0.001)
@@ -280,8 +279,8 @@ def run_ttest(runs: DataFrame, significance: float = 0.05, min_runs: int = 4) ->
 
 
 def with_ttest_pvalue(result: DataFrame, significance: float = 0.05) -> DataFrame:
-    """Add the two-sided p-value (driver, one row)."""
+    """Add the two-sided p-value (driver, one row); no statistic, no p-value and not significant."""
     r = result.first()
     p = t_two_sided_p(r["t_stat"], r["dof"]) if r["t_stat"] is not None else None
-    return result.withColumn("p_value", F.lit(p).cast("double")).withColumn(
-        "significant", F.when(F.col("p_value") < significance, 1).otherwise(0))
+    return result.withColumn("p_value", F.round(F.lit(p).cast("double"), 6)).withColumn(
+        "significant", F.coalesce(F.col("p_value") < significance, F.lit(False)).cast("int"))

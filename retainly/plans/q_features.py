@@ -59,13 +59,18 @@ def q_ks_drift(spark, sf):
 
 
 @register("chi2_drift", with_views(f"""
-SELECT 'event_type' AS {Q}, round(sum(CASE WHEN e > 0 THEN pow(oc - e, 2) / e END), 6) AS chi2_stat,
-       CAST(count(*) FILTER (WHERE e > 0) - 1 AS BIGINT) AS dof
+SELECT {Q}, chi2_stat, dof, n_new, round(p, 6) AS p_value,
+       CASE WHEN n_new > 0 OR p <= 0.05 THEN 'DRIFT' WHEN p IS NULL THEN 'SKIPPED' ELSE 'STABLE' END AS status
+FROM (SELECT *, 1 - exp(dof / 2.0 * ln(chi2_stat / 2) - chi2_stat / 2) * (  -- series of the incomplete gamma function
+        SELECT sum(exp(j * ln(chi2_stat / 2) - lgamma(dof / 2.0 + j + 1))) FROM range(0, 1000) r(j)) AS p
+FROM (SELECT 'event_type' AS {Q}, round(sum(CASE WHEN e > 0 THEN pow(oc - e, 2) / e END), 6) AS chi2_stat,
+       CAST(count(*) FILTER (WHERE e > 0 OR (ob = 0 AND oc > 0)) - 1 AS BIGINT) AS dof,
+       CAST(coalesce(sum(oc) FILTER (WHERE ob = 0), 0) AS BIGINT) AS n_new
 FROM (SELECT ob, oc, ob * (SELECT count(*) FROM evp WHERE period = 'current') / CAST((SELECT count(*) FROM evp WHERE period = 'baseline') AS DOUBLE) AS e
       FROM (SELECT event_type, count(*) FILTER (WHERE period = 'baseline') AS ob, count(*) FILTER (WHERE period = 'current') AS oc
-            FROM evp GROUP BY event_type))""", extra=EV_SQL))
+            FROM evp GROUP BY event_type))))""", extra=EV_SQL))
 def q_chi2_drift(spark, sf):
-    return D.chi2_drift(events_periods(spark, sf), ["event_type"])
+    return D.with_chi2_pvalue(D.chi2_drift(events_periods(spark, sf), ["event_type"]))
 
 
 # ---- 2.D features on the processed (numeric, imputed) churn table ----
@@ -356,4 +361,5 @@ UNION ALL SELECT 11, n_rows, content_hash, 'PASSED' FROM ({fp})""", "CHURN_BASE"
 
 @register("determinism", _determinism_sql())
 def q_determinism(spark, sf):
-    return S.determinism(lambda n: S.dataset_fingerprint(V.churn_base(spark, sf), FP_COLS, "churn"), (3, 11))
+    # rebuilt from the scans in every run, never the stored table
+    return S.determinism(lambda n: S.dataset_fingerprint(V.build_churn_base(spark, sf), FP_COLS, "churn"), (3, 11))

@@ -252,11 +252,11 @@ def q_log_run(spark, sf):
 
 def _improve_sql():
     fired = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, {t}::DOUBLE AS threshold, '{a}' AS advice FROM met WHERE {m} < {t}"
-                               for m, t, a in SM.IMPROVEMENT_RULES)
+                               for m, t, a in ((m, t, SM.ADVICE_CODES[m]) for m, t in SM.IMPROVEMENT_FLOORS.items()))
     return with_views(f"""
 SELECT metric, round(value, 6) AS value, threshold, advice FROM f
-UNION ALL SELECT 'default', NULL, NULL, '{SM.DEFAULT_ADVICE}' WHERE (SELECT count(*) FROM f) = 0
-UNION ALL SELECT 'tuning', NULL, NULL, '{SM.TUNING_ADVICE}'""", "SCORED", extra=MET_SQL + f", f AS ({fired})")
+UNION ALL SELECT 'default', NULL, NULL, '{SM.NO_FINDING}' WHERE (SELECT count(*) FROM f) = 0
+UNION ALL SELECT 'tuning', NULL, NULL, '{SM.NEXT_STEP}'""", "SCORED", extra=MET_SQL + f", f AS ({fired})")
 
 
 @register("improvement_rules", _improve_sql())
@@ -318,16 +318,23 @@ def q_check_improvement(spark, sf):
 @register("run_ttest", with_views("""
 SELECT n AS n_runs, CASE WHEN n >= 4 THEN round(t, 6) END AS t_stat, CAST(CASE WHEN n >= 4 THEN kn + ko - 2 END AS BIGINT) AS dof,
        round(mo, 7) AS older_mean, round(mn, 7) AS newer_mean, round(d, 6) AS auc_delta, round(d / (sd + 0.001), 6) AS z_score,
-       CAST(abs(d / (sd + 0.001)) > 1.96 AS INTEGER) AS meaningful
+       CAST(abs(d / (sd + 0.001)) > 1.96 AS INTEGER) AS meaningful, round(p, 6) AS p_value,
+       CAST(coalesce(p < 0.05, false) AS INTEGER) AS significant
+FROM (SELECT *, CASE WHEN n >= 4 THEN 1 - 2 * round(t_abs, 6) / 6000 * (
+        -- Simpson's rule for the t density on [0, |t|]
+        SELECT sum((CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                   * exp(lgamma((k + 1) / 2.0) - lgamma(k / 2.0)) / sqrt(k * pi()) * pow(1 + pow(i * round(t_abs, 6) / 6000, 2) / k, -(k + 1) / 2.0)) / 3
+        FROM range(0, 6001) r(i)) END AS p
+FROM (SELECT *, abs(t) AS t_abs, CAST(kn + ko - 2 AS DOUBLE) AS k
 FROM (SELECT *, (mn - mo) / (sqrt(((kn - 1) * vn + (ko - 1) * vo) / (kn + ko - 2)) * sqrt(1.0 / kn + 1.0 / ko)) AS t FROM (
   SELECT (SELECT count(*) FROM run_log) AS n,
          avg(auc) FILTER (WHERE older) AS mo, var_samp(auc) FILTER (WHERE older) AS vo, count(*) FILTER (WHERE older) AS ko,
          avg(auc) FILTER (WHERE NOT older) AS mn, var_samp(auc) FILTER (WHERE NOT older) AS vn, count(*) FILTER (WHERE NOT older) AS kn,
          (SELECT stddev_pop(auc) FROM run_log) AS sd, (SELECT value - previous FROM last2 WHERE metric = 'auc') AS d
-  FROM (SELECT auc, row_number() OVER (ORDER BY run_id) <= floor((SELECT count(*) FROM run_log) / 2) AS older FROM run_log)))""",
+  FROM (SELECT auc, row_number() OVER (ORDER BY run_id) <= floor((SELECT count(*) FROM run_log) / 2) AS older FROM run_log)))))""",
     "BACKTEST", extra=LAST2_SQL))
 def q_run_ttest(spark, sf):
-    return SM.run_ttest(runs(spark, sf))
+    return SM.with_ttest_pvalue(SM.run_ttest(runs(spark, sf)))
 
 
 KEY_FEATURES = ["n_orders", "recency_days", "c_acctbal"]

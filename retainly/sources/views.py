@@ -83,12 +83,15 @@ def materialized(name: str, spark: SparkSession, sf_dir: str, build) -> DataFram
     return _MATERIALIZED[key]
 
 
+def build_churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy plan of churn_base, from the scans."""
+    orders = load_table(spark, sf_dir, "orders")
+    customer = load_table(spark, sf_dir, "customer")
+    return churn_features(orders, customer, latest_cut(orders))
+
+
 def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        orders = load_table(spark, sf_dir, "orders")
-        customer = load_table(spark, sf_dir, "customer")
-        return churn_features(orders, customer, latest_cut(orders))
-    return materialized("churn_base", spark, sf_dir, build)
+    return materialized("churn_base", spark, sf_dir, lambda: build_churn_base(spark, sf_dir))
 
 
 def scorecard_probability(recency: Column | str = "recency_days", n_orders: Column | str = "n_orders",
