@@ -16,7 +16,11 @@ when 100 * |intersection| >= ``percent`` * |union|.
 3. Rows of a signature are sorted by document in one shuffle and streamed: the first one
    leads and is paired with the others (a star, not all pairs). Signatures of buckets that
    hold many rows are salted and the salts' leaders are led once more.
-4. Pairs are verified on whole texts and linked nodes become components.
+   Rows carry the token's place in the order: a pair is only made where the place leaves
+   enough tokens behind it in both sets, as it does at the first token two linked sets share.
+4. Pairs first meet with their rare prefixes (4 bytes a token): what these share and what
+   they leave unseen bounds the intersection from above. Pairs that the bound leaves are
+   verified on whole texts, and linked nodes become components.
 5. A signature whose members are still in different components gives the pairs across
    components, which are verified the same way. What is already connected is never paired.
 
@@ -52,9 +56,11 @@ MIN_BAND = 32  # smaller sets index frequent tokens alone
 
 _PASS_ONE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                        ("bucket", pa.int32()), ("seen", pa.int64())])
-_SIG = pa.schema([("sig", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32())])
-_MEMBER = pa.schema([("sig", pa.int64()), ("lead", pa.int64()), ("lead_n", pa.int32()), ("doc", pa.int64()),
-                     ("n", pa.int32()), ("salted", pa.bool_())])
+_SIG = pa.schema([("sig", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+_SIG_DDL = "sig bigint, salt int, doc bigint, n int, place int"
+_MEMBER = pa.schema([("sig", pa.int64()), ("lead", pa.int64()), ("lead_n", pa.int32()), ("lead_place", pa.int32()),
+                     ("doc", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("salted", pa.bool_())])
+_MEMBER_DDL = "sig bigint, lead bigint, lead_n int, lead_place int, doc bigint, n int, place int, salted boolean"
 
 
 def shingles(b: Block, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +151,9 @@ class Order:
         return np.where(e < MIN_BAND, 0, np.maximum(1, self.may_miss(e) // PER_CLASS))
 
 
-def signatures(rows: np.ndarray, h: np.ndarray, n_rows: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature, counter of its rarest token) of every set; ``rows``, ``h`` as from ``distinct_sets`` in the order."""
+def signatures(rows: np.ndarray, h: np.ndarray, n_rows: int, order: Order) -> tuple[np.ndarray, ...]:
+    """(row, signature, counter of its rarest token, place) of every set; ``rows``, ``h`` as from ``distinct_sets`` in
+    the order. The place of a combination is 0."""
     n = np.bincount(rows, minlength=n_rows)
     start = np.cumsum(n) - n
     bucket = bucket_of(h, len(order.seen))
@@ -154,14 +161,15 @@ def signatures(rows: np.ndarray, h: np.ndarray, n_rows: int, order: Order) -> tu
     need = order.may_miss(n) + 1
     rank = np.arange(len(h)) - start[rows]
     rare = (level == 0) & (rank < need[rows])
-    out = [(rows[rare], mix(h[rare] ^ _C[11]), np.zeros(int(rare.sum()), np.int64))]
+    out = [(rows[rare], mix(h[rare] ^ _C[11]), np.zeros(int(rare.sum()), np.int64), rank[rare])]
     missing = need - np.bincount(rows[level == 0], minlength=n_rows)
     at = np.flatnonzero((level > 0) & (missing[rows] > 0))
     if len(at):
         r, hh, lv, count = rows[at], h[at], level[at], order.seen[bucket[at]]
         for step in (0, 1):
             band = order.band(np.maximum(n[r], 1)) + step
-            out += _combinations(r, hh, lv, count, missing[r], band, order.classes(band))
+            out += [(*c, np.zeros(len(c[0]), np.int64)) for c in
+                    _combinations(r, hh, lv, count, missing[r], band, order.classes(band))]
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
@@ -223,16 +231,17 @@ def _signature_rows(docs: DataFrame, shared, words: int) -> DataFrame:
                 bucket = bucket_of(h, len(order.seen))
                 rows, h = distinct_sets(rows, h, np.where(order.level[bucket] > 0, order.seen[bucket], 0))
                 n = np.bincount(rows, minlength=b.rows)
-                r, sig, count = signatures(rows, h, b.rows, order)
+                r, sig, count, at = signatures(rows, h, b.rows, order)
                 ids = x.column(0).slice(b.first, b.rows).to_numpy(zero_copy_only=False)
                 doc = ids[r]
                 salts = 1 + count // SALT_ROWS
                 salt = np.where(salts > 1, (mix(doc.astype(np.int64).view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), -1)
                 for i in range(0, len(r), 200_000):
                     j = slice(i, i + 200_000)
-                    yield columns(_SIG, sig=signed(sig[j]), salt=salt[j].astype(np.int32), doc=doc[j], n=n[r[j]].astype(np.int32))
+                    yield columns(_SIG, sig=signed(sig[j]), salt=salt[j].astype(np.int32), doc=doc[j], n=n[r[j]].astype(np.int32),
+                                  place=at[j].astype(np.int32))
 
-    return docs.mapInArrow(run, "sig bigint, salt int, doc bigint, n int")
+    return docs.mapInArrow(run, _SIG_DDL)
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -245,27 +254,88 @@ def stars(rows: DataFrame) -> DataFrame:
         for x in batches:
             if not x.num_rows:
                 continue
-            sig, salt, doc, n = (x.column(c).to_numpy() for c in ("sig", "salt", "doc", "n"))
+            sig, salt, doc, n, place = (x.column(c).to_numpy() for c in ("sig", "salt", "doc", "n", "place"))
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-            new[0] = last is None or (last[0], last[1]) != (sig[0], salt[0])
+            new[0] = last is None or last[:2] != (sig[0], salt[0])
             at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
             going_on = at < 0
-            lead, lead_n = doc[np.maximum(at, 0)], n[np.maximum(at, 0)]
+            lead = [v[np.maximum(at, 0)] for v in (doc, n, place)]
             if going_on.any():
-                lead[going_on], lead_n[going_on] = last[2], last[3]
+                for v, w in zip(lead, last[2:]):
+                    v[going_on] = w
             # a salted leader is kept too, as its own member, to be led once more
-            keep = (doc != lead) | (new & (salt >= 0))
-            yield columns(_MEMBER, sig=sig[keep], lead=lead[keep], lead_n=lead_n[keep], doc=doc[keep], n=n[keep],
-                          salted=salt[keep] >= 0)
-            last = (sig[-1], salt[-1], lead[-1], lead_n[-1])
+            keep = (doc != lead[0]) | (new & (salt >= 0))
+            yield columns(_MEMBER, sig=sig[keep], lead=lead[0][keep], lead_n=lead[1][keep], lead_place=lead[2][keep],
+                          doc=doc[keep], n=n[keep], place=place[keep], salted=salt[keep] >= 0)
+            last = (sig[-1], salt[-1], *(v[-1] for v in lead))
 
     dealt = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "doc")
-    return dealt.mapInArrow(run, "sig bigint, lead bigint, lead_n int, doc bigint, n int, salted boolean")
+    return dealt.mapInArrow(run, _MEMBER_DDL)
 
 
-def similar_size(n, m, percent: int):
-    return 100 * F.least(n, m).cast("bigint") >= percent * F.greatest(n, m).cast("bigint")
+def may_link(n, place, m, place_m, percent: int):
+    """Whether sets of n and m tokens whose first common token has these places can link: the tokens from there on
+    reach the intersection that ``percent`` of the union asks for, percent / (100 + percent) of n + m."""
+    n, m = n.cast("bigint"), m.cast("bigint")
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & ((100 + percent) * F.least(n - place, m - place_m) >= percent * (n + m)))
+
+
+def rare_prefixes(docs: DataFrame, shared, words: int) -> DataFrame:
+    """(node, n, tops, all_rare): the upper 4 bytes of the rare tokens of each prefix, in order; one row per id and set."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tops", pa.binary()), ("all_rare", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order: Order = shared.value
+        for x in batches:
+            for b in blocks(x.column(1), lower=True):
+                rows, h = distinct_sets(*shingles(b, words))
+                n = np.bincount(rows, minlength=b.rows)
+                rare = order.level[bucket_of(h, len(order.seen))] == 0
+                r, hr = rows[rare], h[rare]
+                n_rare = np.bincount(r, minlength=b.rows)
+                need = order.may_miss(n) + 1
+                first = np.arange(len(r)) - (np.cumsum(n_rare) - n_rare)[r] < need[r]
+                r, tops = r[first], (hr[first] >> np.uint64(32)).astype("<u4")
+                cut = np.searchsorted(r, np.arange(b.rows + 1))
+                raw = tops.tobytes()
+                yield columns(schema, node=x.column(0).slice(b.first, b.rows), n=n.astype(np.int32),
+                              tops=[raw[4 * i:4 * j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], all_rare=n_rare <= need)
+
+    return docs.mapInArrow(run, "node bigint, n int, tops binary, all_rare boolean").dropDuplicates()
+
+
+def bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes leave a link possible."""
+    def values(x: pa.RecordBatch, side: str):
+        col = x.column(f"tops_{side}").cast(pa.large_binary())
+        off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
+        data = np.frombuffer(col.buffers()[2], "<u4") if col.buffers()[2] is not None else np.zeros(0, "<u4")
+        top = data[off[0] // 4:off[-1] // 4].astype(np.int64)
+        size = np.diff(off) // 4
+        row = np.repeat(np.arange(len(size)), size)
+        limit = np.full(len(size), 1 << 32)
+        open_ = ~x.column(f"all_{side}").to_numpy(zero_copy_only=False) & (size > 0)
+        limit[open_] = top[(np.cumsum(size) - 1)[open_]]
+        return row, top, limit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            m = x.num_rows
+            (ra, ta, la), (rb, tb, lb) = values(x, "a"), values(x, "b")
+            limit = np.minimum(la, lb)  # below it, each prefix shows all rare tokens of its set
+            ka, kb = ((r[t < limit[r]] << 32) | t[t < limit[r]] for r, t in ((ra, ta), (rb, tb)))
+            shared = np.bincount(ka[np.isin(ka, kb)] >> 32, minlength=m)
+            unseen = np.minimum(x.column("na").to_numpy() - np.bincount(ka >> 32, minlength=m),
+                                x.column("nb").to_numpy() - np.bincount(kb >> 32, minlength=m))
+            n = x.column("na").to_numpy().astype(np.int64) + x.column("nb").to_numpy()
+            keep = (100 + percent) * (shared + unseen) >= percent * n
+            yield x.select(["a", "b"]).filter(pa.array(keep))
+
+    a, b = (prefixes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tops").alias(f"tops_{k}"),
+                            F.col("all_rare").alias(f"all_{k}")) for k in "ab")
+    return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -312,42 +382,49 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
     rows = _signature_rows(narrow.filter("doc_id IS NOT NULL"), order, words)
     members = stored(stars(rows), "members")
-    again = members.filter("salted").select("sig", F.lit(-1).alias("salt"), F.col("lead").alias("doc"),
-                                            F.col("lead_n").alias("n")).distinct()
-    groups = members.filter("lead <> doc").select("sig", "lead", "lead_n", "doc", "n").unionByName(
-        stars(again).select("sig", "lead", "lead_n", "doc", "n"))
+    again = members.filter("salted").select("sig", F.lit(-1).alias("salt"), F.col("lead").alias("doc"), F.col("lead_n").alias("n"),
+                                            F.col("lead_place").alias("place")).distinct()
+    groups = members.filter("lead <> doc").drop("salted").unionByName(stars(again).drop("salted"))
     node_of = nodes.select("doc_id", "node").distinct()
 
     # the first document of each group against the others, as nodes
-    close = groups.filter(similar_size(F.col("lead_n"), F.col("n"), percent)).select("lead", "doc").distinct()
+    close = groups.filter(may_link(F.col("lead_n"), F.col("lead_place"), F.col("n"), F.col("place"), percent)).select("lead", "doc").distinct()
     close = (close.join(node_of.select(F.col("doc_id").alias("lead"), F.col("node").alias("x")), "lead")
              .join(node_of.select(F.col("doc_id").alias("doc"), F.col("node").alias("y")), "doc").filter("x <> y")
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     close = stored(close, "pairs")
 
-    touched = (groups.select("lead").union(groups.select("doc")).distinct()
-               .join(node_of, F.col("lead") == F.col("doc_id")).select("node").distinct())
-    touched = stored(touched, "touched")
-    some = thinned(narrow, "doc_id", id_filter(touched, nodes.count()))
-    texts = stored(some.join(touched, some["doc_id"] == touched["node"], "left_semi")
-                   .select(F.col("doc_id").alias("node"), "text"), "texts")
-    links = stored(verify(close, texts, percent, words), "links")
+    touched = stored(groups.select("lead").union(groups.select("doc")).distinct()
+                     .join(node_of, F.col("lead") == F.col("doc_id")).select("node").distinct(), "touched")
+    n_rows = nodes.count()
+    some = thinned(narrow, "doc_id", id_filter(touched, n_rows))
+    prefixes = stored(rare_prefixes(some, order, words), "prefixes")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = stored(bounded(pairs, prefixes, percent).distinct(), "bounded")
+        ids = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        texts = thinned(narrow, "doc_id", id_filter(ids, n_rows))
+        texts = (texts.join(ids, texts["doc_id"] == ids["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+                 .dropDuplicates())
+        return stored(verify(left, texts, percent, words).distinct(), "links")
+
+    links = linked(close)
     found = stored(components(links), "components")
 
     # members of one signature that are still in different components
-    placed = (nodes.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("n").alias("n"))
-              .join(found, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component")))
-    each = groups.select("sig", F.col("doc").alias("doc_id")).union(groups.select("sig", "lead")).distinct()
-    each = each.join(placed, "doc_id").select("sig", "node", "n", "component").distinct()
+    placed = (nodes.groupBy("doc_id").agg(F.min("node").alias("node"))
+              .join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")))
+    each = (groups.select("sig", F.col("doc").alias("doc_id"), "n", "place")
+            .union(groups.select("sig", "lead", "lead_n", "lead_place")).distinct())
+    each = each.join(placed, "doc_id").select("sig", "node", "n", "place", "component").distinct()
     mixed = (each.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("sig"))
     each = stored(each.join(mixed, "sig", "left_semi"), "across")
-    x = each.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = each.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = (x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                      & similar_size(F.col("na"), F.col("nb"), percent))
-              .select("a", "b").distinct().join(close, ["a", "b"], "left_anti"))
-    more = verify(across, texts, percent, words)
+    x, y = (each.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "place", "component"))) for k in "xy")
+    across = (x.join(y, "sig").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
+                                      & may_link(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y"), percent))
+              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(close, ["a", "b"], "left_anti"))
+    more = linked(across)
     final = stored(components(links.union(more).union(copies)), "components")
     return (nodes.join(final, nodes["doc_id"] == final["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))

@@ -33,6 +33,13 @@ def test_components_of_odd_rows(spark):
     assert odd.ordered(got) == odd.ordered(brute.jaccard_components([r[:2] for r in data]))
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    data = [(1, a, None, None), (5, a + " x", None, None), (5, b + " y", None, None), (9, b, None, None), (9, b, None, None)]
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(odd.frame(spark, data)).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1)}
+
+
 def test_rows_without_an_id_are_returned(spark):
     got = J.jaccard_components(odd.frame(spark, [(None, "a b", "en", "s"), (1, "a b", "en", "s")])).collect()
     assert odd.ordered(got) == odd.ordered([(None, 1, None), (1, 1, 1)])
