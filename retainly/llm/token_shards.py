@@ -39,6 +39,7 @@ from ._tok import coder, encode_texts, words_apart
 LENGTH = 2048
 RECORDS = 1024
 WIDTH = 2
+SHARDS_PER_FILE = 8  # a reader holds the shards of a file at a time
 ROUNDS = 6
 KEY = 0x5EED
 
@@ -156,17 +157,15 @@ def write_shards(docs: DataFrame, path: str, out: str, length: int = LENGTH, rec
 
     pieces = ids.mapInArrow(cut, "shard bigint, slot bigint, offset int, ids binary")
     dealt = pieces.repartition("shard").sortWithinPartitions("shard", "slot", "offset")
-    dealt.mapInArrow(lay_out, "shard bigint, first_slot bigint, n_records bigint, content binary").write.parquet(out)
+    dealt.mapInArrow(lay_out, "shard bigint, first_slot bigint, n_records bigint, content binary").write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(out)
     return n_seq
 
 
-def read_records(spark: SparkSession, out: str, start: int = 0, stop: int | None = None, length: int = LENGTH,
-                 width: int = WIDTH) -> DataFrame:
-    """(slot, shard, record, ids) of the slots [start, stop), each record cut from its shard by its stride."""
+def _each_record(spark: SparkSession, out: str, start: int, stop: int | None, length: int, width: int, ddl: str, make) -> DataFrame:
+    """``make(slots, shard, records, list of bytes)`` of every shard's part of the slots [start, stop), as one frame."""
     shards = spark.read.parquet(out).filter(F.col("first_slot") + F.col("n_records") > start)
     if stop is not None:
         shards = shards.filter(F.col("first_slot") < stop)
-    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("record", pa.int64()), ("ids", pa.binary())])
     stride = length * width
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,30 +174,36 @@ def read_records(spark: SparkSession, out: str, start: int = 0, stop: int | None
                 shard, first, n = (x.column(c)[i].as_py() for c in ("shard", "first_slot", "n_records"))
                 content = x.column("content")[i].as_buffer()
                 r = np.arange(max(0, start - first), n if stop is None else min(n, stop - first))
-                yield columns(schema, slot=first + r, shard=np.full(len(r), shard), record=r,
-                              ids=[content.slice(k * stride, stride).to_pybytes() for k in r.tolist()])
+                yield make(first + r, shard, r, [content.slice(k * stride, stride).to_pybytes() for k in r.tolist()])
 
-    return shards.select("shard", "first_slot", "n_records", "content").mapInArrow(
-        records, "slot bigint, shard bigint, record bigint, ids binary")
+    return shards.select("shard", "first_slot", "n_records", "content").mapInArrow(records, ddl)
+
+
+def read_records(spark: SparkSession, out: str, start: int = 0, stop: int | None = None, length: int = LENGTH,
+                 width: int = WIDTH) -> DataFrame:
+    """(slot, shard, record, ids) of the slots [start, stop), each record cut from its shard by its stride."""
+    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("record", pa.int64()), ("ids", pa.binary())])
+
+    def make(slot, shard, record, raw):
+        return columns(schema, slot=slot, shard=np.full(len(slot), shard), record=record, ids=raw)
+
+    return _each_record(spark, out, start, stop, length, width, "slot bigint, shard bigint, record bigint, ids binary", make)
 
 
 def shard_digests(docs: DataFrame, path: str, length: int = LENGTH, records: int = RECORDS, key: int = KEY, end_id: int = 0,
                   width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards to the shared folder and return per record: slot, shard, record, sequence, n_documents, ids_crc32."""
+    """Write the shards to the shared folder and return per record: slot, shard, record, sequence_id, n_ends, ids_crc32."""
     spark = docs.sparkSession
     out = folder(spark, "shards")
     n_seq = write_shards(docs, path, out, length, records, key, end_id, width, id_col, text_col)
     order = spark.sparkContext.broadcast(Feistel(max(1, n_seq), key))
     schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("record", pa.int64()), ("sequence_id", pa.int64()),
                         ("n_ends", pa.int64()), ("ids_crc32", pa.int64())])
+    dtype = {2: "<u2", 4: "<u4"}[width]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            raw = x.column("ids").to_pylist()
-            slot = x.column("slot").to_numpy()
-            ends = [int((np.frombuffer(v, {2: "<u2", 4: "<u4"}[width]) == end_id).sum()) for v in raw]
-            yield columns(schema, slot=slot, shard=x.column("shard"), record=x.column("record"),
-                          sequence_id=order.value.sequence(slot), n_ends=ends, ids_crc32=[zlib.crc32(v) for v in raw])
-
-    return read_records(spark, out, length=length, width=width).mapInArrow(
-        digest, "slot bigint, shard bigint, record bigint, sequence_id bigint, n_ends bigint, ids_crc32 bigint")
+    def make(slot, shard, record, raw):
+        return columns(schema, slot=slot, shard=np.full(len(slot), shard), record=record, sequence_id=order.value.sequence(slot),
+                       n_ends=[int((np.frombuffer(v, dtype) == end_id).sum()) for v in raw], ids_crc32=[zlib.crc32(v) for v in raw])
+
+    return _each_record(spark, out, 0, None, length, width,
+                        "slot bigint, shard bigint, record bigint, sequence_id bigint, n_ends bigint, ids_crc32 bigint", make)
