@@ -44,14 +44,14 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import id_filter, ship, stored, thinned
-from ._text import _C, _K, Block, blocks, columns, mix, window_hashes, windows, word_hashes
+from ._text import _C, _K, Block, blocks, columns, mix, string_parts, window_hashes, windows, word_hashes
 
 WORDS = 5
 PERCENT = 75
 BUCKETS = 1 << 18
 SALT_ROWS = 200_000
 PER_CLASS = 3
-PAIRS_AT_ONCE = 128
+PAIR_BYTES = 2 << 20
 MIN_BAND = 32  # smaller sets index frequent tokens alone
 
 _PASS_ONE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
@@ -339,23 +339,25 @@ def bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
+    """The pairs (a, b) whose texts link. A task holds the sets of ``PAIR_BYTES`` of text at a time, or of one pair."""
+    def linked(ta: pa.Array, tb: pa.Array) -> np.ndarray:
+        m = len(ta)
+        sets = [(*distinct_sets(*shingles(b, words)), b.first) for b in blocks(pa.concat_arrays([ta, tb]), lower=True)]
+        rows = np.concatenate([r + f for r, _, f in sets])
+        n = np.bincount(rows, minlength=2 * m)
+        union = np.bincount(distinct_sets(rows % m, np.concatenate([v for _, v, _ in sets]))[0], minlength=m)
+        return (union > 0) & (100 * (n[:m] + n[m:] - union) >= percent * union)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for x in batches:
-            linked = np.zeros(x.num_rows, bool)
-            for i in range(0, x.num_rows, PAIRS_AT_ONCE):
-                part = x.slice(i, PAIRS_AT_ONCE)
-                m = part.num_rows
-                col = pa.concat_arrays([part.column("ta").cast(pa.large_string()), part.column("tb").cast(pa.large_string())])
-                sets = [distinct_sets(*shingles(b, words)) + (b.first,) for b in blocks(col, lower=True)]
-                rows = np.concatenate([r + f for r, _, f in sets])
-                h = np.concatenate([v for _, v, _ in sets])
-                n = np.bincount(rows, minlength=2 * m)
-                union = np.bincount(distinct_sets(rows % m, h)[0], minlength=m)
-                common = n[:m] + n[m:] - union
-                linked[i:i + m] = (union > 0) & (100 * common >= percent * union)
-            yield columns(schema, a=x.column("a"), b=x.column("b")).filter(pa.array(linked))
+            size = np.cumsum(sum(np.diff(string_parts(x.column(c))[1]) for c in ("ta", "tb")))
+            i = 0
+            while i < x.num_rows:
+                done = size[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(size, done + PAIR_BYTES, "right")))
+                part = x.slice(i, j - i)
+                yield part.select(["a", "b"]).filter(pa.array(linked(part.column("ta"), part.column("tb"))))
+                i = j
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
