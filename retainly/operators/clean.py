@@ -3,8 +3,8 @@
 Fitting works like a pyspark.ml ``fit``: the statistics are computed by one
 distributed aggregation whose result is bounded by the number of columns
 (never by the rows) and returned to the driver as literals. Code maps,
-which grow with cardinality, stay DataFrames and join back with a
-size-checked broadcast.
+which grow with cardinality, stay DataFrames; the planner chooses how they
+join back.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 
-MAX_BROADCAST_CATEGORIES = 100_000
 
+def impute_median(df: DataFrame, cols: list[str], coerce: bool = False, quantile_method: str = "exact",
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """Fill nulls with the column's interpolated median in ``fit_on`` (the train split) or in ``df``,
+    optionally coercing strings to double first."""
+    def coerced(x):
+        return x.withColumns({c: F.col(c).try_cast("double") for c in cols}) if coerce else x
 
-def impute_median(df: DataFrame, cols: list[str], coerce: bool = False, quantile_method: str = "exact") -> DataFrame:
-    """Fill nulls with the column's interpolated median (optionally coercing strings to double first)."""
-    d = df.withColumns({c: F.col(c).try_cast("double") for c in cols}) if coerce else df
-    med = fit_quantiles(d, cols, [0.5], quantile_method)
+    d = coerced(df)
+    med = fit_quantiles(coerced(fit_on) if fit_on is not None else d, cols, [0.5], quantile_method)
     return d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[(c, 0.5)]).cast("double")) for c in cols})
 
 
@@ -43,11 +46,11 @@ def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def encode_categoricals(df: DataFrame, multi_class: list[str], binary_maps: dict[str, dict] | None = None,
-                        drop: list[str] | None = None) -> DataFrame:
-    """Binary maps (unmapped -> null) and sorted-order codes for multi-class columns (null/unknown -> -1).
+                        drop: list[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """Binary maps (unmapped -> null) and sorted-order codes for multi-class columns (null or not in ``fit_on`` -> -1).
 
-    The code table is broadcast only after checking its row count against
-    ``MAX_BROADCAST_CATEGORIES``; otherwise it is a regular shuffle join.
+    The codes come from the values of ``fit_on`` (the train split) or of ``df``. How the code table joins
+    is left to the planner: broadcast by its size, or a sort-merge join whose hot values AQE splits.
     """
     out = df.drop(*(drop or []))
     for c, m in (binary_maps or {}).items():
@@ -57,12 +60,9 @@ def encode_categoricals(df: DataFrame, multi_class: list[str], binary_maps: dict
         out = out.withColumn(c, F.try_element_at(F.create_map(*items), F.col(c)))
     if not multi_class:
         return out
-    codes = category_codes(out, multi_class)
-    n_codes = codes.count()
+    codes = category_codes(out if fit_on is None else fit_on, multi_class)
     for c in multi_class:
         m = codes.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if n_codes <= MAX_BROADCAST_CATEGORIES:
-            m = F.broadcast(m)
         out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
                .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1)))
                .drop(f"_v_{c}", f"_c_{c}"))

@@ -175,21 +175,32 @@ def random_grid(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict
     return combos[:n_iter]
 
 
-def tune_random(data: DataFrame, n_features: int, n_iter: int = 6, fold: str = "fold", parallelism: int = 4,
+#: Search spaces by model, at least 50 points each.
+GRIDS = {
+    "lr": {"regParam": [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0], "elasticNetParam": [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]},
+    "rf": {"numTrees": [20, 50, 100, 200], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 10, 50],
+           "featureSubsetStrategy": ["sqrt", "0.7"]},
+    "gbt": {"maxIter": [20, 50, 100], "maxDepth": [2, 3, 5], "stepSize": [0.03, 0.1, 0.3], "subsamplingRate": [0.7, 1.0]},
+    "dt": {"maxDepth": [2, 3, 5, 8, 12], "minInstancesPerNode": [1, 5, 20, 50], "maxBins": [16, 32, 64]},
+    "svc": {"regParam": [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0], "maxIter": [50, 100, 200, 400, 800]},
+    "fm": {"factorSize": [2, 4, 8, 16], "regParam": [0.0, 0.01, 0.1], "stepSize": [0.003, 0.01, 0.03, 0.1, 0.3]},
+}
+
+
+def tune_random(data: DataFrame, name: str, n_features: int, n_iter: int = 50, fold: str = "fold", parallelism: int = 4,
                 seed: int = 42, n_folds: int = 5) -> DataFrame:
-    """Random search over a random-forest grid with CrossValidator on the stratified folds (optimises AUC)."""
-    rf = RandomForestClassifier(seed=seed)
-    chosen = random_grid({"numTrees": [20, 50, 100], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 10, 50]}, n_iter, seed)
-    grid = [{rf.getParam(k): v for k, v in c.items()} for c in chosen]
+    """Random search over the model's grid with CrossValidator on the stratified folds (optimises AUC)."""
+    est = make_model(name, n_features, seed)
+    chosen = random_grid(GRIDS[name], n_iter, seed)
+    grid = [{est.getParam(k): v for k, v in c.items()} for c in chosen]
     ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold, numFolds=n_folds,
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol=fold, numFolds=n_folds,
                         parallelism=parallelism, seed=seed)
     model = cv.fit(data.withColumn(fold, F.col(fold).cast("int")))
-    spark = data.sparkSession
-    rows = [(c["numTrees"], c["maxDepth"], c["minInstancesPerNode"], round(float(m), 6)) for c, m in zip(chosen, model.avgMetrics)]
-    df = spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_auc double")
+    rows = [(name, ", ".join(f"{k}={v}" for k, v in sorted(c.items())), round(float(m), 6)) for c, m in zip(chosen, model.avgMetrics)]
+    df = data.sparkSession.createDataFrame(rows, "model string, params string, cv_auc double")
     # one row per parameter draw: ranking the small result table
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cv_auc").desc(), "num_trees", "max_depth", "min_instances")))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cv_auc").desc(), "params")))
 
 
 def vote(preds: dict[str, DataFrame], key: str, method: str = "soft") -> DataFrame:

@@ -1,55 +1,66 @@
 """Bindings of model comparison/training (2.F) and the model-based rows of 2.D/2.E/2.G.
 
 These are rows-only checks (model fitting has no SQL oracle). The
-assembled train/test tables are built once per (session, data dir) and cached.
+assembled train/test tables are written once per (session, data files). Medians
+and codes are fitted on the train rows alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_rows
 from ..operators import ml as M
 from ..operators import split as SP
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from ..sources import views as V
 from .q_features import FEATS
 from .oracle_views import with_views
 from .registry import register
 
 KEY, LABEL = "c_custkey", "churn"
-PARAMS = {"lr": {"max_iter": 50}, "rf": {"n_trees": 50, "max_depth": 5}, "gbt": {"n_iter": 20, "max_depth": 3},
-          "dt": {"max_depth": 5}, "svc": {"max_iter": 30}, "mlp": {"max_iter": 50}, "fm": {"max_iter": 30}}
+#: Model comparison takes the defaults of ``make_model``; the named training steps take the reference's own counts.
+TRAIN_PARAMS = {"lr": {"max_iter": 1000}, "rf": {"n_trees": 200}, "gbt": {"n_iter": 200}}
 LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "dummy"]
+TOP_MODELS = 5
+TUNING_DRAWS = 50
+TRAIN_ROWS_PER_TASK = 50_000
 _CACHE: dict = {}
 
 
-def ml_data(spark, sf):
-    k = (spark.sparkContext.applicationId, sf)
-    if k not in _CACHE:
-        p = V.processed(spark, sf)
-        s = SP.stratified_split(p, LABEL, KEY, 0.2, 42)
-        tr = SP.fold_assign(s.filter(F.col("split") == "train"), LABEL, KEY, 5, 42, extra={"fold3": 3})
-        train = M.assemble(tr, FEATS, LABEL, [KEY, "fold", "fold3"]).cache()
-        test = M.assemble(s.filter(F.col("split") == "test"), FEATS, LABEL, [KEY]).cache()
-        _CACHE[k] = (train, test)
-    return _CACHE[k]
-
-
 def _memo(name, spark, sf, fn):
-    k = (name, spark.sparkContext.applicationId, sf)
+    k = (name, spark.sparkContext.applicationId, sf, V.source_version(spark, sf))
     if k not in _CACHE:
         _CACHE[k] = fn()
     return _CACHE[k]
 
 
+def prepared(spark, sf):
+    """All rows with their split; medians and codes are those of the train rows."""
+    def build():
+        s = SP.stratified_split(V.churn_base(spark, sf), LABEL, KEY, 0.2, 42)
+        return reliable_checkpoint(V.prepare(s, fit_on=s.filter(F.col("split") == "train")))
+    return _memo("prepared", spark, sf, build)
+
+
+def ml_data(spark, sf):
+    """(train with folds, test) as vector tables in the shared folder, a task per ``TRAIN_ROWS_PER_TASK`` rows."""
+    def build():
+        s = prepared(spark, sf)
+        tr = SP.fold_assign(s.filter(F.col("split") == "train"), LABEL, KEY, 5, 42)
+        tasks = max(1, -(-tr.count() // TRAIN_ROWS_PER_TASK))
+        train = reliable_checkpoint(M.assemble(tr, FEATS, LABEL, [KEY, "fold"]).repartition(tasks, KEY))
+        return train, reliable_checkpoint(M.assemble(s.filter(F.col("split") == "test"), FEATS, LABEL, [KEY]).repartition(tasks, KEY))
+    return _memo("ml_data", spark, sf, build)
+
+
 def leaderboard(spark, sf):
     def build():
         train, _ = ml_data(spark, sf)
-        lb = M.leaderboard(train, LEADERBOARD_MODELS, len(FEATS), fold="fold3", **PARAMS)
-        return lb.orderBy(F.col("auc").desc(), "model").cache()
+        return reliable_checkpoint(M.leaderboard(train, LEADERBOARD_MODELS, len(FEATS)).orderBy(F.col("auc").desc(), "model"))
     return _memo("leaderboard", spark, sf, build)
 
 
@@ -77,7 +88,9 @@ def q_leaderboard(spark, sf):
 
 @register("leaderboard_top")
 def q_leaderboard_top(spark, sf):
-    return leaderboard(spark, sf).orderBy(F.col("auc").desc(), "model").limit(1).select("model", "auc", "f1")
+    """The whole board in order; rank 1 is the selected model."""
+    by_auc = Window.orderBy(F.col("auc").desc(), "model")  # one row per model
+    return leaderboard(spark, sf).select(F.row_number().over(by_auc).alias("rank"), "model", "auc", "f1").orderBy("rank")
 
 
 @register("check_leaderboard")
@@ -105,25 +118,27 @@ def q_check_automl_input(spark, sf):
 
 @register("tune_random")
 def q_tune_random(spark, sf):
+    """Random search over the grid of the best model of the board that has one."""
     train, _ = ml_data(spark, sf)
-    return M.tune_random(train, len(FEATS), n_iter=4, fold="fold3", parallelism=4, n_folds=3)
+    best = next(m for m in _top_models(spark, sf, len(LEADERBOARD_MODELS)) if m in M.GRIDS)
+    return M.tune_random(train, best, len(FEATS), TUNING_DRAWS, "fold", parallelism=4, n_folds=5)
 
 
 def _top_models(spark, sf, n):
-    lb = leaderboard(spark, sf).filter(~F.col("model").isin("dummy", "svc", "nb"))
+    lb = leaderboard(spark, sf).filter(F.col("model") != "dummy")
     return [r["model"] for r in lb.orderBy(F.col("auc").desc(), "model").limit(n).collect()]
 
 
 @register("blend_vote")
 def q_blend_vote(spark, sf):
     train, test = ml_data(spark, sf)
-    return M.ensemble_vote(train, test, _top_models(spark, sf, 3), len(FEATS), KEY, "soft", PARAMS)
+    return M.ensemble_vote(train, test, _top_models(spark, sf, TOP_MODELS), len(FEATS), KEY, "soft")
 
 
 @register("stack")
 def q_stack(spark, sf):
     train, test = ml_data(spark, sf)
-    return M.stack(train, test, _top_models(spark, sf, 3), len(FEATS), KEY, "fold3", PARAMS)
+    return M.stack(train, test, _top_models(spark, sf, TOP_MODELS), len(FEATS), KEY, "fold")
 
 
 def _model_path(spark, sf, name):
@@ -136,7 +151,7 @@ def saved_model(spark, sf, name="gbt"):
         train, _ = ml_data(spark, sf)
         path = _model_path(spark, sf, name)
         raw = train.drop("features")
-        model = M.save_pipeline(raw, FEATS, name, path, **PARAMS.get(name, {}))
+        model = M.save_pipeline(raw, FEATS, name, path, **TRAIN_PARAMS.get(name, {}))
         return model, path
     return _memo(f"saved_{name}", spark, sf, build)
 
@@ -157,7 +172,7 @@ def q_score_parity(spark, sf):
 def _train(name):
     def q(spark, sf):
         train, test = ml_data(spark, sf)
-        _, ev = M.train_eval(train, test, name, len(FEATS), **PARAMS.get(name, {}))
+        _, ev = M.train_eval(train, test, name, len(FEATS), **TRAIN_PARAMS.get(name, {}))
         return ev
     return q
 
@@ -170,25 +185,24 @@ register("train_gbt")(_train("gbt"))
 @register("cross_validate")
 def q_cross_validate(spark, sf):
     train, _ = ml_data(spark, sf)
-    return M.cross_validate(train, "gbt", len(FEATS), "fold", **PARAMS["gbt"])
+    return M.cross_validate(train, "gbt", len(FEATS), "fold", **TRAIN_PARAMS["gbt"])
 
 
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf):
     train, test = ml_data(spark, sf)
-    return M.ensemble_vote(train, test, ["rf", "gbt", "lr"], len(FEATS), KEY, "soft", PARAMS)
+    return M.ensemble_vote(train, test, ["rf", "gbt", "lr"], len(FEATS), KEY, "soft", TRAIN_PARAMS)
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
     model, _ = saved_model(spark, sf)
-    p = V.processed(spark, sf)
-    return M.score_batch(model, p, KEY)
+    return M.score_batch(model, prepared(spark, sf), KEY)
 
 
 def importances(spark, sf):
     train, _ = ml_data(spark, sf)
-    return _memo("imp", spark, sf, lambda: M.feature_importances(train, FEATS, 100).cache())
+    return _memo("imp", spark, sf, lambda: M.feature_importances(train, FEATS, 100))
 
 
 @register("rf_importance")
@@ -205,20 +219,20 @@ def q_select_top_features(spark, sf):
 def q_rfe(spark, sf):
     train, _ = ml_data(spark, sf)
     raw = train.drop("features")
-    return M.rfe(raw, FEATS, "label", [KEY, "fold"], n_select=5, n_trees=30)
+    return M.rfe(raw, FEATS, "label", [KEY, "fold"], n_select=5, n_trees=100)
 
 
 @register("importance_stability")
 def q_importance_stability(spark, sf):
     train, _ = ml_data(spark, sf)
-    return M.importance_stability(train, FEATS, "fold", n_trees=30)
+    return M.importance_stability(train, FEATS, "fold", n_trees=100)
 
 
 @register("calibrate")
 def q_calibrate(spark, sf):
     train, test = ml_data(spark, sf)
     fit_part, cal_part = train.filter(F.col("fold") != 0), train.filter(F.col("fold") == 0)
-    base = M.make_model("gbt", len(FEATS), **PARAMS["gbt"]).fit(fit_part)
+    base = M.make_model("gbt", len(FEATS), **TRAIN_PARAMS["gbt"]).fit(fit_part)
     return M.calibrate(cal_part, test, base, "isotonic")
 
 

@@ -77,7 +77,7 @@ def materialized(name: str, spark: SparkSession, sf_dir: str, build) -> DataFram
     from ..session import reliable_checkpoint
     if os.environ.get("RETAINLY_MATERIALIZE_VIEWS", "1") == "0":
         return build()
-    key = (name, spark.sparkContext.applicationId, sf_dir)
+    key = (name, spark.sparkContext.applicationId, sf_dir, source_version(spark, sf_dir))
     if key not in _MATERIALIZED:
         _MATERIALIZED[key] = reliable_checkpoint(build())
     return _MATERIALIZED[key]
@@ -183,14 +183,22 @@ def _backtest_base(spark: SparkSession, sf_dir: str, n_runs: int) -> DataFrame:
 IMPUTED = ["spend", "recency_days", "tenure_days"]
 
 
+def source_version(spark: SparkSession, sf_dir: str, names=("customer", "orders")) -> str:
+    """Changes when the files behind the derived tables do."""
+    import hashlib
+    return hashlib.md5("|".join(f for n in names for f in sorted(load_table(spark, sf_dir, n).inputFiles())).encode()).hexdigest()
+
+
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``churn_base`` with medians imputed and the segment coded: all numeric, no nulls."""
-    from ..operators import clean
+    return materialized("processed", spark, sf_dir, lambda: prepare(churn_base(spark, sf_dir)))
 
-    def build():
-        d = clean.impute_median(churn_base(spark, sf_dir), IMPUTED)
-        return clean.encode_categoricals(d, ["c_mktsegment"])
-    return materialized("processed", spark, sf_dir, build)
+
+def prepare(base: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
+    """Medians imputed and the segment coded, fitted on ``fit_on`` (the train rows) or on ``base`` itself."""
+    from ..operators import clean
+    d = clean.impute_median(base, IMPUTED, fit_on=fit_on)
+    return clean.encode_categoricals(d, ["c_mktsegment"], fit_on=fit_on)
 
 
 def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
