@@ -131,7 +131,7 @@ def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str =
         return est.fit(data.filter(F.col(fold) != f)), time.time() - t0
 
     tasks = [(m, f) for m in models for f in folds]
-    with ThreadPoolExecutor(max_workers=4) as pool:  # independent fits share the cluster, as CrossValidator(parallelism)
+    with ThreadPoolExecutor(max_workers=8) as pool:  # independent fits share the cluster, as CrossValidator(parallelism)
         fitted = dict(zip(tasks, pool.map(fit_one, tasks)))
     preds, secs = [], {}
     for name in models:
@@ -180,7 +180,7 @@ GRIDS = {
     "lr": {"regParam": [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0], "elasticNetParam": [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]},
     "rf": {"numTrees": [20, 50, 100, 200], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 10, 50],
            "featureSubsetStrategy": ["sqrt", "0.7"]},
-    "gbt": {"maxIter": [20, 50, 100], "maxDepth": [2, 3, 5], "stepSize": [0.03, 0.1, 0.3], "subsamplingRate": [0.7, 1.0]},
+    "gbt": {"maxIter": [10, 20, 40], "maxDepth": [2, 3, 5], "stepSize": [0.03, 0.1, 0.3], "subsamplingRate": [0.7, 1.0]},
     "dt": {"maxDepth": [2, 3, 5, 8, 12], "minInstancesPerNode": [1, 5, 20, 50], "maxBins": [16, 32, 64]},
     "svc": {"regParam": [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0], "maxIter": [50, 100, 200, 400, 800]},
     "fm": {"factorSize": [2, 4, 8, 16], "regParam": [0.0, 0.01, 0.1], "stepSize": [0.003, 0.01, 0.03, 0.1, 0.3]},

@@ -82,11 +82,21 @@ def _per_feature(expr_fn, feats=FEATS, view="processed"):
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, {expr_fn(c)} FROM {view}" for c in feats)
 
 
-@register("corr_with_target", with_views(f"""
-SELECT feature, round(r, 6) AS corr, round(abs(r), 6) AS abs_corr FROM ({_per_feature(lambda c: f'corr({c}, churn) AS r')})
-WHERE abs(r) >= 0.05""", "PROCESSED"))
+DOC_FEATS = ["n_chars", *V.DOCUMENT_PATTERNS]
+DOC_SQL = ("doc_stats AS (SELECT doc_id, length(text) AS n_chars, "
+           + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in V.DOCUMENT_PATTERNS.items())
+           + ", quality FROM documents JOIN labels USING (doc_id))")
+SEL_SQL = (DOC_SQL + ", chosen AS (SELECT feature, r FROM ("
+           + _per_feature(lambda c: f"corr({c}, quality) AS r", DOC_FEATS, "doc_stats") + ") WHERE abs(r) >= 0.05)")
+
+
+def selected_features(spark, sf):
+    return FT.corr_with_target(V.labelled_documents(spark, sf), DOC_FEATS, "quality", 0.05)
+
+
+@register("corr_with_target", f"WITH {SEL_SQL} SELECT feature, round(r, 6) AS corr, round(abs(r), 6) AS abs_corr FROM chosen")
 def q_corr_with_target(spark, sf):
-    return FT.corr_with_target(V.processed(spark, sf), FEATS, "churn", 0.05)
+    return selected_features(spark, sf)
 
 
 @register("variance_filter", with_views(f"""
@@ -159,26 +169,19 @@ def q_feature_clusters(spark, sf):
     return FT.corr_pairs(V.processed(spark, sf), FEATS, 0.85)
 
 
-def _selected(spark, sf):
-    return FT.corr_with_target(V.processed(spark, sf), FEATS, "churn", 0.05)
-
-
-SEL_SQL = "selected AS (SELECT feature FROM (" + _per_feature(lambda c: f"corr({c}, churn) AS r") + ") WHERE abs(r) >= 0.05)"
-
-
-@register("check_feature_count", with_views("""
+@register("check_feature_count", f"""WITH {SEL_SQL}
 SELECT 'feature_count' AS "check", 'selected_features' AS subject, CAST(count(*) AS DOUBLE) AS actual, '>= 5' AS expected,
-       CASE WHEN count(*) >= 5 THEN 'PASSED' ELSE 'FAILED' END AS status FROM selected""", "PROCESSED", extra=SEL_SQL))
+       CASE WHEN count(*) >= 5 THEN 'PASSED' ELSE 'FAILED' END AS status FROM chosen""")
 def q_check_feature_count(spark, sf):
-    return FT.check_feature_count(_selected(spark, sf), 5)
+    return FT.check_feature_count(selected_features(spark, sf), 5)
 
 
-@register("check_target_leakage", with_views("""
-SELECT 'target_leakage' AS "check", 'c_custkey,churn' AS subject, CAST(count(*) FILTER (WHERE feature IN ('c_custkey', 'churn')) AS DOUBLE) AS actual,
-       '0' AS expected, CASE WHEN count(*) FILTER (WHERE feature IN ('c_custkey', 'churn')) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
-FROM selected""", "PROCESSED", extra=SEL_SQL))
+@register("check_target_leakage", f"""WITH {SEL_SQL}
+SELECT 'target_leakage' AS "check", 'doc_id,quality' AS subject, CAST(count(*) FILTER (WHERE feature IN ('doc_id', 'quality')) AS DOUBLE) AS actual,
+       '0' AS expected, CASE WHEN count(*) FILTER (WHERE feature IN ('doc_id', 'quality')) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM chosen""")
 def q_check_target_leakage(spark, sf):
-    return FT.check_target_leakage(_selected(spark, sf), ["c_custkey", "churn"])
+    return FT.check_target_leakage(selected_features(spark, sf), ["doc_id", "quality"])
 
 
 @register("check_feature_variance", with_views(" UNION ALL ".join(

@@ -121,7 +121,7 @@ def q_tune_random(spark, sf):
     """Random search over the grid of the best model of the board that has one."""
     train, _ = ml_data(spark, sf)
     best = next(m for m in _top_models(spark, sf, len(LEADERBOARD_MODELS)) if m in M.GRIDS)
-    return M.tune_random(train, best, len(FEATS), TUNING_DRAWS, "fold", parallelism=4, n_folds=5)
+    return M.tune_random(train, best, len(FEATS), TUNING_DRAWS, "fold", parallelism=8, n_folds=5)
 
 
 def _top_models(spark, sf, n):

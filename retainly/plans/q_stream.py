@@ -16,10 +16,11 @@ from .registry import register
 def q_stream_score(spark, sf):
     # materialise the derived feature table into the shared folder, then score it as a file stream
     feats = V.churn_base(spark, sf)
-    src = ST.scratch_dir(spark, "churn-features")
-    feats.write.mode("overwrite").parquet(src)
+    version = V.source_version(spark, sf)
+    src = ST.stream_folder(spark, "churn-features", sf, version)
+    feats.write.mode("ignore").parquet(src)
     stream = ST.score_stream(ST.folder_stream(spark, src, feats.schema)).select("c_custkey", "p", "pred")
-    return ST.run_available_now(stream, "stream-score")
+    return ST.run_available_now(stream, ST.stream_folder(spark, "stream-score", sf, version))
 
 
 @register("stream_drift", with_views("""
@@ -38,7 +39,8 @@ def q_stream_drift(spark, sf):
     first_day = ev.select(F.min(F.to_date("ts"))).scalar()
     baseline = (ev.filter(F.datediff(F.to_date("ts"), first_day) < 10)
                 .groupBy("event_type").agg(F.avg("value").alias("baseline_mean")))
-    windows = ST.run_available_now(ST.drift_stream(ST.table_stream(spark, sf, "events", ev.schema)), "stream-drift")
+    folder = ST.stream_folder(spark, "stream-drift", sf, V.source_version(spark, sf, ["events"]))
+    windows = ST.run_available_now(ST.drift_stream(ST.table_stream(spark, sf, "events", ev.schema)), folder)
     return ST.attach_baseline(windows, baseline)
 
 
@@ -50,4 +52,5 @@ def _pii_sql():
 @register("stream_pii", _pii_sql())
 def q_stream_pii(spark, sf):
     docs = load_table(spark, sf, "documents")
-    return ST.run_available_now(ST.pii_stream(ST.table_stream(spark, sf, "documents", docs.schema)), "stream-pii")
+    folder = ST.stream_folder(spark, "stream-pii", sf, V.source_version(spark, sf, ["documents"]))
+    return ST.run_available_now(ST.pii_stream(ST.table_stream(spark, sf, "documents", docs.schema)), folder)

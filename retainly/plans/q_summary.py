@@ -15,7 +15,7 @@ from ..sources import views as V
 from .oracle_views import OFFER_COST_CASE, with_views
 from .q_evaluate import AUC_CTE
 from .q_explain import GLOBAL_SQL, terms
-from .q_features import FEATS, SEL_SQL, STRAT_SQL
+from .q_features import DOC_FEATS, FEATS, SEL_SQL, STRAT_SQL, selected_features
 from .registry import register
 
 AS_OF_DATE = "2024-02-01"
@@ -35,7 +35,7 @@ def _strat(spark, sf):
 
 
 # ---- summaries ----
-DATA_SUM_SQL = """
+DATA_SUM_SQL = f"""
 data_sum AS (
   SELECT 'data' AS section, 'raw_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM churn_base
   UNION ALL SELECT 'data', 'raw_columns', 10.0 UNION ALL SELECT 'data', 'raw_positive_rate', round(avg(CAST(churn AS DOUBLE)), 6) FROM churn_base
@@ -44,11 +44,12 @@ data_sum AS (
   UNION ALL SELECT 'data', 'X_test', CAST(count(*) FILTER (WHERE split = 'test') AS DOUBLE) FROM strat
   UNION ALL SELECT 'data', 'y_train', CAST(count(*) FILTER (WHERE split = 'train') AS DOUBLE) FROM strat
   UNION ALL SELECT 'data', 'y_test', CAST(count(*) FILTER (WHERE split = 'test') AS DOUBLE) FROM strat
-  UNION ALL SELECT 'data', 'n_features', 6.0)"""
+  UNION ALL SELECT 'data', 'n_features', (SELECT CAST(count(*) AS DOUBLE) FROM (DESCRIBE processed) WHERE column_name IN ({", ".join(repr(c) for c in FEATS)})))"""
 
 
 def data_summary(spark, sf):
-    return SM.data_summary(V.churn_base(spark, sf), "churn", V.processed(spark, sf), _strat(spark, sf), 6)
+    return SM.data_summary(V.churn_base(spark, sf), "churn", V.processed(spark, sf), _strat(spark, sf),
+                           len([c for c in V.processed(spark, sf).columns if c in FEATS]))
 
 
 @register("data_summary", with_views("SELECT * FROM data_sum", "PREDICTIONS", "PROCESSED", extra=STRAT_SQL + "," + DATA_SUM_SQL))
@@ -97,8 +98,8 @@ PIPE_SQL = (STRAT_SQL + "," + DATA_SUM_SQL + "," + PRED_SUM_SQL + "," + RET_SUM_
             + GLOBAL_SQL + """,
 pipe AS (
   SELECT section, metric, round(value, 6) AS value FROM data_sum
-  UNION ALL SELECT 'feature_selection', 'n_candidates', 8.0
-  UNION ALL SELECT 'feature_selection', 'n_selected', CAST(count(*) AS DOUBLE) FROM selected
+  UNION ALL SELECT 'feature_selection', 'n_candidates', (SELECT CAST(count(*) AS DOUBLE) FROM (DESCRIBE doc_stats) WHERE column_name NOT IN ('doc_id', 'quality'))
+  UNION ALL SELECT 'feature_selection', 'n_selected', CAST(count(*) AS DOUBLE) FROM chosen
   UNION ALL SELECT 'model_performance', 'auc', auc FROM met UNION ALL SELECT 'model_performance', 'f1', f1 FROM met
   UNION ALL SELECT 'model_performance', 'precision', precision FROM met UNION ALL SELECT 'model_performance', 'recall', recall FROM met
   UNION ALL SELECT 'model_performance', 'accuracy', accuracy FROM met
@@ -108,9 +109,8 @@ pipe AS (
 
 
 def pipeline_summary(spark, sf):
-    sel = FT.corr_with_target(V.processed(spark, sf), FEATS, "churn", 0.05)
-    fs = sel.agg(F.count(F.lit(1)).cast("double").alias("n_selected")).select(
-        F.inline(F.array(F.struct(F.lit("n_candidates").alias("metric"), F.lit(8.0).alias("value")),
+    fs = selected_features(spark, sf).agg(F.count(F.lit(1)).cast("double").alias("n_selected")).select(
+        F.inline(F.array(F.struct(F.lit("n_candidates").alias("metric"), F.lit(float(len(DOC_FEATS))).alias("value")),
                          F.struct(F.lit("n_selected").alias("metric"), F.col("n_selected").alias("value")))))
     mp = SM.metrics_long(metrics(spark, sf), ["auc", "f1", "precision", "recall", "accuracy"])
     ex = X.shapley_global(X.linear_attributions(V.scored(spark, sf), "c_custkey", terms())).select(

@@ -201,6 +201,20 @@ def prepare(base: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     return clean.encode_categoricals(d, ["c_mktsegment"], fit_on=fit_on)
 
 
+#: Text statistics of a document, by the pattern that each counts.
+DOCUMENT_PATTERNS = {"n_words": "[^ \\t\\n\\r]+", "n_lines": "\\n", "n_marks": "[#$%&*]", "n_bars": "[|]", "n_exclaims": "!",
+                     "n_capitals": "[A-Z]", "n_digits": "[0-9]"}
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with their text statistics: (doc_id, n_chars, counts of DOCUMENT_PATTERNS, quality)."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id").select(
+        "doc_id", F.length("text").alias("n_chars"),
+        *[F.regexp_count("text", F.lit(p)).alias(n) for n, p in DOCUMENT_PATTERNS.items()], "quality")
+
+
 def run_log(spark: SparkSession, sf_dir: str, n_runs: int = 4) -> DataFrame:
     """Run history: one scorecard evaluation per backtest cut (metrics at 6 dp), one row per run."""
     return materialized(f"run_log{n_runs}", spark, sf_dir, lambda: _run_log(spark, sf_dir, n_runs))

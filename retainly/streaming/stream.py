@@ -2,14 +2,15 @@
 
 Sources are file streams over Parquet folders; sinks are Parquet folders
 with their own checkpoint location under the cluster's shared checkpoint
-directory, so a restarted query resumes exactly once. ``run_available_now``
-drives a query with ``trigger(availableNow=True)`` and returns the sink as
-a batch DataFrame.
+directory. The folder is the caller's: a query started again on the same one
+goes on where it stopped and the sink keeps what it has. ``run_available_now``
+drives a query with ``trigger(availableNow=True)`` and returns the sink as a
+batch DataFrame.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from ..session import ensure_checkpoint_dir
 from ..sources.views import scorecard_probability
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+def stream_folder(spark: SparkSession, name: str, *source: str) -> str:
+    """A folder in the shared checkpoint folder that stays the same for the same query over the same source."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{hashlib.md5('|'.join(source).encode()).hexdigest()[:12]}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, schema, max_files: int = 1) -> DataFrame:
@@ -74,11 +76,10 @@ def pii_stream(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern
     return docs.select(key, *[F.regexp_count(F.col(text), F.lit(p)).cast("bigint").alias(n) for n, p in patterns.items()])
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run to completion with availableNow; return the Parquet sink as a batch DataFrame."""
+def run_available_now(stream: DataFrame, folder: str, output_mode: str = "append") -> DataFrame:
+    """Process what is new since the last run on ``folder``; return the whole Parquet sink as a batch DataFrame."""
     spark = stream.sparkSession
-    base = scratch_dir(spark, name)
-    out, ckpt = f"{base}/out", f"{base}/checkpoint"
+    out, ckpt = f"{folder}/out", f"{folder}/checkpoint"
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
