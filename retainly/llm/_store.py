@@ -84,17 +84,21 @@ def id_cells(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(v + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
 
 
+def may_hold(ids: pa.Array, held: tuple[int, np.ndarray]) -> np.ndarray:
+    """Which ids may be in the filter; a null never is."""
+    bits, bitmap = held
+    cell = id_cells(ids, bits)
+    hit = ((bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return hit & ~ids.is_null().to_numpy(zero_copy_only=False)
+
+
 def thinned(df: DataFrame, id_col: str, shared, absent: bool = False) -> DataFrame:
     """The rows of ``df`` whose id may be in the filter, or (``absent``) the others and those without an id."""
     at = df.columns.index(id_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, bitmap = shared.value
         for x in batches:
-            ids = x.column(at).cast(pa.int64())
-            cell = id_cells(ids, bits)
-            hit = ((bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            none = ids.is_null().to_numpy(zero_copy_only=False)
-            yield x.filter(pa.array((~hit | none) if absent else (hit & ~none)))
+            hit = may_hold(x.column(at).cast(pa.int64()), shared.value)
+            yield x.filter(pa.array(~hit if absent else hit))
 
     return df.mapInArrow(keep, df.schema)

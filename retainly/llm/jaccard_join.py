@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import id_filter, ship, stored, thinned
+from ._store import id_filter, may_hold, ship, stored, thinned
 from ._text import _C, _K, Block, blocks, columns, mix, string_parts, window_hashes, windows, word_hashes
 
 WORDS = 5
@@ -282,13 +282,14 @@ def may_link(n, place, m, place_m, percent: int):
             & ((100 + percent) * F.least(n - place, m - place_m) >= percent * (n + m)))
 
 
-def rare_prefixes(docs: DataFrame, shared, words: int) -> DataFrame:
-    """(node, n, tops, all_rare): the upper 4 bytes of the rare tokens of each prefix, in order; one row per id and set."""
+def rare_prefixes(docs: DataFrame, shared, held, words: int) -> DataFrame:
+    """Of the ids that the filter ``held`` may hold: (node, n, tops, all_rare): the upper 4 bytes of the rare tokens of each prefix, in order; one row per id and set."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tops", pa.binary()), ("all_rare", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order: Order = shared.value
         for x in batches:
+            x = x.filter(pa.array(may_hold(x.column(0), held.value)))
             for b in blocks(x.column(1), lower=True):
                 rows, h = distinct_sets(*shingles(b, words))
                 n = np.bincount(rows, minlength=b.rows)
@@ -399,8 +400,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     touched = stored(groups.select("lead").union(groups.select("doc")).distinct()
                      .join(node_of, F.col("lead") == F.col("doc_id")).select("node").distinct(), "touched")
     n_rows = nodes.count()
-    some = thinned(narrow, "doc_id", id_filter(touched, n_rows))
-    prefixes = stored(rare_prefixes(some, order, words), "prefixes")
+    prefixes = stored(rare_prefixes(narrow, order, id_filter(touched, n_rows), words), "prefixes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = stored(bounded(pairs, prefixes, percent).distinct(), "bounded")
