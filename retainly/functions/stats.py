@@ -144,6 +144,13 @@ def kolmogorov_sf(lam: float, terms: int = 100) -> float:
     return min(1.0, max(0.0, 2 * s))
 
 
+def pearson(a, b):
+    """Correlation over the rows where both are present; null where one of them does not vary (``corr`` raises under ANSI)."""
+    x = F.when(b.isNotNull(), a).cast("double")
+    y = F.when(a.isNotNull(), b).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear' = DuckDB quantile_cont) per column.
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import check_rows
 from ..functions.hashing import gaussian, uniform
+from ..functions.stats import pearson
 
 
 def linear_attributions(df: DataFrame, key: str, terms: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -197,7 +198,7 @@ def explanation_stability(df: DataFrame, key: str, terms: dict[str, tuple[Column
                                                        for f in feats])))
     base = phi.filter(F.col("copy") == 0).select(key, "feature", F.col("phi").alias("phi0"))
     j = phi.filter(F.col("copy") > 0).join(base, [key, "feature"])
-    c = j.groupBy(key, "copy").agg(F.corr("phi", "phi0").alias("r"))
+    c = j.groupBy(key, "copy").agg(pearson(F.col("phi"), F.col("phi0")).alias("r"))
     per = c.groupBy(key).agg(F.avg("r").alias("stability"))
     status = (F.when(F.col("stability") >= 0.9, "HIGHLY STABLE").when(F.col("stability") >= 0.7, "STABLE")
               .when(F.col("stability") >= 0.5, "MODERATE").otherwise("UNSTABLE"))

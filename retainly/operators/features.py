@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_row, check_rows
-from ..functions.stats import quantiles
+from ..functions.stats import pearson, quantiles
 
 
 def corr_with_target(df: DataFrame, features: list[str], label: str, threshold: float = 0.05) -> DataFrame:
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"r{i}") for i, c in enumerate(features)])
+    wide = df.agg(*[pearson(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"r{i}") for i, c in enumerate(features)])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("corr"))
                                           for i, c in enumerate(features)])))
     return (long.filter(F.abs("corr") >= threshold)
@@ -43,7 +43,7 @@ def interaction_features(df: DataFrame, features: list[str], label: str, max_int
     paired with their own data (the reference mispairs them).
     """
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double") * F.col(b).cast("double"), F.col(label).cast("double")).alias(f"r{i}")
+    wide = df.agg(*[pearson(F.col(a).cast("double") * F.col(b).cast("double"), F.col(label).cast("double")).alias(f"r{i}")
                     for i, (a, b) in enumerate(pairs)])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                                                    F.lit(f"{a}*{b}").alias("interaction"), F.col(f"r{i}").alias("corr"))
@@ -95,7 +95,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str, n_bins: i
          .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("feature", "_y")))
          .withColumn("n", F.sum("n_xy").over(Window.partitionBy("feature"))))
     mi = j.groupBy("feature").agg(F.sum(F.col("n_xy") / F.col("n") * F.log(F.col("n_xy") * F.col("n") / (F.col("n_x") * F.col("n_y")))).alias("mi"))
-    corr = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
+    corr = df.agg(*[pearson(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
     corr_long = corr.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in features])))
     out = mi.join(corr_long, "feature").select(
         "feature", F.round("mi", 6).alias("mi"), F.round(F.abs("r"), 6).alias("abs_corr"),
@@ -133,30 +133,30 @@ def woe_iv(df: DataFrame, features: list[str], label: str, n_bins: int = 10, pos
 def corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.85) -> DataFrame:
     """All feature pairs with Pearson r (one aggregation); |r| >= threshold flagged."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r"))
                                           for i, (a, b) in enumerate(pairs)])))
     return long.select("feature_a", "feature_b", F.round("r", 6).alias("corr"),
                        F.coalesce((F.abs("r") >= threshold).cast("int"), F.lit(0)).alias("high_corr"))
 
 
-def feature_clusters(df: DataFrame, features: list[str], label: str, threshold: float = 0.85) -> DataFrame:
-    """Greedy threshold clustering in column order on the k x k |r| matrix; representative = max |corr(label)|.
+def feature_clusters(df: DataFrame, features: list[str], label: str, threshold: float = 0.85, method: str = "ward") -> DataFrame:
+    """Clusters of correlated features with one representative each, the one with the largest |corr(label)|.
 
-    The matrix (k^2 numbers) comes from one distributed aggregation.
+    The correlations (k^2 numbers) come from one distributed aggregation; the
+    clustering of the k x k table of distances 1 - |r| is driver arithmetic.
+    ``ward`` merges the two clusters of least Ward distance while that is at
+    most 1 - ``threshold``; ``greedy`` opens a cluster for the first free
+    feature and takes in all free ones with |r| >= ``threshold``. A feature
+    without variance has no correlation and stays alone.
     """
-    pairs = {(r["feature_a"], r["feature_b"]): r["corr"] for r in corr_pairs(df, features, threshold).collect()}
-    tr = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features]).first()
-    assigned: dict[str, int] = {}
-    clusters = []
-    for f in features:
-        if f in assigned:
-            continue
-        members = [f] + [g for g in features if g not in assigned and g != f
-                         and abs(pairs.get((f, g), pairs.get((g, f))) or 0.0) >= threshold]
-        for m in members:
-            assigned[m] = len(clusters)
-        clusters.append(members)
+    pairs = {(r["feature_a"], r["feature_b"]): abs(r["corr"] or 0.0) for r in corr_pairs(df, features, threshold).collect()}
+    tr = df.agg(*[pearson(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features]).first()
+
+    def r(a: str, b: str) -> float:
+        return pairs.get((a, b), pairs.get((b, a), 0.0))
+
+    clusters = _ward(features, r, 1 - threshold) if method == "ward" else _greedy(features, r, threshold)
     rows = []
     for cid, members in enumerate(clusters):
         rep = max(members, key=lambda m: (abs(tr[m] or 0.0), -features.index(m)))
@@ -164,44 +164,28 @@ def feature_clusters(df: DataFrame, features: list[str], label: str, threshold:
     return df.sparkSession.createDataFrame(rows, "feature string, cluster int, representative string, cluster_size int")
 
 
-def check_feature_count(selected: DataFrame, min_features: int = 5) -> DataFrame:
-    a = selected.agg(F.count(F.lit(1)).alias("n"))
-    return check_row(a, "feature_count", "selected_features", F.col("n"), f">= {min_features}", F.col("n") >= min_features)
-
-
-def check_target_leakage(selected: DataFrame, forbidden: list[str], feature_col: str = "feature") -> DataFrame:
-    a = selected.agg(F.count_if(F.col(feature_col).isin(*forbidden)).alias("n"))
-    return check_row(a, "target_leakage", ",".join(forbidden), F.col("n"), "0", F.col("n") == 0)
-
-
-def check_feature_variance(df: DataFrame, features: list[str], threshold: float = 0.001) -> DataFrame:
-    wide = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(features)])
-    return check_rows(wide, [("feature_variance", c, F.round(F.col(f"v{i}"), 6), f">= {threshold}", F.col(f"v{i}") >= threshold)
-                             for i, c in enumerate(features)])
-
+def _greedy(features: list[str], r, threshold: float) -> list[list[str]]:
+    out, free = [], list(features)
+    while free:
+        first, *others = free
+        out.append([first, *(g for g in others if r(first, g) >= threshold)])
+        free = [g for g in others if g not in out[-1]]
+    return out
 
-def vif(df: DataFrame, features: list[str], threshold: float = 5.0, centered: bool = False) -> DataFrame:
-    """Variance inflation factors from the second-moment matrix (one aggregation of k(k+1)/2 sums).
 
-    Uncentred (no intercept) by default, as the reference's OLS; ``centered``
-    uses covariances. VIF_j = A_jj * inv(A)_jj; the k x k inverse is on the driver.
-    """
-    d = df.na.drop(subset=features)
-    k = len(features)
-    if centered:
-        aggs = [F.covar_pop(features[i], features[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    else:
-        aggs = [F.avg(F.col(features[i]).cast("double") * F.col(features[j]).cast("double")).alias(f"m{i}_{j}")
-                for i in range(k) for j in range(i, k)]
-    row = d.agg(*aggs).first()
-    a = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = row[f"m{i}_{j}"] or 0.0
-    try:
-        inv = np.linalg.inv(a)
-        vals = [float(a[j, j] * inv[j, j]) for j in range(k)]
-    except np.linalg.LinAlgError:
-        vals = [math.inf] * k
-    rows = [(f, round(v, 6), "HIGH" if v > threshold else "OK") for f, v in zip(features, vals)]
-    return df.sparkSession.createDataFrame(rows, "feature string, vif double, status string")
+def _ward(features: list[str], r, cut: float) -> list[list[str]]:
+    """Agglomeration with the Lance-Williams update of squared Ward distances; clusters in the order of their first feature."""
+    groups = {i: [f] for i, f in enumerate(features)}
+    d2 = {(i, j): (1 - r(features[i], features[j])) ** 2 for j in groups for i in groups if i < j}
+    while d2:
+        (i, j), low = min(d2.items(), key=lambda x: (x[1], x[0]))
+        if low ** 0.5 > cut:
+            break
+        ni, nj = len(groups[i]), len(groups[j])
+        for k in groups:
+            if k not in (i, j):
+                nk, ik, jk = len(groups[k]), (min(i, k), max(i, k)), (min(j, k), max(j, k))
+                d2[ik] = ((ni + nk) * d2[ik] + (nj + nk) * d2.pop(jk) - nk * low) / (ni + nj + nk)
+        del d2[i, j]
+        groups[i] += groups.pop(j)
+    return [sorted(groups[i], key=features.index) for i in sorted(groups)]

@@ -164,11 +164,16 @@ def _pairs_sql():
                       "PROCESSED")
 
 
-@register("feature_clusters", _pairs_sql())
-def q_feature_clusters(spark, sf):
+@register("feature_corr_pairs", _pairs_sql())
+def q_feature_corr_pairs(spark, sf):
     return FT.corr_pairs(V.processed(spark, sf), FEATS, 0.85)
 
 
+@register("feature_clusters")
+def q_feature_clusters(spark, sf):
+    return FT.feature_clusters(V.labelled_documents(spark, sf), DOC_FEATS, "quality", 0.85)
+
+
 @register("check_feature_count", f"""WITH {SEL_SQL}
 SELECT 'feature_count' AS "check", 'selected_features' AS subject, CAST(count(*) AS DOUBLE) AS actual, '>= 5' AS expected,
        CASE WHEN count(*) >= 5 THEN 'PASSED' ELSE 'FAILED' END AS status FROM chosen""")

@@ -10,6 +10,7 @@ from retainly.operators import campaign as C
 from retainly.operators import drift as D
 from retainly.operators import evaluate as E
 from retainly.operators import explain as X
+from retainly.operators import features as FT
 from retainly.operators import profile as P
 from retainly.operators import split as S
 from retainly.operators import summary as SM
@@ -111,3 +112,46 @@ def test_categorical_counterfactuals_stay_in_the_observed_values(spark):
                             n_iter=30, max_changes=1, categorical=["code"])
     codes = {r.counterfactual for r in out.filter("feature = 'code'").collect()}
     assert codes == {7.0}
+
+
+def ward_by_points(features, dist, cut):
+    """Merges by recomputing the Ward recurrence from scratch over the merge history (an independent check for 4 features)."""
+    groups = [((f,), 1) for f in features]
+    d = {frozenset((a, b)): dist[a, b] ** 2 for a in features for b in features if a < b}
+    names = {f: (f,) for f in features}
+    live = list(features)
+    while len(live) > 1:
+        a, b = min(((x, y) for i, x in enumerate(live) for y in live[i + 1:]), key=lambda p: d[frozenset(p)])
+        if d[frozenset((a, b))] ** 0.5 > cut:
+            break
+        new = a + "+" + b
+        for k in live:
+            if k not in (a, b):
+                na, nb, nk = len(names[a]), len(names[b]), len(names[k])
+                d[frozenset((new, k))] = ((na + nk) * d[frozenset((a, k))] + (nb + nk) * d[frozenset((b, k))]
+                                          - nk * d[frozenset((a, b))]) / (na + nb + nk)
+        names[new] = names.pop(a) + names.pop(b)
+        live = [k for k in live if k not in (a, b)] + [new]
+    return {frozenset(names[k]) for k in live}
+
+
+def test_feature_clusters(spark):
+    import random
+    rng = random.Random(1)
+    rows = []
+    for _ in range(300):
+        x, y = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((x, x + rng.gauss(0, 0.1), y, y + rng.gauss(0, 0.2), rng.gauss(0, 1), 5.0, int(x + rng.gauss(0, 0.5) > 0)))
+    cols = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", label int")
+    got = FT.feature_clusters(df, cols, "label", 0.85).collect()
+    clusters = {}
+    for r in got:
+        clusters.setdefault(r.cluster, set()).add(r.feature)
+        assert r.cluster_size == sum(q.cluster == r.cluster for q in got)
+    assert {frozenset(v) for v in clusters.values()} == {frozenset("ab"), frozenset("cd"), frozenset("e"), frozenset("f")}
+    assert {r.representative for r in got if r.feature in "ab"} <= {"a", "b"}
+    r = {tuple(sorted((p.feature_a, p.feature_b))): abs(p.corr or 0) for p in FT.corr_pairs(df, cols).collect()}
+    want = ward_by_points(cols, {(a, b): 1 - r[a, b] for a in cols for b in cols if a < b}, 0.15)
+    assert {frozenset(v) for v in clusters.values()} == want
+    assert len({q.cluster for q in FT.feature_clusters(df, cols, "label", 0.85, method="greedy").collect()}) == 4
