@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int32, uniform
 from ..functions.ranking import global_row_number
+from .clean import scaler_stats
 
 
 def _vec(features):
@@ -103,25 +104,44 @@ def _synthesise(rows: DataFrame, nbrs: DataFrame, features: list[str], key: str,
         key, "synthetic_id", *[F.col("_nv")[i].alias(c) for i, c in enumerate(features)])
 
 
+def _scaled(df: DataFrame, features: list[str], label: str, minority, k: int) -> tuple[DataFrame, dict]:
+    """Rows with standardised features (fitted on ``df``, the train rows) and {feature: (mean, scale)}; one aggregate row.
+
+    Raises where the minority has no k neighbours to choose from.
+    """
+    st = scaler_stats(df, features).crossJoin(df.agg(F.count_if(F.col(label) == minority).alias("_n"))).first()  # 1 row x 1 row
+    if st["_n"] < k + 1:
+        raise ValueError(f"{st['_n']} minority rows; {k} neighbours need at least {k + 1}")
+    fit = {c: (float(st[f"{c}__mean"]), float(st[f"{c}__std"] or 0.0) or 1.0) for c in features}
+    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fit.items()}), fit
+
+
+def _unscaled(df: DataFrame, fit: dict) -> DataFrame:
+    return df.withColumns({c: F.col(c) * F.lit(s) + F.lit(m) for c, (m, s) in fit.items()})
+
+
 def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5, minority=1, seed: int = 42) -> DataFrame:
-    """Oversample the minority class to parity: x + u * (nn - x) with nn one of the k nearest minority rows.
+    """Oversample the minority class to parity: x + u * (nn - x) with nn one of the k nearest minority rows,
+    nearest by the features standardised over ``df``.
 
     Returns the synthetic rows (key of the source row, synthetic_id, features, label); the caller unions
-    them with the originals (train split only).
+    them with the originals (train split only). Raises with fewer than k + 1 minority rows.
     """
+    df, fit = _scaled(df, features, label, minority, k)
     mino = df.filter(F.col(label) == minority)
     n_min = mino.agg(F.count(F.lit(1))).scalar()
     n_maj = df.filter(F.col(label) != minority).agg(F.count(F.lit(1))).scalar()
     need = F.greatest(n_maj - n_min, F.lit(0))
     nn = exact_knn(mino, mino, features, k, seed=seed)
     rows = _quota_per_row(mino, key, need, seed).select(key, _vec(features).alias("qv"), F.lit(0).alias("qy"), "_q")
-    out = _synthesise(rows, _neighbour_lists(nn), features, key, k, seed)
+    out = _unscaled(_synthesise(rows, _neighbour_lists(nn), features, key, k, seed), fit)
     return out.withColumn(label, F.lit(minority))
 
 
 def adasyn(df: DataFrame, features: list[str], label: str, key: str, k: int = 5, minority=1, seed: int = 42) -> DataFrame:
     """ADASYN: per-row quota proportional to the majority share among its k nearest neighbours in the whole
-    set (g_i = rint(ratio_i / sum ratio * need)); synthesis as SMOTE with minority neighbours."""
+    set (g_i = rint(ratio_i / sum ratio * need)); scaling and synthesis as SMOTE with minority neighbours."""
+    df, fit = _scaled(df, features, label, minority, k)
     mino = df.filter(F.col(label) == minority)
     n_min = mino.agg(F.count(F.lit(1))).scalar()
     n_maj = df.filter(F.col(label) != minority).agg(F.count(F.lit(1))).scalar()
@@ -135,5 +155,5 @@ def adasyn(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
             .withColumn("_q", F.rint(F.coalesce(F.try_divide(F.col("ratio"), total), F.lit(0.0)) * need).cast("int"))
             .withColumn("qy", F.lit(0)))
     nn_min = exact_knn(mino, mino, features, k, seed=seed)
-    out = _synthesise(rows.select(key, "qv", "qy", "_q"), _neighbour_lists(nn_min), features, key, k, seed)
+    out = _unscaled(_synthesise(rows.select(key, "qv", "qy", "_q"), _neighbour_lists(nn_min), features, key, k, seed), fit)
     return out.withColumn(label, F.lit(minority))

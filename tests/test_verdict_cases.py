@@ -12,6 +12,7 @@ from retainly.operators import evaluate as E
 from retainly.operators import explain as X
 from retainly.operators import features as FT
 from retainly.operators import profile as P
+from retainly.operators import resample as RS
 from retainly.operators import split as S
 from retainly.operators import summary as SM
 
@@ -155,3 +156,30 @@ def test_feature_clusters(spark):
     want = ward_by_points(cols, {(a, b): 1 - r[a, b] for a in cols for b in cols if a < b}, 0.15)
     assert {frozenset(v) for v in clusters.values()} == want
     assert len({q.cluster for q in FT.feature_clusters(df, cols, "label", 0.85, method="greedy").collect()}) == 4
+
+
+def test_smote_scales_and_refuses_too_few_rows(spark):
+    import random
+    rng = random.Random(2)
+    # column b is a million times wider than a: without scaling the neighbours are those in b alone
+    mino = [(i, float(i % 2) * 100 + rng.random(), rng.random() * 1e6, 1) for i in range(20)] + [(90 + i, 0.5, 5e5, 1) for i in range(8)]
+    majo = [(1000 + i, rng.random() * 100, rng.random() * 1e6, 0) for i in range(60)]
+    df = spark.createDataFrame(mino + majo, "k long, a double, b double, y int")
+    out = RS.smote(df, ["a", "b"], "y", "k", k=3).collect()
+    assert len(out) == 32
+    n = len(mino) + len(majo)
+    scale = []
+    for j in (1, 2):
+        v = [r[j] for r in mino + majo]
+        m = sum(v) / n
+        scale.append((sum((x - m) ** 2 for x in v) / n) ** 0.5)
+    at = {r[0]: r for r in mino}
+    for r in out:
+        src = at[r.k]
+        near = sorted((((q[1] - src[1]) / scale[0]) ** 2 + ((q[2] - src[2]) / scale[1]) ** 2, q[1], q[2]) for q in mino if q[0] != src[0])
+        limit = near[2][0] + 1e-9
+        ok = [q for q in near if q[0] <= limit]
+        # the new point lies between the source and one of its three nearest
+        assert any(abs((r.a - src[1]) * (q[2] - src[2]) - (r.b - src[2]) * (q[1] - src[1])) <= 1e-5 * (1 + abs(q[2] - src[2])) for q in ok)
+    with pytest.raises(ValueError, match="minority"):
+        RS.smote(df.filter("y = 0 OR k < 2"), ["a", "b"], "y", "k", k=3)
