@@ -100,7 +100,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: int, id_col: str, te
                 place += len(full)
 
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
-    return stored(narrow.mapInArrow(run, "task bigint, place bigint, n bigint, ids binary"), "ids")
+    return stored(narrow.mapInArrow(run, "task bigint, place bigint, n bigint, ids binary"), "ids", "zstd")
 
 
 def write_shards(docs: DataFrame, path: str, out: str, length: int = LENGTH, records: int = RECORDS, key: int = KEY,
@@ -157,7 +157,8 @@ def write_shards(docs: DataFrame, path: str, out: str, length: int = LENGTH, rec
 
     pieces = ids.mapInArrow(cut, "shard bigint, slot bigint, offset int, ids binary")
     dealt = pieces.repartition("shard").sortWithinPartitions("shard", "slot", "offset")
-    dealt.mapInArrow(lay_out, "shard bigint, first_slot bigint, n_records bigint, content binary").write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(out)
+    dealt.mapInArrow(lay_out, "shard bigint, first_slot bigint, n_records bigint, content binary").write.option(
+        "maxRecordsPerFile", SHARDS_PER_FILE).option("compression", "zstd").parquet(out)
     return n_seq
 
 
