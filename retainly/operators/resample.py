@@ -105,13 +105,14 @@ def _synthesise(rows: DataFrame, nbrs: DataFrame, features: list[str], key: str,
 
 
 def _scaled(df: DataFrame, features: list[str], label: str, minority, k: int) -> tuple[DataFrame, dict]:
-    """Rows with standardised features (fitted on ``df``, the train rows) and {feature: (mean, scale)}; one aggregate row.
+    """Rows with standardised features (fitted on ``df``, the train rows) and {feature: (mean, scale)}.
 
     Raises where the minority has no k neighbours to choose from.
     """
-    st = scaler_stats(df, features).crossJoin(df.agg(F.count_if(F.col(label) == minority).alias("_n"))).first()  # 1 row x 1 row
-    if st["_n"] < k + 1:
-        raise ValueError(f"{st['_n']} minority rows; {k} neighbours need at least {k + 1}")
+    n = df.agg(F.count_if(F.col(label) == minority)).first()[0]
+    if n < k + 1:
+        raise ValueError(f"{n} minority rows; {k} neighbours need at least {k + 1}")
+    st = scaler_stats(df, features).first()
     fit = {c: (float(st[f"{c}__mean"]), float(st[f"{c}__std"] or 0.0) or 1.0) for c in features}
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fit.items()}), fit
 
