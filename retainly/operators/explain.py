@@ -25,12 +25,20 @@ from ..functions.hashing import gaussian, uniform
 from ..functions.stats import pearson
 
 
-def linear_attributions(df: DataFrame, key: str, terms: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Long (key, feature, value, phi) for a linear score sum_j w_j x_j; E[x_j] over ``df`` (scalar subqueries)."""
+def attribution_arrays(df: DataFrame, key: str, terms: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(key, phis array<struct<feature, value, phi>>) for a linear score sum_j w_j x_j; E[x_j] over ``df``.
+
+    The features of a row stay in the row, so what concerns one row needs no shuffle.
+    """
     means = df.agg(*[F.avg(e).alias(f) for f, (e, _) in terms.items()]).first()  # fitted: one value per feature
     structs = [F.struct(F.lit(f).alias("feature"), e.cast("double").alias("value"),
                         (F.lit(w) * (e - F.lit(means[f]))).alias("phi")) for f, (e, w) in terms.items()]
-    return df.select(F.col(key), F.inline(F.array(*structs)))
+    return df.select(key, F.array(*structs).alias("phis"))
+
+
+def linear_attributions(df: DataFrame, key: str, terms: dict[str, tuple[Column, float]]) -> DataFrame:
+    """``attribution_arrays`` as long rows (key, feature, value, phi)."""
+    return attribution_arrays(df, key, terms).select(key, F.inline("phis"))
 
 
 def shapley_global(phi: DataFrame) -> DataFrame:
@@ -39,11 +47,12 @@ def shapley_global(phi: DataFrame) -> DataFrame:
                     F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc(), "feature")).cast("bigint").alias("rank"))
 
 
-def shapley_local(phi: DataFrame, key: str, top_n: int = 8) -> DataFrame:
-    """Top ``top_n`` contributions of EVERY row (window partitioned by key: groups of k features)."""
-    w = Window.partitionBy(key).orderBy(F.abs("phi").desc(), "feature")
-    return (phi.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_n)
-            .select(key, "rank", "feature", F.round("phi", 6).alias("phi")))
+def shapley_local(arrays: DataFrame, key: str, top_n: int = 8) -> DataFrame:
+    """Top ``top_n`` contributions of EVERY row, sorted inside the row."""
+    ordered = F.array_sort(F.transform("phis", lambda s: F.struct((-F.abs(s["phi"])).alias("o"), s["feature"].alias("feature"),
+                                                                  s["phi"].alias("phi"))))
+    return arrays.select(key, F.posexplode(F.slice(ordered, 1, top_n)).alias("i", "s")).select(
+        key, (F.col("i") + 1).cast("bigint").alias("rank"), "s.feature", F.round("s.phi", 6).alias("phi"))
 
 
 def top_drivers(global_phi: DataFrame, metrics: DataFrame, top_n: int = 5) -> DataFrame:
@@ -233,9 +242,11 @@ def check_fairness(fair: DataFrame, rate_gap: float = 10.0, recall_gap: float =
                     F.when(ok, "PASSED").otherwise("FAILED").alias("status"))
 
 
-def check_attributions(phi: DataFrame, key: str, n_features: int) -> DataFrame:
-    per = phi.groupBy(key).agg(F.count_distinct("feature").alias("k"), F.count_if(F.isnan("phi") | F.col("phi").isNull()).alias("bad"))
-    a = per.agg(F.count_if(F.col("k") != n_features).alias("wrong_width"), F.sum("bad").alias("nan"))
+def check_attributions(arrays: DataFrame, key: str, n_features: int) -> DataFrame:
+    """Every row has ``n_features`` different features and no missing or NaN contribution; one pass, no shuffle of rows."""
+    bad = F.filter("phis", lambda s: s["phi"].isNull() | F.isnan(s["phi"]))
+    width = F.size(F.array_distinct(F.transform("phis", lambda s: s["feature"])))
+    a = arrays.agg(F.count_if(width != n_features).alias("wrong_width"), F.sum(F.size(bad)).alias("nan"))
     return check_rows(a, [("attribution_width", "features_per_row", F.col("wrong_width"), "0 rows with wrong width", F.col("wrong_width") == 0),
                           ("attribution_nan", "phi", F.coalesce(F.col("nan"), F.lit(0)), "0 NaN", F.coalesce(F.col("nan"), F.lit(0)) == 0)])
 

@@ -23,6 +23,10 @@ def terms():
             "c_acctbal": (F.col("c_acctbal").cast("double"), S["c_acctbal"])}
 
 
+def phi_arrays(spark, sf):
+    return X.attribution_arrays(V.scored(spark, sf), "c_custkey", terms())
+
+
 def phi(spark, sf):
     return X.linear_attributions(V.scored(spark, sf), "c_custkey", terms())
 
@@ -45,7 +49,7 @@ SELECT c_custkey, rank, feature, round(phi, 6) AS phi FROM (
   SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(phi) DESC, feature) AS rank FROM phi) WHERE rank <= 8""",
     "SCORED", extra=PHI_SQL))
 def q_shapley_local(spark, sf):
-    return X.shapley_local(phi(spark, sf), "c_custkey", 8)
+    return X.shapley_local(phi_arrays(spark, sf), "c_custkey", 8)
 
 
 @register("top_drivers", with_views("""
@@ -71,7 +75,7 @@ SELECT 'attribution_nan', 'phi', CAST(count(*) FILTER (WHERE phi IS NULL OR isna
        CASE WHEN count(*) FILTER (WHERE phi IS NULL OR isnan(phi)) = 0 THEN 'PASSED' ELSE 'FAILED' END FROM phi""",
     "SCORED", extra=PHI_SQL))
 def q_check_attributions(spark, sf):
-    return X.check_attributions(phi(spark, sf), "c_custkey", 3)
+    return X.check_attributions(phi_arrays(spark, sf), "c_custkey", 3)
 
 
 @register("check_expected_drivers", with_views(f"""

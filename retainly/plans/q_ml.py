@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_rows
+from ..operators import explain as X
 from ..operators import ml as M
 from ..operators import split as SP
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
@@ -251,3 +252,12 @@ def q_smote(spark, sf):
 def q_adasyn(spark, sf):
     from ..operators.resample import adasyn
     return adasyn(_train_rows(spark, sf), FEATS, LABEL, KEY, k=5)
+
+
+@register("shapley_model")
+def q_shapley_model(spark, sf):
+    """Sampling Shapley values of the saved model for every customer."""
+    model, _ = saved_model(spark, sf)
+    rows = prepared(spark, sf).select(KEY, *[F.col(c).cast("double").alias(c) for c in FEATS])
+    phi = X.sampling_shapley(rows, KEY, FEATS, lambda d: M.positive_score(model.transform(d)).drop("features"), n_perm=8)
+    return phi.select(KEY, "feature", F.round("phi", 6).alias("phi"))

@@ -183,3 +183,15 @@ def test_smote_scales_and_refuses_too_few_rows(spark):
         assert any(abs((r.a - src[1]) * (q[2] - src[2]) - (r.b - src[2]) * (q[1] - src[1])) <= 1e-5 * (1 + abs(q[2] - src[2])) for q in ok)
     with pytest.raises(ValueError, match="minority"):
         RS.smote(df.filter("y = 0 OR k < 2"), ["a", "b"], "y", "k", k=3)
+
+
+def test_row_local_explanations_need_no_shuffle(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(50)], "k long, a double, b double")
+    arrays = X.attribution_arrays(df, "k", {"a": (F.col("a"), 0.5), "b": (F.col("b"), -2.0)})
+    local = X.shapley_local(arrays, "k", 1)
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString()
+    for r in local.collect():
+        pa, pb = 0.5 * (r.k - 24.5), -2.0 * (r.k % 3 - 0.98)
+        assert r.rank == 1 and r.feature == ("a" if abs(pa) >= abs(pb) else "b")
+    assert {r.status for r in X.check_attributions(arrays, "k", 2).collect()} == {"PASSED"}
+    assert "FAILED" in {r.status for r in X.check_attributions(arrays, "k", 3).collect()}
