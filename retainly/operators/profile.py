@@ -192,14 +192,14 @@ def check_pii_columns(df: DataFrame, pii_fields: list[str]) -> DataFrame:
 
 def _row_digest(cols: list[str]):
     """Digest of the JSON text of the columns: names, quotes and nulls keep any two different rows apart."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]),
-                            {"ignoreNullFields": "false"}), 256)
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]),
+                           {"ignoreNullFields": "false"}))
 
 
 def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows repeating an earlier identical row: sum(n - 1) over groups of equal rows.
 
-    Rows are grouped by a 256-bit digest instead of their values, so the
+    Rows are grouped by a 128-bit digest instead of their values, so the
     shuffle carries fixed-size keys.
     """
     g = df.groupBy(_row_digest(cols or df.columns).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
