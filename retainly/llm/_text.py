@@ -75,6 +75,7 @@ def blocks(col: pa.Array, lower: bool = False, max_bytes: int = BLOCK_BYTES) ->
         j = min(n, max(j, i + 1))
         yield make_block(data, off, i, j, lower)
         i = j
+    pa.default_memory_pool().release_unused()  # a worker outlives its tasks: give freed batches back
 
 
 def make_block(data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool) -> Block:

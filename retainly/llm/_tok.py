@@ -21,8 +21,8 @@ from ._text import Block, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_WORDS = 800_000
-MEMO_PARTS = 300_000
+MEMO_WORDS = 400_000
+MEMO_PARTS = 150_000
 _LOADED: dict[str, object] = {}
 # ASCII marks, Latin letters, ASCII marks: no pre-token crosses these borders (an apostrophe
 # before letters may, so it never ends the first part); all letters are precomposed
