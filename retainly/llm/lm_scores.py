@@ -1,8 +1,8 @@
 """Stupid-backoff scores of all documents under a bigram model of the same corpus.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of all documents (ties by hash); its
-table has a fixed bound and is broadcast. All other words are one unknown word, whose bigrams
-always back off. A word w after u scores
+Every word and every bigram has its exact count. The ``VOCABULARY`` most frequent words (ties
+by hash) are broadcast with their counts, as a fast way for most of the text; the others find
+their counts by hash. A word w after u scores
 
     log(c(uw) / c(u))              where c(uw) >= ``MIN_COUNT``
     log(BACKOFF * c(w) / N)        else
@@ -10,13 +10,17 @@ always back off. A word w after u scores
 and the first word of a row log(c(w) / N). The document's score is the sum, its mean the sum
 over its words.
 
-1. Words are counted per task, then by hash: one partially aggregated shuffle.
-2. Every document's back-off part needs the vocabulary alone and is summed where it is read.
+1. Words are counted per task, then by hash: one partially aggregated shuffle, written.
+2. Every document's back-off part is summed where it is read, as if every word outside the
+   vocabulary occurred once; a bitmap of the words that occur more often names those to correct.
 3. Each document's distinct bigrams of known words go by hash to their count (keys of two
    vocabulary numbers, so no collisions), and what a seen bigram adds over its back-off goes
    back to the document, summed before and after the shuffle. Bigrams that a fixed table of
    hashed counters shows as common take another way: they are counted with partial
    aggregation and joined, so no key with a large share of the rows is dealt to one task.
+4. Bigrams with a word outside the vocabulary are counted by their two word hashes. They and
+   the corrections of 2 are sums of log counts of single words, so one join by word hash with
+   the written counts settles both. No such word has more than 1 / ``VOCABULARY`` of all words.
 
 Defined results: null or word-less text has 0 words, score 0 and a null mean; rows that
 share a doc_id are scored as parts of one document (one output row); rows without an id are
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ship, stored
+from ._store import id_filter, may_hold, ship, stored
 from ._text import Block, blocks, columns, word_hashes
 
 VOCABULARY = 1 << 18
@@ -44,13 +48,13 @@ TASK_WORDS = 2_000_000  # words a task counts before it hands them on
 
 
 class Vocabulary:
-    """Words by number, their counts, and which bigram cells are common."""
+    """The frequent words by number, their counts, and which bigram cells are common."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, common: np.ndarray | None = None):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.total, self.common = hashes[order], counts[order], total, common
         self.unknown = len(hashes)
-        known = np.append(self.counts, max(1, total - int(counts.sum())))
+        known = np.append(self.counts, 1)  # any other word, until its count is joined
         self.back = np.log(BACKOFF) + np.log(known) - np.log(max(1, total))
         self.log_count = np.log(known)
 
@@ -92,11 +96,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and (word, n) of all words."""
     counts = stored(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(size).toArrow()  # at most ``size`` rows of 16 bytes
-    return Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), total)
+    return Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), total), counts
+
+
+def tallied(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of the key columns, and how often each occurs."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return (*(k[first] for k in keys), np.diff(np.append(first, len(order))))
+
+
+def rare_words(b: Block, v: Vocabulary, held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, which words are in the vocabulary, and which others the filter holds."""
+    h = word_hashes(b)
+    known = v.numbers(h) != v.unknown
+    rare = np.zeros(len(h), bool)
+    at = np.flatnonzero(~known)
+    rare[at] = may_hold(pa.array(h[at].view(np.int64)), held)
+    return h, known, rare
 
 
 def bigrams(b: Block, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,15 +129,8 @@ def bigrams(b: Block, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray
     w = v.numbers(word_hashes(b))
     ok = np.flatnonzero((b.doc[1:] == b.doc[:-1]) & (w[1:] != v.unknown) & (w[:-1] != v.unknown))
     key = (w[ok].astype(np.int64) << 32) | w[ok + 1]
-    row = b.doc[ok]
-    order = np.lexsort((key, row))
-    key, row = key[order], row[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(key)))
-    key = key[first]
-    return w, row[first], key, times, cell_of(key)
+    row, key, times = tallied(b.doc[ok], key)
+    return w, row, key, times, cell_of(key)
 
 
 def cell_of(key: np.ndarray) -> np.ndarray:
@@ -120,10 +138,10 @@ def cell_of(key: np.ndarray) -> np.ndarray:
     return (k >> np.uint64(46)).astype(np.int64)  # 18 bits, as CELLS
 
 
-def _base(docs: DataFrame, shared) -> DataFrame:
-    """Rows (doc_id, n_words, base) of every row, then (cell, seen) rows of the task."""
+def _base(docs: DataFrame, shared, held) -> DataFrame:
+    """Rows (doc_id, n_words, base) of every row, (doc_id, word, seen) of its rare words, then (cell, seen) of the task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("base", pa.float64()), ("cell", pa.int32()),
-                        ("seen", pa.int64())])
+                        ("seen", pa.int64()), ("word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
@@ -135,12 +153,20 @@ def _base(docs: DataFrame, shared) -> DataFrame:
                 base = np.bincount(b.doc, weights=v.back[w], minlength=b.rows)
                 base = base - np.log(BACKOFF) * (b.counts > 0)  # the first word is not a back-off
                 none = pa.nulls(b.rows)
-                yield columns(schema, doc_id=x.column(0).slice(b.first, b.rows), n_words=b.counts, base=base, cell=none, seen=none)
+                ids = x.column(0).slice(b.first, b.rows)
+                yield columns(schema, doc_id=ids, n_words=b.counts, base=base, cell=none, seen=none, word=none)
+                h, _, rare = rare_words(b, v, held.value)
+                row, word, times = tallied(b.doc[rare], h[rare])
+                for i in range(0, len(row), 200_000):
+                    t = slice(i, i + 200_000)
+                    none = pa.nulls(len(row[t]))
+                    yield columns(schema, doc_id=ids.take(pa.array(row[t])), n_words=none, base=none, cell=none, seen=times[t],
+                                  word=word[t].view(np.int64))
         used = np.flatnonzero(seen)
         none = pa.nulls(len(used))
-        yield columns(schema, doc_id=none, n_words=none, base=none, cell=used.astype(np.int32), seen=seen[used])
+        yield columns(schema, doc_id=none, n_words=none, base=none, cell=used.astype(np.int32), seen=seen[used], word=none)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, base double, cell int, seen bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, base double, cell int, seen bigint, word bigint")
 
 
 def _bigram_rows(docs: DataFrame, shared, of_common: bool) -> DataFrame:
@@ -174,14 +200,56 @@ def _gains(counted: DataFrame, shared, min_count: int) -> DataFrame:
     return counted.mapInArrow(run, "doc bigint, gain double").groupBy("doc").agg(F.sum("gain").alias("gain"))
 
 
+def _rare_bigrams(docs: DataFrame, shared, held) -> DataFrame:
+    """(u, w, doc, times) of each row's distinct bigrams with a word outside the vocabulary, by word hashes."""
+    schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("doc", pa.int64()), ("times", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = shared.value
+        for x in batches:
+            for b in blocks(x.column(1)):
+                ids = x.column(0).slice(b.first, b.rows)
+                h, known, rare = rare_words(b, v, held.value)
+                ok = known | rare
+                at = np.flatnonzero((b.doc[1:] == b.doc[:-1]) & ok[1:] & ok[:-1] & (rare[1:] | rare[:-1]))
+                row, u, w, times = tallied(b.doc[at], h[at], h[at + 1])
+                for i in range(0, len(row), 200_000):
+                    t = slice(i, i + 200_000)
+                    yield columns(schema, u=u[t].view(np.int64), w=w[t].view(np.int64), doc=ids.take(pa.array(row[t])),
+                                  times=times[t].astype(np.int32))
+
+    return docs.mapInArrow(run, "u bigint, w bigint, doc bigint, times int")
+
+
+def _rare_gains(counted: DataFrame, shared) -> DataFrame:
+    """(word, doc, times, gain): a seen bigram's gain, and how often the log count of its words outside the vocabulary counts."""
+    schema = pa.schema([("word", pa.int64()), ("doc", pa.int64()), ("times", pa.int64()), ("gain", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = shared.value
+        for x in batches:
+            u, w, times, total = (x.column(c).to_numpy() for c in ("u", "w", "times", "total"))
+            nu, nw = v.numbers(u.view(np.uint64)), v.numbers(w.view(np.uint64))
+            gain = times * (np.log(total) - v.log_count[nu] - v.back[nw])
+            first, both = nu == v.unknown, np.flatnonzero((nu == v.unknown) & (nw == v.unknown))
+            yield columns(schema, word=np.where(first, u, w), doc=x.column("doc"), times=-times.astype(np.int64), gain=gain)
+            yield columns(schema, word=w[both], doc=x.column("doc").take(pa.array(both)), times=-times[both].astype(np.int64),
+                          gain=np.zeros(len(both)))
+
+    return counted.mapInArrow(run, "word bigint, doc bigint, times bigint, gain double")
+
+
 def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, min_count: int = MIN_COUNT, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """One row per doc_id: doc_id, n_words, score, mean_score."""
     spark = docs.sparkSession
     ship(spark)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    v = learn_vocabulary(narrow, vocabulary)
-    base = stored(_base(narrow, spark.sparkContext.broadcast(v)), "base")
+    v, counts = learn_vocabulary(narrow, vocabulary)
+    # a word seen once has a log count of 0 and no bigram that is seen twice
+    counts = counts.filter(F.col("n") >= min(2, min_count))
+    held = id_filter(counts.select("word"), counts.count())
+    base = stored(_base(narrow, spark.sparkContext.broadcast(v), held), "base")
     seen = np.zeros(CELLS, np.int64)
     got = base.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()  # at most CELLS rows
     seen[got["cell"].to_numpy()] = got["seen"].to_numpy()
@@ -194,8 +262,14 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, min_count: int = MI
     hot = hot.join(hot.groupBy("key").agg(F.sum("times").alias("total")), "key")
     parts = _gains(rare.select("key", "doc", "times", "total"), shared, min_count).unionByName(
         _gains(hot.select("key", "doc", "times", "total"), shared, min_count))
+    others = (_rare_bigrams(narrow, shared, held).withColumn("total", F.sum("times").over(Window.partitionBy("u", "w")))
+              .filter(F.col("total") >= min_count))
+    single = base.filter("word IS NOT NULL").select("word", F.col("doc_id").alias("doc"), F.col("seen").alias("times"),
+                                                    F.lit(0.0).alias("gain"))
+    exact = single.unionByName(_rare_gains(others, shared)).join(counts, "word")
+    parts = parts.unionByName(exact.select("doc", (F.col("gain") + F.col("times") * F.log("n")).alias("gain")))
     gains = parts.groupBy("doc").agg(F.sum("gain").alias("gain"))
-    each = (base.filter("cell IS NULL").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("base").alias("base")))
+    each = (base.filter("n_words IS NOT NULL").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("base").alias("base")))
     score = F.col("base") + F.coalesce("gain", F.lit(0.0))
     return (each.join(gains, each["doc_id"].eqNullSafe(gains["doc"]), "left")
             .select("doc_id", "n_words", score.alias("score"),

@@ -60,6 +60,16 @@ def test_lm_unknown_words_back_off(spark):
     assert lm_scores.lm_scores(odd.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary,min_count", [(1, 2), (6, 2), (6, 1), (40, 3)])
+def test_lm_words_outside_the_vocabulary_keep_their_counts(spark, vocabulary, min_count):
+    data = odd.rows() + [(5000, "w1 only once w2 twice here twice here", "en", "src0"), (5001, "twice here w1 w1 zwölf", "en", "src0")]
+    got = {r.doc_id: r for r in lm_scores.lm_scores(odd.frame(spark, data), vocabulary=vocabulary, min_count=min_count).collect()}
+    want = brute_lm([r[:2] for r in data], min_count=min_count)
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d].n_words == n and got[d].score == pytest.approx(s, rel=1e-9, abs=1e-6)
+
+
 def test_quality_held_out_accuracy_and_folds(spark):
     docs, labels = load_table(spark, "/root/testdata/sf0.1", "documents"), load_table(spark, "/root/testdata/sf0.1", "labels")
     got = quality_classifier.quality_scores(docs, labels)
