@@ -1,6 +1,9 @@
 """Secret scan: candidate strings judged by a random forest, on DataFrame functions alone.
 
-Candidates are runs of at least 16 characters of ``[A-Za-z0-9+/_=-]`` with a digit. A text is
+Candidates have two forms. An assigned value is all that stands behind a credential name and
+one of ``= : := =>``, of any length and any characters: up to the closing quote, else up to white
+space, without closing punctuation or a next ``&name=``. A run is at least 16 characters of
+``[A-Za-z0-9+/_-]`` with a digit, and up to two ``=`` of padding. A text is
 split at its candidates once, so piece i stands before candidate i and piece i + 1 after it;
 both neighbours come from there without searching again. Features: length, character
 classes and transitions between them, distinct characters, vowels, dictionary coverage (the
@@ -8,9 +11,10 @@ dictionary is the ``DICTIONARY`` most frequent words beside candidates, over all
 path signs and neighbouring words.
 
 Labelled findings train the forest (``pyspark.ml``). Where none are given they come from the
-scanned texts by rules that need no model: a value assigned to a credential name is a
-secret; digits alone, values of dictionary words and parts of paths or addresses are not;
-all others stay unlabelled. At most ``MAX_LABELLED`` findings are used, in the order of
+scanned texts by rules that need no model: digits alone and
+values of dictionary words are not secrets; other values assigned to a credential name are
+(an unquoted word of letters alone stays unlabelled, as it may be prose); parts of URLs and
+paths are not; all others stay unlabelled. At most ``MAX_LABELLED`` findings are used, in the order of
 their hash. The trees become one SQL expression, so scoring runs inside the scan.
 
 Defined results: null or empty text has no findings; without labels of both classes the
@@ -29,7 +33,20 @@ from pyspark.sql import functions as F
 
 from ._store import stored
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}"
+NAMES = (r"token(?!i[sz])|secret(?!ar)|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|"
+         r"auth(?!or(?!i[sz])|entic(?!at))|credential|bearer")
+_NAME = rf"(?i:{NAMES})[A-Za-z0-9_.-]{{0,20}}[\"']?\s{{0,3}}"
+_SIGN = r"(?:=>|:=|={1,3}|:)\s{0,3}"
+_SCHEME = r"(?i:(?:bearer|basic|token)\s{1,3})?"
+_NEAR = r"(?<=[=:>\s\"'])(?<=[=:>]\s{0,3}[\"']?" + _SCHEME + ")"  # a cheap look first
+_BEHIND = "(?<=" + _NAME + _SIGN
+_VALUE = (_NEAR + "(?:" + _BEHIND + "\"" + _SCHEME + r")(?!(?i:bearer|basic|token)\s)[^\"\r\n]++(?=\")|"
+          + _BEHIND + "'" + _SCHEME + r")(?!(?i:bearer|basic|token)\s)[^'\r\n]++(?=')|"
+          + _BEHIND + r"[\"']?" + _SCHEME + r")(?!(?i:bearer|basic|token)\s)[^\s\"'=>]\S*?"
+          r"(?=[\"',;.)\]}>]{0,8}(?:\s|$)|[&;,][A-Za-z0-9_.-]{1,40}=))")
+_RUN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9+/_-]*?" + _NAME + "[=:])"
+        r"[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+CANDIDATE = f"{_VALUE}|{_RUN}"
 CONTEXT = 80
 DICTIONARY = 300
 MAX_LABELLED = 50_000
@@ -37,10 +54,10 @@ TREES, DEPTH, SEED = 30, 5, 7
 SECRET_SCORE = 0.5
 MASK = "[SECRET]"
 
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
-ASSIGNED = CREDENTIAL + r"""[A-Za-z_-]{0,20}["']?\s{0,3}[=:]\s{0,3}["']?$"""
+CREDENTIAL = f"(?i)({NAMES})"
+ASSIGNED = _NAME + _SIGN + r"[\"']?" + _SCHEME + "$"
 IDENTIFIER = r"(?i)\b(commit|sha\d*|md5|hash|checksum|digest|uuid|id|order|invoice|card|phone|isbn|version)\b"
-ADDRESS = r"""(?i)(https?:|ftp:|www\.|[\\/.])[^\s"']{0,60}$"""
+ADDRESS = r"""(?i)(https?:|ftp:|www\.|[\\/])[^\s"']{0,60}$"""
 
 
 def finding_array(text: Column) -> Column:
@@ -90,8 +107,8 @@ def features(value: Column, before: Column, after: Column, words: list[str]) ->
     def yes(c: Column) -> Column:
         return F.coalesce(c, F.lit(False)).cast("double")
 
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"),
-                        "+/_=-", ".....")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    kinds = F.regexp_replace(kinds, "[^aA0]", ".")
     runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "$1")).cast("double")
     mixed = F.length(F.regexp_replace(F.regexp_replace(F.lower(kinds), r"a+0+|0+a+", "#"), "[^#]", "")).cast("double")
     known = "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w))) or r"(?!)"
@@ -107,8 +124,9 @@ def features(value: Column, before: Column, after: Column, words: list[str]) ->
 def rule_label(f: Column) -> Column:
     """1, 0 or null from the rules in the module text; ``f`` is a features array."""
     at = {name: f[i] for i, name in enumerate(FEATURES)}
-    return (F.when((at["digits"] + at["separators"] / at["length"] >= 0.999) | (at["dictionary"] >= 0.5) | (at["address"] > 0), 0.0)
-            .when((at["assigned"] > 0) & (at["digits"] > 0), 1.0))
+    word = (at["capitals"] + at["smalls"] >= 0.999) & (at["quoted"] == 0)
+    return (F.when((at["digits"] + at["separators"] / at["length"] >= 0.999) | (at["dictionary"] >= 0.5), 0.0)
+            .when((at["assigned"] > 0) & ~word, 1.0).when(at["address"] > 0, 0.0))
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list | float:
