@@ -14,8 +14,8 @@ Labelled findings train the forest (``pyspark.ml``). Where none are given they c
 scanned texts by rules that need no model: digits alone and
 values of dictionary words are not secrets; other values assigned to a credential name are
 (an unquoted word of letters alone stays unlabelled, as it may be prose); parts of URLs and
-paths are not; all others stay unlabelled. At most ``MAX_LABELLED`` findings are used, in the order of
-their hash. The trees become one SQL expression, so scoring runs inside the scan.
+paths are not; all others stay unlabelled. All labelled findings count: those of equal features and
+label are at most ``COPIES`` training rows that share their number as weight. The trees become one SQL expression, so scoring runs inside the scan.
 
 Defined results: null or empty text has no findings; without labels of both classes the
 score is the share of secrets among the labels (0 without any); repeated rows are scanned
@@ -49,7 +49,7 @@ _RUN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9+/_-]*?" + _NA
 CANDIDATE = f"{_VALUE}|{_RUN}"
 CONTEXT = 80
 DICTIONARY = 300
-MAX_LABELLED = 50_000
+COPIES, TRAIN_PARTS = 32, 32
 TREES, DEPTH, SEED = 30, 5, 7
 SECRET_SCORE = 0.5
 MASK = "[SECRET]"
@@ -129,14 +129,19 @@ def rule_label(f: Column) -> Column:
             .when((at["assigned"] > 0) & ~word, 1.0).when(at["address"] > 0, 0.0))
 
 
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list | float:
+def train(labelled: DataFrame) -> list | float:
     """Trees as nested (feature, threshold, left, right) or leaf votes, from rows of (x array, y)."""
-    rows = stored(labelled.filter("y IS NOT NULL").orderBy(F.xxhash64("x"), "y").limit(max_labelled), "labelled")
-    n, ones = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    groups = labelled.filter("y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.least("n", F.lit(COPIES))
+    # a fixed dealing and order, as the bootstrap goes by them
+    each = (groups.repartition(TRAIN_PARTS, "x").sortWithinPartitions("x", "y")
+            .select("x", "y", (F.col("n") / copies).alias("weight"), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("_c")))
+    rows = stored(each.drop("_c"), "labelled")
+    n, ones = rows.agg(F.sum("weight"), F.sum(F.col("y") * F.col("weight"))).first()
     if not n or not ones or ones == n:
         return float(ones or 0) / n if n else 0.0
-    forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    model = forest.fit(rows.select(array_to_vector("x").alias("v"), "y"))
+    forest = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    model = forest.fit(rows.select(array_to_vector("x").alias("v"), "y", "weight"))
     return [parse_tree(t.toDebugString) for t in model.trees]
 
 
@@ -172,13 +177,13 @@ def forest_score(trees: list | float, f: Column) -> Column:
     return total / len(trees)
 
 
-def learn(found: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> tuple[list | float, list[str]]:
+def learn(found: DataFrame, labelled: DataFrame | None = None) -> tuple[list | float, list[str]]:
     """(trees, dictionary); ``labelled`` has value, before, after and label, else the rules label ``found``."""
     words = dictionary(found)
     source = found if labelled is None else labelled
     x = features(F.col("value"), F.col("before"), F.col("after"), words)
     y = rule_label(F.col("x")) if labelled is None else F.col("label").cast("double")
-    return train(source.withColumn("x", x).select("x", y.alias("y")), max_labelled), words
+    return train(source.withColumn("x", x).select("x", y.alias("y"))), words
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = SECRET_SCORE, id_col: str = "doc_id",
