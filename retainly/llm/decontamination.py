@@ -12,10 +12,10 @@ passage. Each passage is a query, in three steps, each on what the last one left
 3. the segments of the remaining blocks are scored in full.
 
 No bound is ever below a true score, so every (passage, segment) at or above the threshold
-is retrieved. A retrieved segment is checked on the whole text: the 5-word shingles of its
-question (all sentences but the last) and answer (the last sentence; of a single sentence,
-its last quarter) that occur there. A document leaks an item when at least ``percent`` of
-the item's shingles occur.
+is retrieved. Retrieval only picks the item: all its distinct 5-word shingles are then looked
+up in the whole text, those of its question (all sentences but the last) and answer (the last
+sentence; of a single sentence, its last quarter) apart. A document leaks an item when at
+least ``percent`` of the item's shingles occur.
 
 The index goes to the executors in parts of at most ``INDEX_WORDS`` words, one pass over
 the documents each, so no broadcast grows with the benchmark.
@@ -63,7 +63,7 @@ class Index:
 
     item: np.ndarray           # item number of each segment
     item_ids: list             # id of each item, which may be null
-    shingle: np.ndarray        # sorted distinct shingle hashes of segments, flat
+    shingle: np.ndarray        # sorted distinct shingle hashes of items, flat
     shingle_at: np.ndarray
     is_answer: np.ndarray      # per shingle: it starts in the answer
     terms: np.ndarray          # sorted term hashes
@@ -109,10 +109,9 @@ def build_index(items: list[tuple[int, str]], segment: int = SEGMENT) -> Index:
         for at in range(0, total, step):
             seg_item.append(i)
             seg_words.append(np.unique(h[first[i] + at:min(first[i] + at + segment, first[i] + n[i])], return_counts=True))
-            end = min(at + step, total)
-            values, place = np.unique(s[s_first[i] + at:s_first[i] + end], return_index=True)
-            sh.append(values)
-            sh_answer.append(at + place >= border)
+        values, place = np.unique(s[s_first[i]:s_first[i] + total], return_index=True)
+        sh.append(values)
+        sh_answer.append(place >= border)
     n_seg = len(seg_item)
     size = np.array([c.sum() for _, c in seg_words], float)
     term_of = np.concatenate([w for w, _ in seg_words])
@@ -226,18 +225,16 @@ def leaks(b: Block, x: Index, threshold: float, percent: int) -> list[tuple]:
     order = np.argsort(s_row, kind="stable")
     s_row, s = s_row[order], s[order]
     total = np.zeros((len(x.item_ids), 2), np.int64)
-    np.add.at(total, (np.repeat(x.item, np.diff(x.shingle_at)), x.is_answer.astype(int)), 1)
+    np.add.at(total, (np.repeat(np.arange(len(x.item_ids)), np.diff(x.shingle_at)), x.is_answer.astype(int)), 1)
     out = []
     for r in np.unique(row):
         mine = s[np.searchsorted(s_row, r):np.searchsorted(s_row, r, "right")]
-        found: dict[int, list] = {}
+        found: dict[int, float] = {}
         for g, v in zip(seg[row == r], score[row == r]):
-            part = slice(x.shingle_at[g], x.shingle_at[g + 1])
-            hit = np.isin(x.shingle[part], mine)
-            e = found.setdefault(int(x.item[g]), [0.0, np.zeros(2, np.int64)])
-            e[0] = max(e[0], float(v))
-            e[1] += np.bincount(x.is_answer[part][hit].astype(int), minlength=2)
-        for i, (v, hits) in found.items():
+            found[int(x.item[g])] = max(found.get(int(x.item[g]), 0.0), float(v))
+        for i, v in found.items():
+            part = slice(x.shingle_at[i], x.shingle_at[i + 1])
+            hits = np.bincount(x.is_answer[part][np.isin(x.shingle[part], mine)].astype(int), minlength=2)
             if 100 * hits.sum() >= percent * total[i].sum():
                 q, a = (float(hits[k] / total[i][k]) if total[i][k] else 0.0 for k in (0, 1))
                 out.append((int(r), x.item_ids[i], v, float(hits.sum() / total[i].sum()), q, a))

@@ -155,6 +155,21 @@ def test_leaks_in_odd_rows(spark):
     assert D.contaminated(odd.frame(spark, data), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_long_items_copied_in_part(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{i}x{k}" for k in rng.permutation(n)) for i, n in enumerate([100, 130, 184, 184, 240, 300])]
+    texts.append(" ".join([texts[0], texts[1], texts[0]]))  # shingles that occur twice count once
+    items = [(i, "Why? " + t) for i, t in enumerate(texts)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for share in (0.5, 0.7, 0.74, 0.76, 0.7718, 0.8, 0.9, 1.0):
+            docs.append((len(docs), " ".join(["pad"] * 30 + w[:int(share * len(w))] + ["pad"] * 9)))
+            docs.append((len(docs), " ".join(w[len(w) - int(share * len(w)):])))
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == brute.leaks(docs, items)
+
+
 def test_answer_is_the_last_sentence():
     assert D.answer_start("What is it? It is red. Nine") == 6
     assert D.answer_start("one two three four five six seven eight") == 6
