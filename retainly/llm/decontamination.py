@@ -14,8 +14,10 @@ passage. Each passage is a query, in three steps, each on what the last one left
 No bound is ever below a true score, so every (passage, segment) at or above the threshold
 is retrieved. Retrieval only picks the item: all its distinct 5-word shingles are then looked
 up in the whole text, those of its question (all sentences but the last) and answer (the last
-sentence; of a single sentence, its last quarter) apart. A document leaks an item when at
-least ``percent`` of the item's shingles occur.
+sentence; of a single sentence, its last quarter) apart; shingles across the border count for
+the item alone. A document leaks an item when at least ``percent`` of the item's shingles
+occur, or the whole question: all its shingles, if it has ``QUESTION`` of them. A question
+shorter than a segment is a segment of its own beside the item's, so it is retrieved alone.
 
 The index goes to the executors in parts of at most ``INDEX_WORDS`` words, one pass over
 the documents each, so no broadcast grows with the benchmark.
@@ -45,6 +47,7 @@ SHINGLE = 5
 BLOCK = 8
 THRESHOLD = 0.4
 PERCENT = 75
+QUESTION = 8  # shingles of a question that is a leak without its answer
 INDEX_WORDS = 2_000_000
 K1, B = 1.2, 0.75
 SELECTIVE_SHARE = 0.05  # terms in more of the segments are left to the per-block rest
@@ -65,7 +68,7 @@ class Index:
     item_ids: list             # id of each item, which may be null
     shingle: np.ndarray        # sorted distinct shingle hashes of items, flat
     shingle_at: np.ndarray
-    is_answer: np.ndarray      # per shingle: it starts in the answer
+    part: np.ndarray           # per shingle: 0 in the question, 1 in the answer, 2 across the border
     terms: np.ndarray          # sorted term hashes
     known: np.ndarray          # 2**16 flags over the terms' low bits
     post_at: np.ndarray        # postings of a term
@@ -97,7 +100,7 @@ def build_index(items: list[tuple[int, str]], segment: int = SEGMENT) -> Index:
     h = word_hashes(b)
     n = b.counts
     first = np.cumsum(n) - n
-    seg_item, seg_words, sh, sh_answer = [], [], [], []
+    seg_item, seg_words, sh, sh_part = [], [], [], []
     step = segment - SHINGLE + 1
     row_of, s = shingles(b, SHINGLE)
     order = np.argsort(row_of, kind="stable")
@@ -111,7 +114,10 @@ def build_index(items: list[tuple[int, str]], segment: int = SEGMENT) -> Index:
             seg_words.append(np.unique(h[first[i] + at:min(first[i] + at + segment, first[i] + n[i])], return_counts=True))
         values, place = np.unique(s[s_first[i]:s_first[i] + total], return_index=True)
         sh.append(values)
-        sh_answer.append(place >= border)
+        sh_part.append(np.where(place >= border, 1, np.where(place + SHINGLE <= border, 0, 2)))
+        if QUESTION + SHINGLE - 1 <= border < segment:
+            seg_item.append(i)
+            seg_words.append(np.unique(h[first[i]:first[i] + border], return_counts=True))
     n_seg = len(seg_item)
     size = np.array([c.sum() for _, c in seg_words], float)
     term_of = np.concatenate([w for w, _ in seg_words])
@@ -139,7 +145,7 @@ def build_index(items: list[tuple[int, str]], segment: int = SEGMENT) -> Index:
     known = np.zeros(1 << 16, bool)
     known[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
     return Index(np.array(seg_item), [i for i, _ in items], np.concatenate(sh),
-                 np.concatenate([[0], np.cumsum([len(x) for x in sh])]), np.concatenate(sh_answer), terms, known, post_at,
+                 np.concatenate([[0], np.cumsum([len(x) for x in sh])]), np.concatenate(sh_part), terms, known, post_at,
                  seg_of, impact, np.maximum.reduceat(impact, post_at[:-1]), selective,
                  np.searchsorted(key // n_blocks, np.arange(len(terms) + 1)), key % n_blocks, tops, rest)
 
@@ -224,8 +230,8 @@ def leaks(b: Block, x: Index, threshold: float, percent: int) -> list[tuple]:
     s_row, s = shingles(b, SHINGLE)
     order = np.argsort(s_row, kind="stable")
     s_row, s = s_row[order], s[order]
-    total = np.zeros((len(x.item_ids), 2), np.int64)
-    np.add.at(total, (np.repeat(np.arange(len(x.item_ids)), np.diff(x.shingle_at)), x.is_answer.astype(int)), 1)
+    total = np.zeros((len(x.item_ids), 3), np.int64)
+    np.add.at(total, (np.repeat(np.arange(len(x.item_ids)), np.diff(x.shingle_at)), x.part), 1)
     out = []
     for r in np.unique(row):
         mine = s[np.searchsorted(s_row, r):np.searchsorted(s_row, r, "right")]
@@ -234,8 +240,8 @@ def leaks(b: Block, x: Index, threshold: float, percent: int) -> list[tuple]:
             found[int(x.item[g])] = max(found.get(int(x.item[g]), 0.0), float(v))
         for i, v in found.items():
             part = slice(x.shingle_at[i], x.shingle_at[i + 1])
-            hits = np.bincount(x.is_answer[part][np.isin(x.shingle[part], mine)].astype(int), minlength=2)
-            if 100 * hits.sum() >= percent * total[i].sum():
+            hits = np.bincount(x.part[part][np.isin(x.shingle[part], mine)], minlength=3)
+            if 100 * hits.sum() >= percent * total[i].sum() or QUESTION <= total[i][0] == hits[0]:
                 q, a = (float(hits[k] / total[i][k]) if total[i][k] else 0.0 for k in (0, 1))
                 out.append((int(r), x.item_ids[i], v, float(hits.sum() / total[i].sum()), q, a))
     return out

@@ -170,6 +170,20 @@ def test_leaks_of_long_items_copied_in_part(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == brute.leaks(docs, items)
 
 
+def test_question_without_its_answer_is_a_leak(spark):
+    one = " ".join(f"q{k}" for k in range(37))  # a single sentence: the question has 28 words
+    two = " ".join(f"r{k}" for k in range(20)) + "? " + " ".join(f"s{k}" for k in range(60))
+    many = " ".join(f"t{k}" for k in range(90)) + ". " + " ".join(f"u{k}" for k in range(80))
+    few = "is it so? " + " ".join(f"v{k}" for k in range(30))
+    items = list(enumerate([one, two, many, few]))
+    pad = ["pad"] * 50
+    docs = [(10 * i + k, " ".join(pad + t.split()[c:D.answer_start(t) - d] + pad)) for i, t in items for k, c, d in ((0, 0, 0), (1, 1, 0), (2, 0, 1))]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r.doc_id, r.item_id): r for r in got.collect()}
+    assert set(rows) == {(0, 0), (10, 1), (20, 2)}  # the whole question, if it is not too short
+    assert all(r.question_overlap == 1 and r.answer_overlap == 0 and r.overlap < 0.75 for r in rows.values())
+
+
 def test_answer_is_the_last_sentence():
     assert D.answer_start("What is it? It is red. Nine") == 6
     assert D.answer_start("one two three four five six seven eight") == 6
