@@ -87,6 +87,15 @@ def splice(head_at, head_id, head_ok, tail_at, tail_id) -> int | None:
     return None
 
 
+def _same(left: DataFrame, right: DataFrame, *cols: str, how: str = "inner") -> DataFrame:
+    """Join on ``cols`` and doc_id, where two missing ids are equal; the left side's key columns stay."""
+    named = right.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", *cols)})
+    on = left["doc_id"].eqNullSafe(named["_doc_id"])
+    for c in cols:
+        on = on & (left[c] == named[f"_{c}"])
+    return left.join(named, on, how).drop(*(f"_{c}" for c in ("doc_id", *cols)))
+
+
 def _encode_huge(docs: DataFrame, path: str, chunk_chars: int, overlap: int) -> DataFrame:
     """Rows of (doc_id, key, n_bytes, copies, n_tokens or null where a splice failed)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +134,10 @@ def _encode_huge(docs: DataFrame, path: str, chunk_chars: int, overlap: int) ->
             yield columns(schema, doc_id=[r["doc_id"] for r in rows], key=[r["key"] for r in rows],
                           shared=[splice(r["head_at"], r["head_id"], r["head_ok"], r["tail_at"], r["tail_id"]) for r in rows])
 
-    edges = (left.join(right, ["doc_id", "key", "chunk"]).mapInArrow(join_edges, "doc_id bigint, key string, shared bigint")
+    edges = (_same(left, right, "key", "chunk").mapInArrow(join_edges, "doc_id bigint, key string, shared bigint")
              .groupBy("doc_id", "key").agg(F.sum("shared").alias("shared"), F.count_if(F.col("shared").isNull()).alias("failed")))
     whole = chunks.groupBy("doc_id", "key", "n_bytes", "copies").agg(F.sum("n_tokens").alias("n"))
-    return whole.join(edges, ["doc_id", "key"], "left").select(
+    return _same(whole, edges, "key", how="left").select(
         "doc_id", "key", "n_bytes", "copies",
         F.when(F.coalesce("failed", F.lit(0)) == 0, F.col("n") - F.coalesce("shared", F.lit(0))).alias("n_tokens"))
 
@@ -161,7 +170,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         if failed.isEmpty():
             break
         wider *= WIDEN
-        todo = huge.join(failed, ["doc_id", "key"], "left_semi")
+        todo = _same(huge, failed, "key", how="left_semi")
     out = small
     for d in done:
         out = out.unionByName(d.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("_c"))

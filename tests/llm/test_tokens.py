@@ -149,6 +149,18 @@ def test_counts_of_odd_rows(spark):
     assert odd.ordered(got) == odd.ordered((r[0], len((r[1] or "").encode()), k, k > 2048) for r, k in zip(data, n))
 
 
+def test_counts_of_long_texts_without_an_id(spark):
+    long = " ".join(f"word{i * 7919 % 1000}" for i in range(12_000))
+    data = [(None, long, "en", "src0"), (1, long, "en", "src0"), (None, odd.LONG, "en", None), (None, odd.ONE_WORD * 2, None, None),
+            (None, long, "en", "src1"), (2, odd.LONG, "en", None), (3, odd.ONE_WORD * 2, "en", None)]
+    got = token_counts.token_counts(odd.frame(spark, data), odd.path())
+    rows = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got.collect())
+    of = {n_bytes: n for d, n_bytes, n in rows if d}
+    whole = token_counts.token_counts(odd.frame(spark, data), odd.path(), huge_bytes=1 << 30)
+    assert rows == sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in whole.collect())
+    assert len(rows) == len(data) and all(n == of[n_bytes] for _, n_bytes, n in rows)
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 5, 17, 1000, 4096, 5000):
         f = token_shards.Feistel(n, key=n)
