@@ -16,7 +16,7 @@ is retrieved. Retrieval only picks the item: all its distinct 5-word shingles ar
 up in the whole text, those of its question (all sentences but the last) and answer (the last
 sentence; of a single sentence, its last quarter) apart; shingles across the border count for
 the item alone. A document leaks an item when at least ``percent`` of the item's shingles
-occur, or the whole question: all its shingles, if it has ``QUESTION`` of them. A question
+occur, or of its question's, if that has ``QUESTION`` of them at least. A question
 shorter than a segment is a segment of its own beside the item's, so it is retrieved alone.
 
 The index goes to the executors in parts of at most ``INDEX_WORDS`` words, one pass over
@@ -241,7 +241,7 @@ def leaks(b: Block, x: Index, threshold: float, percent: int) -> list[tuple]:
         for i, v in found.items():
             part = slice(x.shingle_at[i], x.shingle_at[i + 1])
             hits = np.bincount(x.part[part][np.isin(x.shingle[part], mine)], minlength=3)
-            if 100 * hits.sum() >= percent * total[i].sum() or QUESTION <= total[i][0] == hits[0]:
+            if 100 * hits.sum() >= percent * total[i].sum() or (total[i][0] >= QUESTION and 100 * hits[0] >= percent * total[i][0]):
                 q, a = (float(hits[k] / total[i][k]) if total[i][k] else 0.0 for k in (0, 1))
                 out.append((int(r), x.item_ids[i], v, float(hits.sum() / total[i].sum()), q, a))
     return out

@@ -177,11 +177,11 @@ def test_question_without_its_answer_is_a_leak(spark):
     few = "is it so? " + " ".join(f"v{k}" for k in range(30))
     items = list(enumerate([one, two, many, few]))
     pad = ["pad"] * 50
-    docs = [(10 * i + k, " ".join(pad + t.split()[c:D.answer_start(t) - d] + pad)) for i, t in items for k, c, d in ((0, 0, 0), (1, 1, 0), (2, 0, 1))]
+    docs = [(10 * i + k, " ".join(pad + t.split()[int(c * D.answer_start(t)):D.answer_start(t)] + pad)) for i, t in items for k, c in ((0, 0), (1, 0.1), (2, 0.5))]
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     rows = {(r.doc_id, r.item_id): r for r in got.collect()}
-    assert set(rows) == {(0, 0), (10, 1), (20, 2)}  # the whole question, if it is not too short
-    assert all(r.question_overlap == 1 and r.answer_overlap == 0 and r.overlap < 0.75 for r in rows.values())
+    assert set(rows) == {(0, 0), (1, 0), (10, 1), (11, 1), (20, 2), (21, 2)}  # most of a question that is not too short
+    assert all(r.question_overlap >= 0.75 and r.answer_overlap == 0 and r.overlap < 0.75 for r in rows.values())
 
 
 def test_answer_is_the_last_sentence():
