@@ -189,3 +189,44 @@ def _ward(features: list[str], r, cut: float) -> list[list[str]]:
         del d2[i, j]
         groups[i] += groups.pop(j)
     return [sorted(groups[i], key=features.index) for i in sorted(groups)]
+
+
+def check_feature_count(selected: DataFrame, min_features: int = 5) -> DataFrame:
+    a = selected.agg(F.count(F.lit(1)).alias("n"))
+    return check_row(a, "feature_count", "selected_features", F.col("n"), f">= {min_features}", F.col("n") >= min_features)
+
+
+def check_target_leakage(selected: DataFrame, forbidden: list[str], feature_col: str = "feature") -> DataFrame:
+    a = selected.agg(F.count_if(F.col(feature_col).isin(*forbidden)).alias("n"))
+    return check_row(a, "target_leakage", ",".join(forbidden), F.col("n"), "0", F.col("n") == 0)
+
+
+def check_feature_variance(df: DataFrame, features: list[str], threshold: float = 0.001) -> DataFrame:
+    wide = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(features)])
+    return check_rows(wide, [("feature_variance", c, F.round(F.col(f"v{i}"), 6), f">= {threshold}", F.col(f"v{i}") >= threshold)
+                             for i, c in enumerate(features)])
+
+
+def vif(df: DataFrame, features: list[str], threshold: float = 5.0, centered: bool = False) -> DataFrame:
+    """Variance inflation factors from the second-moment matrix (one aggregation of k(k+1)/2 sums).
+
+    Uncentred (no intercept) by default, as the reference's OLS; ``centered``
+    uses covariances. VIF_j = A_jj * inv(A)_jj, from the matrix scaled to a unit diagonal;
+    the k x k inverse is on the driver.
+    """
+    num = [F.col(c).cast("double") for c in features]
+    d = df.na.drop(subset=features)
+    k = len(features)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    row = d.agg(*[(F.covar_pop(num[i], num[j]) if centered else F.avg(num[i] * num[j])).alias(f"m{i}_{j}") for i, j in upper]).first()
+    a = np.zeros((k, k))
+    for i, j in upper:
+        a[i, j] = a[j, i] = row[f"m{i}_{j}"] or 0.0
+    scale = np.sqrt(np.diag(a))
+    scale[scale == 0] = 1.0
+    try:
+        vals = np.diag(np.linalg.inv(a / np.outer(scale, scale))).tolist()
+    except np.linalg.LinAlgError:
+        vals = [math.inf] * k
+    rows = [(f, round(v, 6), "HIGH" if v > threshold else "OK") for f, v in zip(features, vals)]
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double, status string")

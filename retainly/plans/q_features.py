@@ -196,26 +196,37 @@ def q_check_feature_variance(spark, sf):
     return FT.check_feature_variance(V.processed(spark, sf), FEATS, 0.001)
 
 
-VIF3 = ["n_orders", "recency_days", "c_acctbal"]
+VIF_FEATS = [f for f in FEATS if f != "c_mktsegment"]
 
 
 def _vif_sql():
-    f = VIF3
-    m = {(i, j): f"avg(CAST({f[i]} AS DOUBLE) * {f[j]})" for i in range(3) for j in range(i, 3)}
-    sel = ", ".join(f"{m[(i, j)]} AS a{i}{j}" for i in range(3) for j in range(i, 3))
-    rows = []
-    cof = {0: "(a11 * a22 - a12 * a12)", 1: "(a00 * a22 - a02 * a02)", 2: "(a00 * a11 - a01 * a01)"}
-    det = "(a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02))"
-    for j in range(3):
-        v = f"a{j}{j} * {cof[j]} / {det}"
-        rows.append(f"SELECT '{f[j]}' AS feature, round({v}, 6) AS vif, CASE WHEN {v} > 5.0 THEN 'HIGH' ELSE 'OK' END AS status FROM m")
-    return with_views(" UNION ALL ".join(rows), "PROCESSED",
-                      extra=f"m AS (SELECT {sel} FROM processed WHERE {' AND '.join(c + ' IS NOT NULL' for c in f)})")
+    """Sweeps of the scaled second-moment matrix, one CTE per feature; the last one holds the negative inverse."""
+    k = len(VIF_FEATS)
+    num = [f"CAST({c} AS DOUBLE)" for c in VIF_FEATS]
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def m(i, j):
+        return f"m{min(i, j)}_{max(i, j)}"
+
+    steps = ["raw AS (SELECT " + ", ".join(f"avg({num[i]} * {num[j]}) AS {m(i, j)}" for i, j in upper)
+             + f" FROM processed WHERE {' AND '.join(c + ' IS NOT NULL' for c in VIF_FEATS)})",
+             "s0 AS (SELECT " + ", ".join(f"{m(i, j)} / sqrt({m(i, i)} * {m(j, j)}) AS {m(i, j)}" for i, j in upper) + " FROM raw)"]
+    for p in range(k):
+        def swept(i, j):
+            if i == p and j == p:
+                return f"-1 / {m(p, p)}"
+            if p in (i, j):
+                return f"{m(i, j)} / {m(p, p)}"
+            return f"{m(i, j)} - {m(i, p)} * {m(p, j)} / {m(p, p)}"
+        steps.append(f"s{p + 1} AS (SELECT " + ", ".join(f"{swept(i, j)} AS {m(i, j)}" for i, j in upper) + f" FROM s{p})")
+    rows = [f"SELECT '{f}' AS feature, round(-{m(j, j)}, 6) AS vif, CASE WHEN -{m(j, j)} > 5.0 THEN 'HIGH' ELSE 'OK' END AS status FROM s{k}"
+            for j, f in enumerate(VIF_FEATS)]
+    return with_views(" UNION ALL ".join(rows), "PROCESSED", extra=", ".join(steps))
 
 
 @register("vif", _vif_sql())
 def q_vif(spark, sf):
-    return FT.vif(V.processed(spark, sf), VIF3, 5.0)
+    return FT.vif(V.processed(spark, sf), VIF_FEATS, 5.0)
 
 
 # ---- 2.E splits on churn_base ----
@@ -284,7 +295,7 @@ def q_check_split_ratio(spark, sf):
     return S.check_split_ratio(strat(spark, sf), 20.0, 2.0)
 
 
-LEAK = ["n_orders", "n_urgent", "c_nationkey"]
+LEAK = FEATS
 
 
 @register("check_leakage", with_views(f"""
