@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
-from . import decontamination, jaccard_join, lm_scores, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
+from . import (decontamination, embedding_dedup, fill_in_middle, jaccard_join, lm_scores, packing, quality_classifier, quality_rules,
+               secret_scan, substring_dedup, token_counts, token_shards, whitening)
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -57,7 +58,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(load_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_digests(load_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_token_shards, op4_lm_scores,
                                 op5_substring_dedup, op6_quality_classifier, op7_token_counts,
-                                op8_benchmark_decontamination, op9_quality_rules, op10_secret_scan)}
+                                op8_benchmark_decontamination, op9_quality_rules, op10_secret_scan, op11_embedding_dedup,
+                                op12_fill_in_middle, op13_whitening)}
 ORACLES = {"op4_lm_scores": lm_scores.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
