@@ -8,6 +8,8 @@ no Python object is made per word. Hashes are 64 bit.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +30,9 @@ _A, _B, _K = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9
 _C = np.array([((k + 1) * 0x9E3779B97F4A7C15 * 0xD6E8FEB86659FD93 | 1) & (2**64 - 1) for k in range(64)], np.uint64)
 
 
+_TRIM = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None) if ctypes.util.find_library("c") else None
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _A
     h = (h ^ (h >> np.uint64(27))) * _B
@@ -75,7 +80,14 @@ def blocks(col: pa.Array, lower: bool = False, max_bytes: int = BLOCK_BYTES) ->
         j = min(n, max(j, i + 1))
         yield make_block(data, off, i, j, lower)
         i = j
-    pa.default_memory_pool().release_unused()  # a worker outlives its tasks: give freed batches back
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def make_block(data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool) -> Block:

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, unite
 from ._store import ship, stored
 from ._text import columns
 from ._vectors import dense, dimension, narrow, packed, unpacked
@@ -148,21 +148,6 @@ def fit_index(u: np.ndarray, size: int, cosine: float = COSINE, probes: int = PR
     return Index(units(np.where((sums != 0).any(axis=1, keepdims=True), sums, taken)), rotation, cosine, probes=probes)
 
 
-def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``parent`` (each node's root) after the edges a - b: rounds of hooking the larger root under the smaller."""
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-    return parent
-
-
 def decide(index: Index, q: np.ndarray, o: np.ndarray, centre: np.ndarray, bits: np.ndarray, r: np.ndarray, a: np.ndarray):
     """Which of the pairs (question, home entry) link: matrix of bool, and how many pairs were recomputed."""
     y, rq = index.residuals(q, centre)

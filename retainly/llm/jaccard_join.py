@@ -18,11 +18,16 @@ when 100 * |intersection| >= ``percent`` * |union|.
    hold many rows are salted and the salts' leaders are led once more.
    Rows carry the token's place in the order: a pair is only made where the place leaves
    enough tokens behind it in both sets, as it does at the first token two linked sets share.
-4. Pairs first meet with their rare prefixes (4 bytes a token): what these share and what
-   they leave unseen bounds the intersection from above. Pairs that the bound leaves are
+4. These pairs first meet with their rare prefixes (4 bytes a token): what these share and
+   what they leave unseen bounds the intersection from above. Pairs that the bound leaves are
    verified on whole texts, and linked nodes become components.
-5. A signature whose members are still in different components gives the pairs across
-   components, which are verified the same way. What is already connected is never paired.
+5. Signatures whose members are still in different components are compared inside tasks, in
+   cells of bounded size, by bitmaps of the whole sets: every bit that one set has and the other
+   lacks is a token they do not share. A task returns a spanning forest of the pairs that this
+   bound leaves, never the pairs. The forests' components are clusters: all pairs still to be
+   decided lie inside one.
+6. Every cluster is compared exactly, in cells of bounded text where members of one component
+   stay together and are not compared with one another. Tasks return spanning forests of links.
 
 Sketch counters only choose the order; every link found by comparing all pairs is found.
 
@@ -42,9 +47,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, unite
 from ._store import id_filter, may_hold, ship, stored, thinned
-from ._text import _C, _K, Block, blocks, columns, mix, string_parts, window_hashes, windows, word_hashes
+from ._text import _C, _K, Block, blocks, columns, give_back, mix, string_parts, window_hashes, windows, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -52,8 +57,14 @@ BUCKETS = 1 << 18
 SALT_ROWS = 200_000
 PER_CLASS = 3
 PAIR_BYTES = 2 << 20
+MAP_WORDS = 1024  # of 64 bits, in a bitmap of a set
+MAP_PAIRS = 1 << 18  # words of bitmaps that are compared at a time
+CHUNK_PAIRS = 1 << 18
+CELL_ROWS = 2048  # of one signature in a block
+CLUSTER_ROWS, CLUSTER_BYTES = 512, 4 << 20  # of one cluster in a block
 MIN_BAND = 32  # smaller sets index frequent tokens alone
 
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PASS_ONE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                        ("bucket", pa.int32()), ("seen", pa.int64())])
 _SIG = pa.schema([("sig", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
@@ -283,8 +294,10 @@ def may_link(n, place, m, place_m, percent: int):
 
 
 def rare_prefixes(docs: DataFrame, shared, held, words: int) -> DataFrame:
-    """Of the ids that the filter ``held`` may hold: (node, n, tops, all_rare): the upper 4 bytes of the rare tokens of each prefix, in order; one row per id and set."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tops", pa.binary()), ("all_rare", pa.bool_())])
+    """Of the ids that the filter ``held`` may hold: (node, n, tops, all_rare, bits, bytes): the upper 4 bytes of the rare
+    tokens of each prefix, in order, a bitmap of the whole set, and the text's size; one row per id and set."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tops", pa.binary()), ("all_rare", pa.bool_()), ("bits", pa.binary()),
+                        ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order: Order = shared.value
@@ -302,9 +315,10 @@ def rare_prefixes(docs: DataFrame, shared, held, words: int) -> DataFrame:
                 cut = np.searchsorted(r, np.arange(b.rows + 1))
                 raw = tops.tobytes()
                 yield columns(schema, node=x.column(0).slice(b.first, b.rows), n=n.astype(np.int32),
-                              tops=[raw[4 * i:4 * j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], all_rare=n_rare <= need)
+                              tops=[raw[4 * i:4 * j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], all_rare=n_rare <= need,
+                              bits=bitmaps(rows, h, n), bytes=np.diff(b.offsets))
 
-    return docs.mapInArrow(run, "node bigint, n int, tops binary, all_rare boolean").dropDuplicates()
+    return docs.mapInArrow(run, "node bigint, n int, tops binary, all_rare boolean, bits binary, bytes bigint").dropDuplicates()
 
 
 def bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -365,6 +379,185 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Data
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def bitmaps(rows: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of each set's hashed tokens: 64 bits times a power of two, at least 4 a token up to ``MAP_WORDS`` words."""
+    w = np.minimum(2 ** np.ceil(np.log2(np.maximum(1, n / 16))).astype(np.int64), MAP_WORDS)
+    off = np.cumsum(w) - w
+    flags = np.zeros(64 * int(w.sum()), bool)
+    flags[64 * off[rows] + ((h >> np.uint64(13)) % (64 * w[rows]).astype(np.uint64)).astype(np.int64)] = True
+    raw = np.packbits(flags, bitorder="little").tobytes()
+    return [raw[8 * i:8 * (i + k)] for i, k in zip(off.tolist(), w.tolist())]
+
+
+def folded(flat: np.ndarray, off: np.ndarray, words: np.ndarray, w: int) -> np.ndarray:
+    """The bitmaps at ``off``, of ``words`` words, folded to ``w`` words each."""
+    out = np.empty((len(off), w), np.uint64)
+    for size in np.unique(words):
+        at = words == size
+        m = flat[off[at][:, None] + np.arange(size)]
+        out[at] = np.bitwise_or.reduce(m.reshape(len(m), size // w, w), axis=1)
+    return out
+
+
+def may_share(flat, off, words, n, a, b, percent: int) -> np.ndarray:
+    """Whether the bitmaps of the sets a and b leave a link possible."""
+    keep = np.zeros(len(a), bool)
+    least = np.minimum(words[a], words[b])
+    for w in np.unique(least):
+        at = np.flatnonzero(least == w)
+        for i in range(0, len(at), max(1, MAP_PAIRS // int(w))):
+            t = at[i:i + max(1, MAP_PAIRS // int(w))]
+            x, y = (folded(flat, off[k[t]], words[k[t]], int(w)) for k in (a, b))
+            shared = np.minimum(n[a[t]] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
+                                n[b[t]] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep[t] = (100 + percent) * shared >= percent * (n[a[t]] + n[b[t]])
+    return keep
+
+
+def cells_of(cells: DataFrame, keys: list[str], forest, schema: str = "a bigint, b bigint") -> DataFrame:
+    """``forest`` (record batch of whole cells, first rows of the cells -> record batches) over all cells of ``keys``.
+
+    Cells have a bounded size, so a task holds one Arrow batch and one cell.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for x in batches:
+            if not x.num_rows:
+                continue
+            x = x if held is None else pa.Table.from_batches([held, x]).combine_chunks().to_batches()[0]
+            new = starts_of(x)
+            held = x.slice(new[-1])
+            if new[-1]:
+                yield from forest(x.slice(0, new[-1]), new[:-1])
+        if held is not None:
+            yield from forest(held, starts_of(held))
+        give_back()
+
+    def starts_of(x: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(x.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            v = x.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def pairs_of(starts: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same cell, in chunks."""
+    end = np.repeat(np.append(starts[1:], rows), np.diff(np.append(starts, rows)))
+    count = end - np.arange(rows) - 1
+    total = np.cumsum(count)
+    i = 0
+    while i < rows:
+        done = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + CHUNK_PAIRS, "right")))
+        a = np.repeat(np.arange(i, j), count[i:j])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - count[i:j] - done, count[i:j])
+        i = j
+
+
+def _forest(node: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    up = np.flatnonzero(parent != np.arange(len(parent)))
+    return columns(_LINK, a=node[up], b=node[parent[up]])
+
+
+def undecided(each: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the pairs across components that share a signature and that the bitmaps leave possible.
+
+    ``each``: (sig, m, node, n, place, component), m the signature's number of rows; ``maps``: (node, n, bits), a row per set.
+    """
+    def forest(x: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, comp, place, blk, bi, bj = (x.column(c).to_numpy() for c in ("node", "component", "place", "blk", "bi", "bj"))
+        n = x.column("n").to_numpy().astype(np.int64)
+        bits = x.column("bits").cast(pa.large_binary())
+        off = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset:bits.offset + len(bits) + 1]
+        flat = np.frombuffer(bits.buffers()[2], "u1")[off[0]:off[-1]].view("<u8")
+        words, off = np.diff(off) // 8, (off[:-1] - off[0]) // 8
+        left, cross = n - place, bi != bj
+        parent = np.arange(len(node))
+        for a, b in pairs_of(starts, len(node)):
+            ok = (comp[a] != comp[b]) & ~(cross[a] & (blk[a] == blk[b]))
+            a, b = a[ok], b[ok]
+            ok = (100 + percent) * np.minimum(left[a], left[b]) >= percent * (n[a] + n[b])
+            ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            ok = parent[a] != parent[b]  # the forest needs no pair twice
+            a, b = a[ok], b[ok]
+            ok = may_share(flat, off, words, n, a, b, percent)
+            parent = unite(parent, a[ok], b[ok])
+        yield _forest(node, parent)
+
+    blocks_ = F.ceil(F.col("m") / CELL_ROWS).cast("int")
+    own = each.withColumn("nb", blocks_).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = (own.join(maps, ["node", "n"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+             .select("sig", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "place",
+                     "component", "bits"))
+    return cells_of(dealt, ["sig", "bi", "bj"], forest)
+
+
+def exact_links(clusters: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Spanning forests (a, b) of the links between different components of one cluster.
+
+    ``clusters``: (node, cluster, component, bytes); ``texts``: (node, text). A component with many members or much
+    text has cells of its own, and these do not meet one another; the others of a cluster are pooled.
+    """
+    def share(rows, size):
+        return F.greatest(F.ceil(rows / CLUSTER_ROWS), F.ceil(size / CLUSTER_BYTES), F.lit(1)).cast("int")
+
+    parts = clusters.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("size"))
+    parts = stored(parts.withColumn("own", F.when((F.col("rows") * 2 >= CLUSTER_ROWS) | (F.col("size") * 2 >= CLUSTER_BYTES),
+                                                  share(F.col("rows"), F.col("size")))), "parts")
+    pools = stored(parts.filter("own IS NULL").groupBy("cluster").agg(share(F.sum("rows"), F.sum("size")).alias("pool")), "pools")
+    none = F.lit(-1).cast("bigint")
+    blocks_ = stored(pools.select("cluster", none.alias("of"), F.explode(F.sequence(F.lit(0), F.col("pool") - 1)).alias("k")).unionByName(
+        parts.filter("own IS NOT NULL").select("cluster", F.col("component").alias("of"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("k"))),
+        "blocks")
+    x, y = (blocks_.select("cluster", F.col("of").alias(f"of_{s}"), F.col("k").alias(f"k_{s}")) for s in "xy")
+    meets = stored(x.join(y, "cluster").filter((F.col("of_x") != F.col("of_y")) | (F.col("of_x") == -1)), "meets")  # blocks, not rows
+    placed = (clusters.join(parts.select("cluster", "component", "own"), ["cluster", "component"]).join(pools, "cluster", "left")
+              .select("node", "cluster", "component", F.when(F.col("own").isNull(), none).otherwise(F.col("component")).alias("of"),
+                      F.when(F.col("own").isNull(), F.pmod(F.xxhash64("component"), F.col("pool")))
+                      .otherwise(F.pmod(F.xxhash64("node"), F.col("own"))).cast("int").alias("k")))
+    mine, other = F.struct("of_x", "k_x"), F.struct(F.col("of_y").alias("of_x"), F.col("k_y").alias("k_x"))
+    low, high = F.least(mine, other), F.greatest(mine, other)
+    dealt = (texts.join(stored(placed, "placed"), "node")
+             .join(meets.withColumnsRenamed({"of_x": "of", "k_x": "k"}), ["cluster", "of", "k"])
+             .withColumnsRenamed({"of": "of_x", "k": "k_x"})
+             .select("cluster", low["of_x"].alias("c1"), low["k_x"].alias("k1"), high["of_x"].alias("c2"), high["k_x"].alias("k2"),
+                     (mine == low).alias("first"), "node", "component", "text"))
+
+    def forest(x: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, comp, first = (x.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "first"))
+        same = (x.column("c1").to_numpy() == x.column("c2").to_numpy()) & (x.column("k1").to_numpy() == x.column("k2").to_numpy())
+        ends = np.append(starts[1:], len(node))
+        parent = np.arange(len(node))
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            sets = [(*distinct_sets(*shingles(b, words)), b.first) for b in blocks(x.column("text").slice(lo, hi - lo), lower=True)]
+            rows = np.concatenate([r + f for r, _, f in sets])
+            tokens = np.unique(np.concatenate([h for _, h, _ in sets]), return_inverse=True)[1]
+            n = np.bincount(rows, minlength=hi - lo)
+            at = np.append(0, np.cumsum(n))
+            flag = np.zeros(len(tokens) + 1, np.int64)
+            for i in range(hi - lo - 1):
+                apart = comp[lo + i + 1:hi] != comp[lo + i]
+                if not same[lo]:
+                    apart &= first[lo + i + 1:hi] != first[lo + i]
+                to = i + 1 + np.flatnonzero(apart & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:])))
+                if not len(to):
+                    continue
+                flag[tokens[at[i]:at[i + 1]]] = 1
+                seen = np.append(0, np.cumsum(flag[tokens[at[i + 1]:]]))
+                common = seen[at[to + 1] - at[i + 1]] - seen[at[to] - at[i + 1]]
+                flag[tokens[at[i]:at[i + 1]]] = 0
+                hit = lo + to[(100 + percent) * common >= percent * (n[i] + n[to])]
+                parent = unite(parent, np.full(len(hit), lo + i), hit)
+        yield _forest(node, parent)
+
+    return cells_of(dealt, ["cluster", "c1", "k1", "c2", "k2"], forest)
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id",
                        text_col: str = "text", n_buckets: int = BUCKETS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
@@ -378,7 +571,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     order = spark.sparkContext.broadcast(Order(seen, percent))
 
     sets = first.filter("bucket IS NULL").select("doc_id", "n", "h1", "h2")
-    classes = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
+    # written first: a join with a stored table can split the rows of a text with many copies
+    classes = stored(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = stored(sets.join(classes, ["n", "h1", "h2"], "left")
                    .select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "nodes")
     copies = nodes.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -414,19 +608,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     found = stored(components(links), "components")
 
     # members of one signature that are still in different components
-    placed = (nodes.groupBy("doc_id").agg(F.min("node").alias("node"))
-              .join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")))
+    placed = stored(nodes.groupBy("doc_id").agg(F.min("node").alias("node"))
+                    .join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), "placed")
     each = (groups.select("sig", F.col("doc").alias("doc_id"), "n", "place")
             .union(groups.select("sig", "lead", "lead_n", "lead_place")).distinct())
-    each = each.join(placed, "doc_id").select("sig", "node", "n", "place", "component").distinct()
-    mixed = (each.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo < hi").select("sig"))
-    each = stored(each.join(mixed, "sig", "left_semi"), "across")
-    x, y = (each.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "place", "component"))) for k in "xy")
-    across = (x.join(y, "sig").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-                                      & may_link(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y"), percent))
-              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(close, ["a", "b"], "left_anti"))
-    more = linked(across)
+    each = stored(each.join(placed, "doc_id").select("sig", "node", "n", "place", "component").distinct(), "each")
+    mixed = stored(each.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+                   .filter("lo < hi").select("sig", "m"), "mixed")
+    forests = stored(undecided(each.join(mixed, "sig"), prefixes.select("node", "n", "bits"), percent), "forests")
+    clusters = stored(components(forests).select("node", F.col("component").alias("cluster")), "clusters")
+    clusters = stored(clusters.join(placed.select("node", "component").distinct(), "node").join(prefixes.groupBy("node").agg(F.sum("bytes").alias("bytes")), "node"), "clusters")
+    texts = thinned(narrow, "doc_id", id_filter(clusters.select("node"), n_rows))
+    texts = texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates()
+    more = stored(exact_links(clusters, texts, percent, words), "links")
     final = stored(components(links.union(more).union(copies)), "components")
     return (nodes.join(final, nodes["doc_id"] == final["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
