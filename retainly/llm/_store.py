@@ -47,7 +47,17 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     freezes row order and task numbering for every reader."""
     path = folder(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once all that reads them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_filter(ids: DataFrame, rows: int, max_bits: int = 1 << 27):

@@ -22,10 +22,11 @@ when 100 * |intersection| >= ``percent`` * |union|.
    what they leave unseen bounds the intersection from above. Pairs that the bound leaves are
    verified on whole texts, and linked nodes become components.
 5. Signatures whose members are still in different components are compared inside tasks, in
-   cells of bounded size, by bitmaps of the whole sets: every bit that one set has and the other
-   lacks is a token they do not share. A task returns a spanning forest of the pairs that this
-   bound leaves, never the pairs. The forests' components are clusters: all pairs still to be
-   decided lie inside one.
+   cells of bounded size: first by size and place, which leaves few rows and many equal groups of
+   them, then the distinct groups by bitmaps of the whole sets: every bit that one set has and the
+   other lacks is a token they do not share. A task returns a spanning forest of the pairs that
+   this bound leaves, never the pairs. The forests' components are clusters: all pairs still to
+   be decided lie inside one.
 6. Every cluster is compared exactly, in cells of bounded text where members of one component
    stay together and are not compared with one another. Tasks return spanning forests of links.
 
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components, unite
-from ._store import id_filter, may_hold, ship, stored, thinned
+from ._store import discard, id_filter, may_hold, ship, stored, thinned
 from ._text import _C, _K, Block, blocks, columns, give_back, mix, string_parts, window_hashes, windows, word_hashes
 
 WORDS = 5
@@ -65,6 +66,7 @@ CLUSTER_ROWS, CLUSTER_BYTES = 512, 4 << 20  # of one cluster in a block
 MIN_BAND = 32  # smaller sets index frequent tokens alone
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DOUBT = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("component", pa.int64())])
 _PASS_ONE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                        ("bucket", pa.int32()), ("seen", pa.int64())])
 _SIG = pa.schema([("sig", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
@@ -380,8 +382,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Data
 
 
 def bitmaps(rows: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """A bitmap of each set's hashed tokens: 64 bits times a power of two, at least 4 a token up to ``MAP_WORDS`` words."""
-    w = np.minimum(2 ** np.ceil(np.log2(np.maximum(1, n / 16))).astype(np.int64), MAP_WORDS)
+    """A bitmap of each set's hashed tokens: 64 bits times a power of two, at least one a token up to ``MAP_WORDS`` words."""
+    w = np.minimum(2 ** np.ceil(np.log2(np.maximum(1, n / 64))).astype(np.int64), MAP_WORDS)
     off = np.cumsum(w) - w
     flags = np.zeros(64 * int(w.sum()), bool)
     flags[64 * off[rows] + ((h >> np.uint64(13)) % (64 * w[rows]).astype(np.uint64)).astype(np.int64)] = True
@@ -463,38 +465,62 @@ def _forest(node: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
     return columns(_LINK, a=node[up], b=node[parent[up]])
 
 
-def undecided(each: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the pairs across components that share a signature and that the bitmaps leave possible.
+def in_doubt(each: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2, node, n, component): the rows that some row of another component in their signature may link to, by size
+    and place, as sets of rows. Signatures with the same rows left, as those of one passage are, give one set.
 
-    ``each``: (sig, m, node, n, place, component), m the signature's number of rows; ``maps``: (node, n, bits), a row per set.
+    ``each``: (sig, m, node, n, place, component), m the signature's number of rows.
     """
-    def forest(x: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sets(x: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, comp, place, blk, bi, bj = (x.column(c).to_numpy() for c in ("node", "component", "place", "blk", "bi", "bj"))
         n = x.column("n").to_numpy().astype(np.int64)
-        bits = x.column("bits").cast(pa.large_binary())
-        off = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset:bits.offset + len(bits) + 1]
-        flat = np.frombuffer(bits.buffers()[2], "u1")[off[0]:off[-1]].view("<u8")
-        words, off = np.diff(off) // 8, (off[:-1] - off[0]) // 8
         left, cross = n - place, bi != bj
-        parent = np.arange(len(node))
+        keep = np.zeros(len(node), bool)
         for a, b in pairs_of(starts, len(node)):
             ok = (comp[a] != comp[b]) & ~(cross[a] & (blk[a] == blk[b]))
             a, b = a[ok], b[ok]
             ok = (100 + percent) * np.minimum(left[a], left[b]) >= percent * (n[a] + n[b])
             ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[ok], b[ok]
-            ok = parent[a] != parent[b]  # the forest needs no pair twice
+            keep[a[ok]] = True
+            keep[b[ok]] = True
+        cell = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
+        at = np.flatnonzero(keep)
+        h = mix(node[at].view(np.uint64) * _K + n[at].astype(np.uint64))
+        names = []
+        for v in (mix(h + _C[3]), mix(h ^ _C[5])):
+            total = np.zeros(len(starts), np.uint64)
+            np.add.at(total, cell[at], v)
+            names.append(total[cell[at]].view(np.int64))
+        yield columns(_DOUBT, s1=names[0], s2=names[1], node=node[at], n=n[at].astype(np.int32), component=comp[at])
+
+    own = each.withColumn("nb", F.ceil(F.col("m") / CELL_ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+             .select("sig", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "place", "component"))
+    return cells_of(dealt, ["sig", "bi", "bj"], sets, "s1 bigint, s2 bigint, node bigint, n int, component bigint").distinct()
+
+
+def undecided(doubt: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the pairs across components of one set that the bitmaps leave possible.
+
+    ``doubt``: as from ``in_doubt``; ``maps``: (node, n, bits), a row per set of tokens.
+    """
+    def forest(x: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, comp = (x.column(c).to_numpy() for c in ("node", "component"))
+        n = x.column("n").to_numpy().astype(np.int64)
+        bits = x.column("bits").cast(pa.large_binary())
+        off = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset:bits.offset + len(bits) + 1]
+        flat = np.frombuffer(bits.buffers()[2], "u1")[off[0]:off[-1]].view("<u8")
+        words, off = np.diff(off) // 8, (off[:-1] - off[0]) // 8
+        parent = np.arange(len(node))
+        for a, b in pairs_of(starts, len(node)):
+            ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            ok &= parent[a] != parent[b]  # the forest needs no pair twice
             a, b = a[ok], b[ok]
             ok = may_share(flat, off, words, n, a, b, percent)
             parent = unite(parent, a[ok], b[ok])
         yield _forest(node, parent)
 
-    blocks_ = F.ceil(F.col("m") / CELL_ROWS).cast("int")
-    own = each.withColumn("nb", blocks_).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = (own.join(maps, ["node", "n"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .select("sig", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "place",
-                     "component", "bits"))
-    return cells_of(dealt, ["sig", "bi", "bj"], forest)
+    return cells_of(doubt.join(maps, ["node", "n"]), ["s1", "s2"], forest)
 
 
 def exact_links(clusters: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -575,6 +601,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     classes = stored(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = stored(sets.join(classes, ["n", "h1", "h2"], "left")
                    .select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "nodes")
+    discard(first, classes)
     copies = nodes.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     rows = _signature_rows(narrow.filter("doc_id IS NOT NULL"), order, words)
@@ -613,9 +640,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     each = (groups.select("sig", F.col("doc").alias("doc_id"), "n", "place")
             .union(groups.select("sig", "lead", "lead_n", "lead_place")).distinct())
     each = stored(each.join(placed, "doc_id").select("sig", "node", "n", "place", "component").distinct(), "each")
+    discard(members)
     mixed = stored(each.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .filter("lo < hi").select("sig", "m"), "mixed")
-    forests = stored(undecided(each.join(mixed, "sig"), prefixes.select("node", "n", "bits"), percent), "forests")
+    doubt = stored(in_doubt(each.join(mixed, "sig"), percent), "doubt")
+    discard(each, mixed)
+    forests = stored(undecided(doubt, prefixes.select("node", "n", "bits"), percent), "forests")
     clusters = stored(components(forests).select("node", F.col("component").alias("cluster")), "clusters")
     clusters = stored(clusters.join(placed.select("node", "component").distinct(), "node").join(prefixes.groupBy("node").agg(F.sum("bytes").alias("bytes")), "node"), "clusters")
     texts = thinned(narrow, "doc_id", id_filter(clusters.select("node"), n_rows))
