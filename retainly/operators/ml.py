@@ -216,11 +216,12 @@ def vote(preds: dict[str, DataFrame], key: str, method: str = "soft") -> DataFra
 
 
 def ensemble_vote(train: DataFrame, test: DataFrame, models: list[str], n_features: int, key: str, method: str = "soft",
-                  params: dict | None = None) -> DataFrame:
-    params = params or {}
+                  params: dict | None = None, fitted: dict | None = None) -> DataFrame:
+    """Test metrics of each model and of their vote; ``fitted`` holds models that need no fit."""
+    params, fitted = params or {}, fitted or {}
     preds, rows = {}, []
     for m in models:
-        model = make_model(m, n_features, **params.get(m, {})).fit(train)
+        model = fitted[m] if m in fitted else make_model(m, n_features, **params.get(m, {})).fit(train)
         preds[m] = positive_score(model.transform(test))
         rows.append(eval_predictions(preds[m]).withColumn("model", F.lit(m)))
     ens = eval_predictions(vote(preds, key, method)).withColumn("model", F.lit(f"ensemble_{method}"))

@@ -16,6 +16,7 @@ from ..functions.checks import check_rows
 from ..operators import explain as X
 from ..operators import ml as M
 from ..operators import split as SP
+from ..operators import tree_shapley as TS
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from ..sources import views as V
 from .q_features import FEATS
@@ -173,6 +174,9 @@ def q_score_parity(spark, sf):
 def _train(name):
     def q(spark, sf):
         train, test = ml_data(spark, sf)
+        if name == "gbt":  # the saved model has the same rows, parameters and seed
+            model, _ = saved_model(spark, sf)
+            return M.eval_predictions(M.positive_score(model.transform(test.drop("features")))).withColumn("model", F.lit(name))
         _, ev = M.train_eval(train, test, name, len(FEATS), **TRAIN_PARAMS.get(name, {}))
         return ev
     return q
@@ -192,7 +196,8 @@ def q_cross_validate(spark, sf):
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf):
     train, test = ml_data(spark, sf)
-    return M.ensemble_vote(train, test, ["rf", "gbt", "lr"], len(FEATS), KEY, "soft", TRAIN_PARAMS)
+    model, _ = saved_model(spark, sf)
+    return M.ensemble_vote(train, test, ["rf", "gbt", "lr"], len(FEATS), KEY, "soft", TRAIN_PARAMS, {"gbt": model.stages[1]})
 
 
 @register("score_batch")
@@ -261,3 +266,20 @@ def q_shapley_model(spark, sf):
     rows = prepared(spark, sf).select(KEY, *[F.col(c).cast("double").alias(c) for c in FEATS])
     phi = X.sampling_shapley(rows, KEY, FEATS, lambda d: M.positive_score(model.transform(d)).drop("features"), n_perm=8)
     return phi.select(KEY, "feature", F.round("phi", 6).alias("phi"))
+
+
+def tree_phi(spark, sf):
+    """Exact Shapley values of the saved boosted trees for every customer, from the saved node tables."""
+    model, path = saved_model(spark, sf)
+    leaves = TS.saved_ensemble(spark, f"{path}/stages/1_{model.stages[1].uid}")
+    return TS.tree_shapley(prepared(spark, sf).select(KEY, *FEATS), KEY, FEATS, leaves)
+
+
+@register("shapley_tree")
+def q_shapley_tree(spark, sf):
+    return tree_phi(spark, sf).select(KEY, "feature", F.round("phi", 9).alias("phi"), F.round("base_value", 9).alias("base_value"))
+
+
+@register("shapley_tree_global")
+def q_shapley_tree_global(spark, sf):
+    return tree_phi(spark, sf).groupBy("feature").agg(F.round(F.avg(F.abs("phi")), 9).alias("mean_abs_phi"), F.count(F.lit(1)).alias("n_rows"))
