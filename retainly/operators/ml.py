@@ -23,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import closed_form
 from .evaluate import auc_exact, confusion_counts, metric_columns
 
 
@@ -44,6 +45,8 @@ def make_model(name: str, n_features: int, seed: int = 42, **kw):
         return NaiveBayes(modelType="gaussian")
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 8, 2], seed=seed, maxIter=kw.get("max_iter", 100))
+    if name in closed_form.KINDS:
+        return closed_form.ClosedForm(name, n_features)
     raise ValueError(name)
 
 
@@ -54,7 +57,9 @@ def assemble(df: DataFrame, features: list[str], label: str, keep: list[str]) ->
 
 
 def positive_score(pred: DataFrame) -> DataFrame:
-    """p = P(class 1) from probability, or a sigmoid of the margin for margin-only models (LinearSVC)."""
+    """p = P(class 1) from probability, or a sigmoid of the margin for margin-only models (LinearSVC); a score given stays."""
+    if "score" in pred.columns:
+        return pred
     if "probability" in pred.columns:
         return pred.withColumn("score", vector_to_array("probability")[1])
     return pred.withColumn("score", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))

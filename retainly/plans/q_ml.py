@@ -26,7 +26,7 @@ from .registry import register
 KEY, LABEL = "c_custkey", "churn"
 #: Model comparison takes the defaults of ``make_model``; the named training steps take the reference's own counts.
 TRAIN_PARAMS = {"lr": {"max_iter": 1000}, "rf": {"n_trees": 200}, "gbt": {"n_iter": 200}}
-LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "dummy"]
+LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "lda", "qda", "ridge", "dummy"]
 TOP_MODELS = 5
 TUNING_DRAWS = 50
 TRAIN_ROWS_PER_TASK = 50_000
@@ -120,7 +120,7 @@ def q_check_automl_input(spark, sf):
 
 @register("tune_random")
 def q_tune_random(spark, sf):
-    """Random search over the grid of the best model of the board that has one."""
+    """Random search over the grid of the best model of the board that has one (nb, mlp and the closed forms have none)."""
     train, _ = ml_data(spark, sf)
     best = next(m for m in _top_models(spark, sf, len(LEADERBOARD_MODELS)) if m in M.GRIDS)
     return M.tune_random(train, best, len(FEATS), TUNING_DRAWS, "fold", parallelism=8, n_folds=5)
