@@ -111,11 +111,14 @@ def root_cause(runs: DataFrame, base_prev: DataFrame, base_cur: DataFrame, key_f
 
     ``runs``: run_log (run_id, model_type, auc, f1, recall, n_rows, positive_rate).
     ``base_prev``/``base_cur``: the feature tables behind the two runs.
-    Output rows: (item, detail, value, confidence).
+    Output rows: (item, detail, value, confidence). Fewer than two runs give one row that says so.
     """
     last2 = runs.orderBy(F.col("run_id").desc()).limit(2)
     cur = last2.agg(F.max_by(F.struct(*runs.columns), F.col("run_id")).alias("c"),
                     F.min_by(F.struct(*runs.columns), F.col("run_id")).alias("p"), F.count(F.lit(1)).alias("n"))
+    few = cur.filter("n < 2").select(F.lit("status").alias("item"), F.lit("not enough runs").alias("detail"),
+                                     F.col("n").cast("double").alias("value"), F.lit("UNKNOWN").alias("confidence"))
+    cur = cur.filter("n = 2")
     metric_rows = cur.select(F.inline(F.array(*[
         F.struct(F.lit("metric_delta").alias("item"), F.lit(m).alias("detail"),
                  F.round(F.col(f"c.{m}") - F.col(f"p.{m}"), 6).alias("value"),
@@ -139,4 +142,4 @@ def root_cause(runs: DataFrame, base_prev: DataFrame, base_cur: DataFrame, key_f
     unknown = cur.select(F.lit("hypothesis").alias("item"), F.lit("Unknown / Multiple Factors").alias("detail"),
                          F.lit(None).cast("double").alias("value"), F.lit("LOW").alias("confidence"))
     unknown = unknown.filter(hyp.agg(F.count(F.lit(1))).scalar() == 0)
-    return metric_rows.unionByName(hyp).unionByName(unknown)
+    return metric_rows.unionByName(hyp).unionByName(unknown).unionByName(few)

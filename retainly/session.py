@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors (HDFS/S3/...)")
     local = tempfile.mkdtemp(prefix="retainly-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))  # local mode only
     sc.setCheckpointDir(local)

@@ -195,3 +195,16 @@ def test_row_local_explanations_need_no_shuffle(spark):
         assert r.rank == 1 and r.feature == ("a" if abs(pa) >= abs(pb) else "b")
     assert {r.status for r in X.check_attributions(arrays, "k", 2).collect()} == {"PASSED"}
     assert "FAILED" in {r.status for r in X.check_attributions(arrays, "k", 3).collect()}
+
+
+def test_root_cause_needs_two_runs(spark):
+    from retainly.operators.drift import root_cause
+    runs = spark.createDataFrame([(1, "rf", 0.8, 0.5, 0.5, 500, 0.3), (2, "gbt", 0.7, 0.5, 0.6, 50, 0.3)],
+                                 "run_id long, model_type string, auc double, f1 double, recall double, n_rows long, positive_rate double")
+    base = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    for n in (0, 1):
+        got = [tuple(r) for r in root_cause(runs.filter(f"run_id <= {n}"), base, base, ["x"]).collect()]
+        assert got == [("status", "not enough runs", float(n), "UNKNOWN")]
+    got = {(r.item, r.detail): r.confidence for r in root_cause(runs, base, base, ["x"]).collect()}
+    assert got[("metric_delta", "auc")] == "DEGRADED" and got[("metric_delta", "recall")] == "OK"
+    assert got[("hypothesis", "Model Algorithm Change")] == "MEDIUM" and ("status", "not enough runs") not in got
