@@ -1,90 +1,29 @@
 """Minority oversampling: SMOTE and ADASYN on an exact k-nearest-neighbour join.
 
-Exact kNN without emitting all pairs:
-
-1. identical feature vectors are collapsed to (vector, label, multiplicity), so a value repeated by a
-   third of the rows is one row with a count;
-2. the distinct vectors are ordered along a seeded random projection (global numbering, range
-   partitioned); each query takes the 2W nearest vectors in that order as first candidates and gets
-   r = distance to its k-th candidate neighbour (multiplicities counted) - an upper bound on the true
-   k-th neighbour distance;
-3. exact phase: every true neighbour lies within r, hence within r along the projection. Queries are
-   replicated to the projection buckets their band [proj - r, proj + r] touches and equi-joined with the
-   reference buckets; pairs outside the band or farther than r are dropped and the k nearest kept.
-
-No candidate cap: step 3 is exact for every query. Cost follows the data density inside each band.
+Neighbours come from ``operators/neighbours.py``: equal vectors are one row with a multiplicity, cells with lower
+bounds replace all pairs. Neighbour lists are written before rows meet them, so that a vector a third of the rows
+share is split by the skew join: one side is then a plain scan, not an aggregate.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int32, uniform
 from ..functions.ranking import global_row_number
+from ..session import reliable_checkpoint
 from .clean import scaler_stats
+from .neighbours import exact_knn
 
 
 def _vec(features):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _dist(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def _proj(v, w):
-    return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def exact_knn(refs: DataFrame, queries: DataFrame, features: list[str], k: int, label: str | None = None,
-              window: int | None = None, seed: int = 42) -> DataFrame:
-    """k nearest reference vectors of every distinct query vector (self excluded once).
-
-    ``queries`` must be a subset of ``refs`` (as in SMOTE/ADASYN). Returns
-    (qv, nv, nlabel, dist, take) where ``take`` copies of ``nv`` count toward the k neighbours.
-    """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=len(features))
-    w = w / np.linalg.norm(w)
-    lab = F.col(label) if label else F.lit(0)
-    d = (refs.groupBy(_vec(features).alias("v"), lab.alias("y")).agg(F.count(F.lit(1)).alias("m"))
-         .withColumn("proj", _proj(F.col("v"), w)))
-    d = global_row_number(d, ["proj", "v", "y"], out="rn")
-    q = queries.select(_vec(features).alias("qv"), lab.alias("qy")).distinct()
-    qpos = q.join(d.select(F.col("v").alias("qv"), F.col("y").alias("qy"), F.col("rn").alias("qrn"),
-                           F.col("proj").alias("qproj")), ["qv", "qy"])
-    win = window or 2 * k
-    offs = F.explode(F.sequence(F.lit(-win), F.lit(win))).alias("off")
-    cand = (qpos.select("*", offs).withColumn("rn", F.col("qrn") + F.col("off"))
-            .join(d.select("rn", "v", "y", "m"), "rn"))
-
-    def eff(m):  # own (vector, label) copy is the query itself
-        return F.when((F.col("v") == F.col("qv")) & (F.col("y") == F.col("qy")), m - 1).otherwise(m)
-
-    cand = cand.withColumn("em", eff(F.col("m"))).filter(F.col("em") > 0).withColumn("dist", _dist(F.col("qv"), F.col("v")))
-    wq = Window.partitionBy("qv", "qy").orderBy("dist", "v", "y").rowsBetween(Window.unboundedPreceding, 0)
-    radius = (cand.withColumn("cum", F.sum("em").over(wq))
-              .groupBy("qv", "qy", "qproj").agg(F.min(F.when(F.col("cum") >= k, F.col("dist"))).alias("r")))
-    radius = radius.filter(F.col("r").isNotNull())  # fewer than k references in total: no neighbours
-    width = radius.agg(F.greatest(F.avg("r"), F.lit(1e-9))).first()[0]
-    qb = radius.select("*", F.explode(F.sequence(F.floor((F.col("qproj") - F.col("r")) / width).cast("long"),
-                                                 F.floor((F.col("qproj") + F.col("r")) / width).cast("long"))).alias("b"))
-    rb = d.select("v", "y", "m", "proj", F.floor(F.col("proj") / width).cast("long").alias("b"))
-    pairs = (qb.join(rb, "b").filter(F.abs(F.col("proj") - F.col("qproj")) <= F.col("r"))
-             .withColumn("em", eff(F.col("m"))).filter(F.col("em") > 0)
-             .withColumn("dist", _dist(F.col("qv"), F.col("v"))).filter(F.col("dist") <= F.col("r")))
-    wq2 = Window.partitionBy("qv", "qy").orderBy("dist", "v", "y")
-    ranked = pairs.withColumn("before", F.coalesce(F.sum("em").over(wq2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (ranked.filter(F.col("before") < k)
-            .select("qv", "qy", F.col("v").alias("nv"), F.col("y").alias("ny"), "dist", "before",
-                    F.least(F.col("em"), F.lit(k) - F.col("before")).alias("take")))
-
-
 def _neighbour_lists(nn: DataFrame) -> DataFrame:
     """Per query vector: array of (before, take, nv) sorted by distance (at most k entries)."""
-    return nn.groupBy("qv", "qy").agg(F.array_sort(F.collect_list(F.struct("before", "take", "nv"))).alias("nbrs"))
+    return reliable_checkpoint(nn.groupBy("qv", "qy").agg(F.array_sort(F.collect_list(F.struct("before", "take", "nv"))).alias("nbrs")))
 
 
 def _quota_per_row(minority: DataFrame, key: str, need, seed: int):
@@ -150,7 +89,8 @@ def adasyn(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
     y = F.when(F.col(label) == minority, 1).otherwise(0)
     all_rows = df.withColumn("_y", y)
     nn_all = exact_knn(all_rows, all_rows.filter(F.col("_y") == 1), features, k, label="_y", seed=seed)
-    ratio = (nn_all.groupBy("qv").agg((F.sum(F.when(F.col("ny") == 0, F.col("take")).otherwise(0)) / k).alias("ratio")))
+    ratio = reliable_checkpoint(
+        nn_all.groupBy("qv").agg((F.sum(F.when(F.col("ny") == 0, F.col("take")).otherwise(0)) / k).alias("ratio")))
     total = mino.select(_vec(features).alias("qv")).join(ratio, "qv").agg(F.sum("ratio")).scalar()
     rows = (mino.select(key, _vec(features).alias("qv")).join(ratio, "qv")
             .withColumn("_q", F.rint(F.coalesce(F.try_divide(F.col("ratio"), total), F.lit(0.0)) * need).cast("int"))

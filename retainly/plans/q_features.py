@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators import features as FT
 from ..operators import split as S
+from ..operators.knn_information import knn_mutual_information
 from ..sources import views as V
 from ..sources.tables import load_table
 from .oracle_views import with_views
@@ -144,6 +145,26 @@ def q_mutual_information(spark, sf):
     return FT.mutual_information(V.processed(spark, sf), FEATS, "churn")
 
 
+@register("mutual_information_knn", with_views("""
+SELECT feature, n, round(greatest(0, pn + avg_t), 6) AS mi FROM (
+  SELECT t.feature, any_value(t.n) AS n, any_value(pn.p) AS pn, avg(pk.p - py.p - pm.p) AS avg_t
+  FROM terms AS t JOIN psi AS pn ON pn.i = t.n JOIN psi AS pk ON pk.i = t.k_y JOIN psi AS py ON py.i = t.n_y JOIN psi AS pm ON pm.i = greatest(t.m, 1)
+  GROUP BY t.feature)""", "PROCESSED", extra="long_values AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, churn AS y FROM processed WHERE {c} IS NOT NULL AND churn IS NOT NULL" for c in FEATS)
+    + """), sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS n_y FROM long_values),
+numbered AS (SELECT *, row_number() OVER () AS i, count(*) OVER (PARTITION BY feature) AS n FROM sized WHERE n_y > 1),
+reach AS (SELECT a.feature, a.i, any_value(a.x) AS x, any_value(a.n) AS n, any_value(a.n_y) AS n_y, least(3, any_value(a.n_y) - 1) AS k_y,
+                 list_sort(list(abs(b.x - a.x)))[least(3, any_value(a.n_y) - 1) + 1] AS r
+          FROM numbered AS a JOIN numbered AS b ON b.feature = a.feature AND b.y = a.y GROUP BY a.feature, a.i),
+terms AS (SELECT a.feature, a.i, any_value(a.n) AS n, any_value(a.n_y) AS n_y, any_value(a.k_y) AS k_y,
+                 count(*) FILTER (WHERE CASE WHEN a.r = 0 THEN b.x = a.x ELSE b.x > a.x - a.r AND b.x < a.x + a.r END) AS m
+          FROM reach AS a JOIN numbered AS b ON b.feature = a.feature GROUP BY a.feature, a.i),
+psi AS (SELECT i, -0.57721566490153286 + sum(CASE WHEN i > 1 THEN 1.0 / (i - 1) ELSE 0.0 END) OVER (ORDER BY i) AS p
+        FROM (SELECT unnest(range(1, (SELECT max(n) FROM numbered) + 1)) AS i))"""))
+def q_mutual_information_knn(spark, sf):
+    return knn_mutual_information(V.processed(spark, sf), FEATS, "churn", 3).withColumn("mi", F.round("mi", 6))
+
+
 @register("woe_iv", with_views("""
 SELECT feature, n_bins, round(iv, 6) AS iv,
        CASE WHEN iv < 0.02 THEN 'Useless' WHEN iv < 0.1 THEN 'Weak' WHEN iv < 0.3 THEN 'Medium' ELSE 'Strong' END AS strength

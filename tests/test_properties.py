@@ -89,7 +89,7 @@ def test_split_stable_under_repartition(spark):
 
 
 def test_exact_knn_matches_brute_force(spark):
-    from retainly.operators.resample import exact_knn
+    from retainly.operators.neighbours import exact_knn
     rng = np.random.default_rng(11)
     pts = rng.integers(0, 6, size=(120, 3)).astype(float)  # many duplicates and ties
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, a double, b double, c double")
