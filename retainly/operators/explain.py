@@ -4,9 +4,8 @@
 * Any model: permutation-sampling Shapley values. Rows x permutations x
   (k + 1) coalition states are exploded (bounded factor), scored by ONE
   model call, and marginal differences are averaged per (key, feature).
-* Local surrogate: hash-seeded perturbations per row, one model call, then
-  a weighted least-squares fit per key with ``applyInPandas`` (each group is
-  one row's perturbation set, bounded by ``n_samples``).
+* Local surrogate: hash-seeded perturbations per row, one model call, the
+  normal equations summed per key, the small systems solved in batches.
 * Counterfactuals: hash-seeded candidates per row, one model call, the first
   flipped candidate with the fewest changes per key by ``min_by``.
 """
@@ -16,7 +15,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,35 +92,44 @@ def sampling_shapley(df: DataFrame, key: str, features: list[str], predict, n_pe
 
 def local_surrogate(df: DataFrame, key: str, features: list[str], predict, n_samples: int = 64, scale: float = 0.5,
                     kernel_width: float | None = None, top_n: int = 8, seed: int = 7) -> DataFrame:
-    """LIME-style local weighted linear fit around every row.
+    """LIME-style local weighted linear fit around every row; ``key`` is unique.
 
-    Perturbations are x + scale * std_j * z with stable normal z; weights are
-    an exponential kernel on the standardised distance. The per-key solve
-    is a small numpy least squares inside ``applyInPandas``.
+    Perturbations are x + scale * std_j * z with stable normal z; weights are an exponential kernel on the
+    standardised distance. A row's samples lie in the task that reads it, so the weighted sums of products of its
+    normal equations are complete before the shuffle: one row per key leaves a task. The small systems are solved in
+    batches (least norm where singular). A row with a null feature or score gets no weights.
     """
     stds = df.agg(*[F.stddev_pop(c).alias(c) for c in features]).first().asDict()
     k = len(features)
     kw = kernel_width or 0.75 * np.sqrt(k)
-    fan = df.select(key, *[F.col(c).cast("double").alias(c) for c in features],
-                    F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
+    fan = df.dropna(subset=[key, *features]).select(key, *[F.col(c).cast("double").alias(c) for c in features],
+                                                    F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
     z = {c: F.when(F.col("s") == 0, F.lit(0.0)).otherwise(gaussian(seed, F.col(key), F.col("s"), F.lit(c))) for c in features}
-    pert = fan.select(key, "s", *[(F.col(c) + F.lit(scale * (stds[c] or 0.0)) * z[c]).alias(c) for c in features],
-                      *[z[c].alias(f"z_{c}") for c in features])
-    scored = predict(pert)
-    key_type = df.schema[key].dataType.simpleString()
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        zs = pdf[[f"z_{c}" for c in features]].to_numpy(dtype=float) * scale
-        d = np.sqrt((zs ** 2).sum(axis=1))
-        w = np.exp(-(d ** 2) / (kw ** 2))
-        x = np.column_stack([np.ones(len(pdf)), zs])
-        sw = np.sqrt(w)[:, None]
-        coef, *_ = np.linalg.lstsq(x * sw, pdf["score"].to_numpy(dtype=float) * sw[:, 0], rcond=None)
-        out = pd.DataFrame({key: pdf[key].iloc[0], "feature": features, "weight": coef[1:]})
-        out["rank"] = out["weight"].abs().rank(ascending=False, method="first").astype("int32")
-        return out[out["rank"] <= top_n]
-
-    return scored.groupBy(key).applyInPandas(fit, schema=f"{key} {key_type}, feature string, weight double, rank int")
+    drawn = fan.withColumns({f"z_{c}": F.lit(scale) * z[c] for c in features})
+    scored = predict(drawn.withColumns({c: F.col(c) + F.lit(stds[c] or 0.0) * F.col(f"z_{c}") for c in features}))
+    x = [F.lit(1.0), *[F.col(f"z_{c}") for c in features]]
+    w = F.exp(-sum((v * v for v in x[2:]), x[1] * x[1]) / F.lit(float(kw) ** 2))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = (scored.filter("score IS NOT NULL AND NOT isnan(score)").withColumn("_w", w).groupBy(key)
+            .agg(F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("a"),
+                 F.array(*[F.sum(F.col("_w") * v * F.col("score")) for v in x]).alias("b")))
+
+    def solve(batches):
+        for batch in batches:
+            upper = np.asarray(batch.column("a").flatten()).reshape(-1, len(pairs))
+            a = np.empty((len(upper), k + 1, k + 1))
+            for n, (i, j) in enumerate(pairs):
+                a[:, i, j] = a[:, j, i] = upper[:, n]
+            b = np.asarray(batch.column("b").flatten()).reshape(-1, k + 1, 1)
+            coef = (np.linalg.pinv(a, hermitian=True) @ b)[:, 1:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.ListArray.from_arrays(np.arange(0, coef.size + 1, k, dtype=np.int32), coef.ravel())], [key, "weights"])
+
+    fitted = sums.mapInArrow(solve, f"`{key}` {df.schema[key].dataType.simpleString()}, weights array<double>")
+    named = F.array(*[F.struct((-F.abs(F.col("weights")[i])).alias("o"), F.lit(i).alias("i"), F.lit(c).alias("feature"),
+                               F.col("weights")[i].alias("weight")) for i, c in enumerate(features)])
+    return (fitted.select(key, F.posexplode(F.slice(F.array_sort(named), 1, top_n)).alias("pos", "e"))
+            .select(key, "e.feature", "e.weight", (F.col("pos") + 1).alias("rank")))
 
 
 def counterfactuals(df: DataFrame, key: str, features: list[str], predict, target: int = 0, n_iter: int = 100,

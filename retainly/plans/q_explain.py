@@ -134,9 +134,51 @@ def _plan_features(spark, sf):
                                     F.col("n_orders").cast("double"), "c_acctbal")
 
 
-@register("local_surrogate")
+def _all_features(spark, sf):
+    return V.scored(spark, sf).select("c_custkey", F.coalesce("recency_days", F.lit(S["recency_default"])).cast("double").alias("recency_days"),
+                                      F.col("n_orders").cast("double"), F.col("c_acctbal").cast("double"))
+
+
+def surrogate(spark, sf, top_n):
+    return X.local_surrogate(_all_features(spark, sf), "c_custkey", CF_FEATURES, _score_fn, n_samples=64, top_n=top_n)
+
+
+def _surrogate_cte():
+    """Samples, weighted moments about the weighted means, and Cramer's rule for the three slopes."""
+    def u(tag, f):
+        return (f"((('0x' || substr(md5(concat_ws(':', '7{tag}', CAST(c_custkey AS VARCHAR), CAST(s AS VARCHAR), '{f}')), 1, 8))::BIGINT"
+                f" + 0.5) / 4294967296.0)")
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    f = CF_FEATURES
+    zs = ", ".join(f"CASE WHEN s = 0 THEN 0.0 ELSE 0.5 * sqrt(-2.0 * ln({u('a', c)})) * cos({2 * 3.141592653589793!r} * {u('b', c)}) END AS z{i}"
+                   for i, c in enumerate(f))
+    values = ", ".join(f"{c} + sd_{c} * z{i} AS p_{c}" for i, c in enumerate(f))
+    mom = ", ".join([f"sum(w * z{i} * z{j}) - sum(w * z{i}) * sum(w * z{j}) / sum(w) AS c{i}{j}" for i in range(3) for j in range(3)]
+                    + [f"sum(w * z{i} * score) - sum(w * z{i}) * sum(w * score) / sum(w) AS b{i}" for i in range(3)])
+    m = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    slope = {i: f"{det([[f'b{r}' if c == i else m[r][c] for c in range(3)] for r in range(3)])} / {det(m)}" for i in range(3)}
+    longs = " UNION ALL ".join(f"SELECT c_custkey, {i} AS i, '{c}' AS feature, {slope[i]} AS weight FROM mom" for i, c in enumerate(f))
+    return f"""
+sf AS (SELECT c_custkey, CAST(coalesce(recency_days, 400) AS DOUBLE) AS recency_days, CAST(n_orders AS DOUBLE) AS n_orders,
+              CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM scored),
+sst AS (SELECT {", ".join(f"stddev_pop({c}) AS sd_{c}" for c in f)} FROM sf),
+sfan AS (SELECT *, {zs} FROM sf, (SELECT range AS s FROM range(0, 64))),
+spert AS (SELECT c_custkey, z0, z1, z2, {values} FROM sfan, sst),
+smp AS (SELECT *, exp(-(z0 * z0 + z1 * z1 + z2 * z2) / {(0.75 * 3 ** 0.5) ** 2!r}) AS w,
+               round(1.0 / (1.0 + exp(-(-1.6 + 0.004 * (p_recency_days - 200) - 0.12 * (p_n_orders - 9) - 0.0001 * p_c_acctbal))), 6) AS score
+        FROM spert),
+mom AS (SELECT c_custkey, {mom} FROM smp GROUP BY c_custkey),
+sur AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(weight) DESC, i) AS rank FROM ({longs}))"""
+
+
+@register("local_surrogate", with_views("SELECT c_custkey, feature, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM sur",
+                                        "SCORED", extra=_surrogate_cte()))
 def q_local_surrogate(spark, sf):
-    return X.local_surrogate(_plan_features(spark, sf), "c_custkey", CF_FEATURES, _score_fn, n_samples=64, top_n=8)
+    return surrogate(spark, sf, 8).withColumn("weight", F.round("weight", 6))
 
 
 def _cf_cte():
@@ -236,10 +278,11 @@ def q_logic_rules(spark, sf):
                          max_depth=4, min_support=50)
 
 
-@register("attribution_agreement")
+@register("attribution_agreement", with_views("""
+SELECT c_custkey, n AS overlap, CASE WHEN n >= 2 THEN 'AGREE' ELSE 'DISAGREE' END AS status FROM (
+  SELECT c_custkey, count(*) FILTER (WHERE p.r <= 2 AND q.rank <= 2) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(phi) DESC, feature) AS r FROM phi) AS p
+  JOIN sur AS q USING (c_custkey, feature) GROUP BY c_custkey)""", "SCORED", extra=PHI_SQL + "," + _surrogate_cte()))
 def q_attribution_agreement(spark, sf):
-    pf = _plan_features(spark, sf)
-    lin = X.linear_attributions(pf, "c_custkey", {c: (F.col(c), {"recency_days": S["recency_days"], "n_orders": S["n_orders"],
-                                                                   "c_acctbal": S["c_acctbal"]}[c]) for c in CF_FEATURES})
-    sur = X.local_surrogate(pf, "c_custkey", CF_FEATURES, _score_fn, n_samples=64, top_n=3)
-    return X.attribution_agreement(lin, sur, "c_custkey", 3, 2)
+    """The two strongest of three features by Shapley value and by local surrogate (all three would always agree)."""
+    return X.attribution_agreement(phi(spark, sf), surrogate(spark, sf, 2), "c_custkey", 2, 2)
