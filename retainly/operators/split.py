@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import check_row, check_rows
 from ..functions.hashing import seeded_md5
 from ..functions.ranking import global_row_number, rank_within_groups
+from .run_log import AppendLog
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42,
@@ -139,7 +140,8 @@ def dataset_manifest(datasets: dict[str, DataFrame]) -> DataFrame:
 
 def content_hash(cols: list[str]):
     """Order-insensitive content hash: sum of the first 32 bits of md5 per row, mod 2^63 by bigint wrap."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]))
+    value = {c: F.col(c).cast("string") for c in cols}  # length-prefixed, so different rows never give one key
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("N")) for v in value.values()]))
     return F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")
 
 
@@ -154,6 +156,17 @@ def dataset_fingerprint(df: DataFrame, cols: list[str], label: str | None = None
     return df.agg(*aggs).select(F.lit(version).alias("version"), F.lit(len(cols)).alias("n_columns"), "*")
 
 
+FINGERPRINT = "n_columns int, n_rows bigint, content_hash bigint, n_nulls bigint"
+
+
+def dataset_version(df: DataFrame, cols: list[str], path: str) -> int:
+    """The version number of the table's content in the log at ``path``: known content keeps its number, new content gets the next."""
+    f = dataset_fingerprint(df, cols).first()
+    row = (f["n_columns"], f["n_rows"], f["content_hash"], f["n_nulls"])
+    log = AppendLog(df.sparkSession, path, FINGERPRINT, "version")
+    return log.append(df.sparkSession.createDataFrame([row], FINGERPRINT), ":".join([*map(str, row), *cols]))
+
+
 def determinism(build, partition_counts=(3, 11)) -> DataFrame:
     """Re-run ``build(n)`` (a fingerprint DataFrame) under different shuffle partition counts and compare."""
     rows = []

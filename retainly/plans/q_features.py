@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import drift as D
 from ..operators import features as FT
 from ..operators import split as S
 from ..operators.knn_information import knn_mutual_information
+from ..operators.run_log import AppendLog
+from ..session import ensure_checkpoint_dir
 from ..sources import views as V
 from ..sources.tables import load_table
 from .oracle_views import with_views
@@ -374,16 +378,17 @@ def q_dataset_manifest(spark, sf):
 FP_COLS = ["c_custkey", "n_orders", "n_urgent", "c_nationkey", "churn"]
 
 
+FP_KEY = "concat_ws('|', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in FP_COLS) + ")"
 _FP_BODY = f"""
 SELECT count(*) AS n_rows,
-       CAST(sum(('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in FP_COLS)})), 1, 8))::BIGINT::HUGEINT)
+       CAST(sum(('0x' || substr(md5({FP_KEY}), 1, 8))::BIGINT::HUGEINT)
             % 9223372036854775808 AS BIGINT) AS content_hash
 FROM churn_base"""
 
 
 @register("dataset_fingerprint", with_views(f"""
 SELECT 'v1' AS version, {len(FP_COLS)} AS n_columns, count(*) AS n_rows,
-       CAST(sum(('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in FP_COLS)})), 1, 8))::BIGINT::HUGEINT)
+       CAST(sum(('0x' || substr(md5({FP_KEY}), 1, 8))::BIGINT::HUGEINT)
             % 9223372036854775808 AS BIGINT) AS content_hash,
        CAST({" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in FP_COLS)} AS BIGINT) AS n_nulls,
        round(avg(CAST(churn AS DOUBLE)), 6) AS positive_rate
@@ -392,6 +397,22 @@ def q_dataset_fingerprint(spark, sf):
     return S.dataset_fingerprint(V.churn_base(spark, sf), FP_COLS, "churn")
 
 
+def _versions_sql():
+    body = _FP_BODY.replace("SELECT count(*)", f"SELECT {len(FP_COLS)} AS n_columns, count(*)").replace(
+        "\nFROM churn_base", ", CAST(" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in FP_COLS) + " AS BIGINT) AS n_nulls\nFROM churn_base")
+    return with_views(f"SELECT 1 AS version, * FROM ({body}) UNION ALL SELECT 2, * FROM ({body} WHERE n_orders > 0)", "CHURN_BASE")
+
+
+@register("dataset_versions", _versions_sql())
+def q_dataset_versions(spark, sf):
+    """The table, its part with orders and the table again: two versions, read back from the log."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
+    full = V.churn_base(spark, sf)
+    for df in (full, full.filter("n_orders > 0"), full):
+        S.dataset_version(df, FP_COLS, path)
+    return AppendLog(spark, path, S.FINGERPRINT, "version").read().withColumn("version", F.col("version").cast("int"))
+
+
 def _determinism_sql():
     fp = _FP_BODY
     return with_views(f"""
