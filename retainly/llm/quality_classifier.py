@@ -11,7 +11,7 @@ Folds: crc32 of the id modulo 5. 0 is held out and never read for learning, 1 ca
 not inputs of a score.
 
 Defined results: null or empty text has all statistics 0 and gets the model's score for
-them; null labels are left out; without labels of both classes the score is the share of
+them; rows without an id are scored, match no label and are not held out; null labels are left out; without labels of both classes the score is the share of
 label 1 (0.5 without any label); repeated rows are returned as often as they occur; labels
 may repeat; only the named columns are read.
 """
@@ -219,4 +219,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col:
             yield columns(schema, doc_id=x.column(0), score=v)
 
     return rows.mapInArrow(score, "doc_id bigint, score double").select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

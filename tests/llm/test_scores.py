@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,6 +99,53 @@ def test_quality_of_odd_rows(spark):
     assert quality_classifier.quality_scores(odd.empty(spark), mixed).count() == 0
 
 
+def plain_statistics(text):
+    """``STATISTICS`` of one text, word by word and byte by byte."""
+    ws = [w.encode() for w in brute.words(text)]
+    n, data = len(ws), (text or "").encode()
+    if not n:
+        return [0.0] * len(quality_classifier.STATISTICS)
+    chars, lines = sum(map(len, ws)), data.count(b"\n") + 1
+    share = [sum(b in c for b in data) / chars for c in (b"#*$%&<>", b"|", b"!", bytes(range(65, 91)), b"0123456789", b".,;:?'\"()-",
+                                                       bytes(range(0xC0, 0x100)))]
+    seen = Counter(ws)
+    threes = Counter(zip(ws, ws[1:], ws[2:]))
+    inside = {i + j for i in range(n - 2) if threes[tuple(ws[i:i + 3])] > 1 for j in range(3)}
+    held = [line for line in (text or "").split("\n") if brute.words(line)]
+    return [math.log1p(n), math.log1p(lines), chars / n, math.log1p(n / lines), *share, len(seen) / n, max(seen.values()) / n, len(inside) / n,
+            (len(held) - len(set(held))) / lines, sum(len(w) <= 2 for w in ws) / n, sum(len(w) > 12 for w in ws) / n]
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    """Statistics, normal equations, calibration and scores again, in numpy over all rows at once."""
+    q = quality_classifier
+    data = odd.rows(n=150)
+    docs = odd.frame(spark, data)
+    marks = [(d, d % 2) for d, *_ in odd.rows(n=150)[:150]] + [(1003, 1), (1005, 0), (1001, 1), (1002, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = [(r.doc_id, r.held_out, r.score, r.predicted) for r in q.quality_scores(docs, labels, n_features=24).collect()]
+    x = {t: np.array(plain_statistics(t)) for _, t, *_ in data}
+    label = {d: y for d, y in marks if y is not None}
+    part = {d: zlib.crc32(str(d).encode()) % 5 for d, *_ in data if d is not None}
+    rows = [(x[t], label[d], part[d]) for d, t, *_ in data if d in label]
+    xs, ys = np.array([r[0] for r in rows if r[2] > 1]), np.array([r[1] for r in rows if r[2] > 1], float)
+    model = q.Model(xs.mean(0), xs.std(0), 24)
+    z = model.features(xs)
+    model.beta = np.linalg.solve(z.T @ z + q.RIDGE * len(xs) * np.diag([*np.ones(24), 0.0]) / 24 + 1e-9 * np.eye(25), z.T @ ys)
+    cx, cy = np.array([r[0] for r in rows if r[2] == 1]), np.array([r[1] for r in rows if r[2] == 1], float)
+    cell = np.clip((model.raw(cx) + 0.5) * q.GRID / 2, 0, q.GRID - 1).astype(int)
+    used = sorted(set(cell))
+    mean, weight = np.array([cy[cell == c].mean() for c in used]), np.array([(cell == c).sum() for c in used])
+    fitted = [max(min(np.average(mean[a:b + 1], weights=weight[a:b + 1]) for b in range(i, len(used))) for a in range(i + 1))
+              for i in range(len(used))]  # isotonic regression by its min-max formula
+    raw = {t: float(model.raw(v[None])[0]) for t, v in x.items()}
+    knots = (np.array(used) + 0.5) * 2 / q.GRID - 0.5
+    want = sorted((str(d), d is not None and part[d] == 0, 0.999 * np.interp(raw[t], knots, fitted) + 0.001 * np.clip(raw[t], 0, 1)) for d, t, *_ in data)
+    assert len(got) == len(want)
+    for g, w in zip(sorted((str(d), h, s, p) for d, h, s, p in got), want):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-6) and g[3] == int(g[2] >= 0.3)
+
+
 def test_isotonic():
     xs, ys = quality_classifier.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
     assert (np.diff(xs) > 0).all() and (np.diff(ys) >= 0).all()
