@@ -400,15 +400,16 @@ def q_dataset_fingerprint(spark, sf):
 def _versions_sql():
     body = _FP_BODY.replace("SELECT count(*)", f"SELECT {len(FP_COLS)} AS n_columns, count(*)").replace(
         "\nFROM churn_base", ", CAST(" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in FP_COLS) + " AS BIGINT) AS n_nulls\nFROM churn_base")
-    return with_views(f"SELECT 1 AS version, * FROM ({body}) UNION ALL SELECT 2, * FROM ({body} WHERE n_orders > 0)", "CHURN_BASE")
+    return with_views(f"SELECT 1 AS version, * FROM ({body}) UNION ALL SELECT 2, * FROM ({body.replace('FROM churn_base', 'FROM (SELECT * REPLACE (n_orders + 1 AS n_orders) FROM churn_base)')})",
+                      "CHURN_BASE")
 
 
 @register("dataset_versions", _versions_sql())
 def q_dataset_versions(spark, sf):
-    """The table, its part with orders and the table again: two versions, read back from the log."""
+    """The table, the table with one order more a customer, and the first again: two versions, read back from the log."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
     full = V.churn_base(spark, sf)
-    for df in (full, full.filter("n_orders > 0"), full):
+    for df in (full, full.withColumn("n_orders", F.col("n_orders") + 1), full):
         S.dataset_version(df, FP_COLS, path)
     return AppendLog(spark, path, S.FINGERPRINT, "version").read().withColumn("version", F.col("version").cast("int"))
 

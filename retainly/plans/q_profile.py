@@ -14,6 +14,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import views as V
 from ..sources.tables import TABLES, load_table
 from .oracle_views import with_views
+from .q_features import STRAT_SQL, strat
 from .registry import register
 
 CB_TYPES = [("c_custkey", "bigint"), ("n_orders", "bigint"), ("spend", "double"), ("recency_days", "bigint"),
@@ -336,23 +337,24 @@ PREP_NUM, PREP_INT = ["spend", "recency_days", "c_acctbal"], ["n_orders", "n_urg
 
 
 def _prepared_sql():
-    """Fitted on the even customers, applied to all."""
-    train = "(SELECT * FROM churn_base WHERE c_custkey % 2 = 0)"
+    """Fitted on the train split, applied to all customers."""
+    train = "(SELECT * FROM strat WHERE split = 'train')"
     stats = ", ".join(f"quantile_cont({c}::DOUBLE, 0.25) AS q1_{c}, quantile_cont({c}::DOUBLE, 0.5) AS md_{c}, quantile_cont({c}::DOUBLE, 0.75) AS q3_{c}"
                       for c in PREP_NUM)
     capped = ", ".join(f"round(greatest(q1_{c} - 1.5 * (q3_{c} - q1_{c}), least(q3_{c} + 1.5 * (q3_{c} - q1_{c}), coalesce({c}::DOUBLE, md_{c}))), 6) AS {c}"
                        for c in PREP_NUM)
     return with_views(f"""SELECT c_custkey, {capped}, coalesce(code, -1) AS c_mktsegment, {", ".join(f"CAST({c} AS TINYINT) AS {c}" for c in PREP_INT)}
-FROM churn_base CROSS JOIN fitted LEFT JOIN codes ON v = c_mktsegment""", "CHURN_BASE", extra=f"""fitted AS (SELECT {stats} FROM {train}),
+FROM churn_base CROSS JOIN fitted LEFT JOIN codes ON v = c_mktsegment""", "CHURN_BASE", extra=STRAT_SQL + f""",
+fitted AS (SELECT {stats} FROM {train}),
 codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
           FROM (SELECT DISTINCT c_mktsegment AS v FROM {train} WHERE c_mktsegment IS NOT NULL))""")
 
 
 @register("prepared_table", _prepared_sql())
 def q_prepared_table(spark, sf):
-    """The capped, coded and narrowed table, by a pipeline fitted on the even customers, saved and read again."""
-    base = V.churn_base(spark, sf).select("c_custkey", *PREP_NUM, "c_mktsegment", *PREP_INT)
+    """The capped, coded and narrowed table, by a pipeline fitted on the train split, saved and read again."""
+    cols = ["c_custkey", *PREP_NUM, "c_mktsegment", *PREP_INT]
     stage = TablePreparer(numeric=PREP_NUM, categories=["c_mktsegment"], integers=PREP_INT)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
-    Pipeline(stages=[stage]).fit(base.filter("c_custkey % 2 = 0")).write().save(path)
-    return _round_doubles(PipelineModel.load(path).transform(base))
+    Pipeline(stages=[stage]).fit(strat(spark, sf).filter("split = 'train'").select(*cols)).write().save(path)
+    return _round_doubles(PipelineModel.load(path).transform(V.churn_base(spark, sf).select(*cols)))
