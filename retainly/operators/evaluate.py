@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import check_row, check_rows, union_all
 from ..functions.hashing import gaussian
 from ..functions.ranking import prefix_sum
+from ..functions.stats import quantiles
 
 # ---- fixed values (business constants of the reference) ----
 CUSTOMER_LIFETIME_VALUE = 500
@@ -262,8 +263,9 @@ def probability_distribution(df: DataFrame, score: str = "p", n_bins: int = 10,
     total = bins.agg(F.sum("c")).scalar()
     h = (bins.withColumn("q", F.col("c") / total)
          .agg((-F.sum(F.col("q") * F.log2(F.col("q"))) / F.log2(F.lit(float(n_bins)))).alias("entropy")))
+    median = quantiles(df, [score], [0.5]).first()["value"]
     s = df.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"),
-               F.max(score).alias("max"), F.percentile(score, 0.5).alias("median"),
+               F.max(score).alias("max"), F.lit(median).cast("double").alias("median"),
                F.avg(((F.col(score) < 0.1) | (F.col(score) > 0.9)).cast("double")).alias("extreme_share"),
                F.avg(((F.col(score) > 0.4) & (F.col(score) < 0.6)).cast("double")).alias("uncertain_share"))
     j = s.withColumn("entropy", h.scalar())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_row, check_rows
-from ..functions.stats import t_two_sided_p
+from ..functions.stats import quantiles, t_two_sided_p
 from .run_log import AppendLog
 
 # ---- fixed values ----
@@ -57,11 +57,12 @@ def data_summary(raw: DataFrame, label: str, processed: DataFrame, splits: DataF
 
 
 def prediction_summary(pred: DataFrame, pred_col: str = "pred", prob: str = "p", segment: str = "Risk_Segment") -> DataFrame:
+    q = {r["prob"]: F.lit(r["value"]).cast("double") for r in quantiles(pred, [prob], [0.25, 0.5, 0.75]).collect()}
     a = pred.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(pred_col) == 1).alias("positives"),
                  F.count_if(F.col(pred_col) == 0).alias("negatives"),
                  (F.avg(F.col(pred_col).cast("double")) * 100).alias("rate_pct"), F.avg(prob).alias("mean_prob"),
-                 F.min(prob).alias("min_prob"), F.percentile(prob, 0.25).alias("p25_prob"), F.percentile(prob, 0.5).alias("median_prob"),
-                 F.percentile(prob, 0.75).alias("p75_prob"), F.max(prob).alias("max_prob"))
+                 F.min(prob).alias("min_prob"), q[0.25].alias("p25_prob"), q[0.5].alias("median_prob"),
+                 q[0.75].alias("p75_prob"), F.max(prob).alias("max_prob"))
     segs = pred.groupBy(F.col(segment)).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
         F.lit("predictions").alias("section"), F.concat(F.lit("segment:"), F.col(segment)).alias("metric"), "value")
     return _long(a, "predictions", ["total", "positives", "negatives", "rate_pct", "mean_prob", "min_prob", "p25_prob",
