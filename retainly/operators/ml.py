@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC,
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import closed_form
+from .boosted_stumps import BoostedStumps
 from .evaluate import auc_exact, confusion_counts, metric_columns
 
 
@@ -45,6 +47,8 @@ def make_model(name: str, n_features: int, seed: int = 42, **kw):
         return NaiveBayes(modelType="gaussian")
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 8, 2], seed=seed, maxIter=kw.get("max_iter", 100))
+    if name == "ada":
+        return BoostedStumps(kw.get("rounds", 50), seed)
     if name in closed_form.KINDS:
         return closed_form.ClosedForm(name, n_features)
     raise ValueError(name)
@@ -119,21 +123,28 @@ class ConstantBaseline:
         return data.withColumn("prediction", F.lit(1.0 if self.rate >= 0.5 else 0.0)).withColumn("score", F.lit(float(self.rate)))
 
 
-def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str = "fold", digits: int = 4, **kw) -> DataFrame:
+def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str = "fold", digits: int = 4,
+                resample: Callable[[DataFrame], DataFrame] | None = None, **kw) -> DataFrame:
     """Cross-validated metrics per model from pooled out-of-fold predictions, ordered by AUC.
 
     Fits run per model and fold; the out-of-fold predictions of all models are
     unioned with a ``model`` column and evaluated by ONE grouped aggregation.
+    ``resample`` maps the training rows of a fold to the rows to fit on (once a fold,
+    for all models); held-out rows are scored as they are.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # fold ids: k small integers
 
+    train = {f: data.filter(F.col(fold) != f) for f in folds}
+    if resample:
+        train = {f: resample(rows) for f, rows in train.items()}
+
     def fit_one(task):
         name, f = task
         t0 = time.time()
         est = ConstantBaseline() if name == "dummy" else make_model(name, n_features, **kw.get(name, {}))
-        return est.fit(data.filter(F.col(fold) != f)), time.time() - t0
+        return est.fit(train[f]), time.time() - t0
 
     tasks = [(m, f) for m in models for f in folds]
     with ThreadPoolExecutor(max_workers=8) as pool:  # independent fits share the cluster, as CrossValidator(parallelism)
@@ -156,6 +167,19 @@ def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str =
                                                        "fit_seconds")
 
 
+def holdout_board(train: DataFrame, holdout: DataFrame, models: list[str], n_features: int, digits: int = 4,
+                  resample: Callable[[DataFrame], DataFrame] | None = None, **kw) -> DataFrame:
+    """Metrics per model on ``holdout`` after one fit on all of ``train`` (resampled where ``resample`` is given)."""
+    rows = resample(train) if resample else train
+    pooled = None
+    for name in models:
+        model = (ConstantBaseline() if name == "dummy" else make_model(name, n_features, **kw.get(name, {}))).fit(rows)
+        pred = positive_score(model.transform(holdout)).select(
+            F.lit(name).alias("model"), "label", "prediction", F.col("score").cast("double").alias("score"))
+        pooled = pred if pooled is None else pooled.unionByName(pred)
+    return eval_predictions(pooled, ["model"], digits=digits)
+
+
 def train_eval(train: DataFrame, test: DataFrame, name: str, n_features: int, **kw) -> tuple[object, DataFrame]:
     model = make_model(name, n_features, **kw).fit(train)
     pred = positive_score(model.transform(test))

@@ -7,6 +7,8 @@ share is split by the skew join: one side is then a plain scan, not an aggregate
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,47 @@ def adasyn(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
     nn_min = exact_knn(mino, mino, features, k, seed=seed)
     out = _unscaled(_synthesise(rows.select(key, "qv", "qy", "_q"), _neighbour_lists(nn_min), features, key, k, seed), fit)
     return out.withColumn(label, F.lit(minority))
+
+
+METHODS = {"smote": smote, "adasyn": adasyn}
+
+
+def resampled(train: DataFrame, features: list[str], key: str, method: str = "smote", k: int = 5, seed: int = 42) -> DataFrame:
+    """(features vector, label) of the given rows and of the synthetic rows made from them alone, written once.
+
+    ``train`` has the feature columns, ``features``, ``label`` (0 or 1) and a unique key. The smaller class is the
+    minority; with fewer than k + 1 rows of it, or none of one class, nothing is added.
+    """
+    sizes = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}  # two rows
+    own = train.select("features", F.col("label").cast("double").alias("label"))
+    if len(sizes) == 2 and min(sizes.values()) > k:
+        minority = min(sizes, key=lambda y: (sizes[y], -y))
+        rows = train.select(key, *features, F.col("label").cast("int").alias("label"))
+        new = METHODS[method](rows, features, "label", key, k, minority, seed)
+        new = VectorAssembler(inputCols=features, outputCol="features").transform(new)
+        own = own.unionByName(new.select("features", F.col("label").cast("double").alias("label")))
+    return reliable_checkpoint(own)
+
+
+class Resampled(Estimator):
+    """An estimator fitted to the resampled rows of whatever it is given, so that inside ``CrossValidator`` each fold
+    resamples its own training rows: no row of the held-out fold takes part in a synthetic one. ``fit`` returns the
+    base's model, which scores rows as they are. Parameter maps are those of the base."""
+
+    def __init__(self, base, features: list[str], key: str, method: str = "smote", k: int = 5, seed: int = 42):
+        super().__init__()
+        if method not in METHODS:
+            raise ValueError(method)
+        self.base, self.features, self.key, self.method, self.k, self.seed = base, features, key, method, k, seed
+
+    def copy(self, extra=None):
+        base = self.base.copy(extra) if hasattr(self.base, "copy") else self.base
+        return Resampled(base, self.features, self.key, self.method, self.k, self.seed)
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps):
+        """One resampling for all parameter maps (a fold of ``CrossValidator``)."""
+        rows = resampled(dataset, self.features, self.key, self.method, self.k, self.seed)
+        return self.base.fitMultiple(rows, paramMaps)
+
+    def _fit(self, dataset: DataFrame):
+        return self.base.fit(resampled(dataset, self.features, self.key, self.method, self.k, self.seed))

@@ -26,7 +26,7 @@ from .registry import register
 KEY, LABEL = "c_custkey", "churn"
 #: Model comparison takes the defaults of ``make_model``; the named training steps take the reference's own counts.
 TRAIN_PARAMS = {"lr": {"max_iter": 1000}, "rf": {"n_trees": 200}, "gbt": {"n_iter": 200}}
-LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "lda", "qda", "ridge", "dummy"]
+LEADERBOARD_MODELS = ["lr", "rf", "gbt", "dt", "nb", "svc", "fm", "mlp", "lda", "qda", "ridge", "ada", "dummy"]
 TOP_MODELS = 5
 TUNING_DRAWS = 50
 TRAIN_ROWS_PER_TASK = 50_000
@@ -88,6 +88,41 @@ def q_leaderboard(spark, sf):
     return leaderboard(spark, sf)
 
 
+INNER_TEST = 0.3  # the share that setup holds out of the train rows
+
+
+def setup_data(spark, sf):
+    """(70 % of the train rows with folds, the other 30 %), both stratified, as vector tables."""
+    def build():
+        train, _ = ml_data(spark, sf)
+        s = SP.stratified_split(train.drop("fold"), "label", KEY, INNER_TEST, 43)
+        inner = SP.fold_assign(s.filter(F.col("split") == "train").drop("split"), "label", KEY, 5, 43)
+        return reliable_checkpoint(inner), reliable_checkpoint(s.filter(F.col("split") == "test").drop("split"))
+    return _memo("setup_data", spark, sf, build)
+
+
+def _resample(rows):
+    from ..operators.resample import resampled
+    return resampled(rows, FEATS, KEY, "smote", 5, 42)
+
+
+@register("leaderboard_resampled")
+def q_leaderboard_resampled(spark, sf):
+    """The board over the setup's 70 %, the training rows of every fold oversampled by themselves."""
+    def build():
+        inner, _ = setup_data(spark, sf)
+        return reliable_checkpoint(M.leaderboard(inner, LEADERBOARD_MODELS, len(FEATS), resample=_resample)
+                                   .orderBy(F.col("auc").desc(), "model"))
+    return _memo("leaderboard_resampled", spark, sf, build)
+
+
+@register("holdout_board")
+def q_holdout_board(spark, sf):
+    """Every model of the board, fitted to the oversampled 70 % and judged on the 30 % the setup held out."""
+    inner, holdout = setup_data(spark, sf)
+    return M.holdout_board(inner, holdout, LEADERBOARD_MODELS, len(FEATS), resample=_resample)
+
+
 @register("leaderboard_top")
 def q_leaderboard_top(spark, sf):
     """The whole board in order; rank 1 is the selected model."""
