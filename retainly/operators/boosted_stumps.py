@@ -1,8 +1,8 @@
-"""Adaptive boosting of decision stumps by reweighting rounds (``weightCol``), a classifier pyspark.ml lacks.
+"""Adaptive boosting of decision stumps by reweighting rounds, a classifier pyspark.ml lacks.
 
-Every round fits one weighted stump with pyspark.ml and turns it into a threshold on one feature. A row's weight is
-a function of the stumps so far, so it is an expression on the features: no weights are stored, no lineage grows,
-and a lost executor costs its running tasks only.
+Features are binned once. Every round is one aggregation: the weight of each class per feature and bin, from which
+the driver takes the best stump and its error. A row's weight is a function of the stumps so far, so it is an
+expression on the bins: no weights are stored, no lineage grows, and a lost executor costs its running tasks only.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import DecisionTreeClassifier
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 
 @dataclass(frozen=True)
 class Stump:
@@ -26,18 +28,26 @@ class Stump:
     high: int
     vote: float = 0.0
 
-    def predicts(self, x: Column) -> Column:
-        if self.feature < 0:
-            return F.lit(self.low)
-        return F.when(x[self.feature] <= F.lit(self.threshold), F.lit(self.low)).otherwise(F.lit(self.high))
 
+def best_stump(weights: np.ndarray, thresholds: list[list[float]]) -> tuple[Stump, int, float]:
+    """The stump of least Gini impurity, its bin, and the share of the weight it errs on.
 
-def _stump(model) -> Stump:
-    root = model._java_obj.rootNode()
-    if model.numNodes == 1:
-        return Stump(-1, 0.0, int(root.prediction()), int(root.prediction()))
-    split = root.split()
-    return Stump(split.featureIndex(), split.threshold(), int(root.leftChild().prediction()), int(root.rightChild().prediction()))
+    ``weights`` is (feature, bin, class); bin b of a feature holds the values above b thresholds. Ties: the first.
+    """
+    total = weights[0].sum()
+    best = (math.inf, None)
+    for f, cuts in enumerate(thresholds):
+        below = np.cumsum(weights[f], axis=0)
+        for j, t in enumerate(cuts):
+            left, right = below[j], below[-1] - below[j]
+            impurity = sum(side.sum() - (side**2).sum() / side.sum() for side in (left, right) if side.sum() > 0)
+            if impurity < best[0] - 1e-12 * total:
+                error = (left.min() + right.min()) / total
+                best = (impurity, (Stump(f, t, int(left[1] > left[0]), int(right[1] > right[0])), j, max(0.0, error)))
+    if best[1] is None:  # no feature has two values
+        sides = weights[0].sum(axis=0)
+        return Stump(-1, 0.0, int(sides[1] > sides[0]), int(sides[1] > sides[0])), 0, sides.min() / total
+    return best[1]
 
 
 def _terms(stumps: list[Stump]) -> Column:
@@ -67,38 +77,48 @@ class BoostedStumpsModel:
 class BoostedStumps:
     """Estimator with ``fit(data)`` over the columns ``features`` (vector) and ``label`` (0 or 1).
 
-    Round by round: a stump is fitted to the weighted rows, errs on a share e of the weight, gets
-    the vote log((1 - e) / e), and the rows it errs on are weighted by exp(vote). It ends after
+    Round by round: the best stump of the weighted rows errs on a share e of the weight, gets the
+    vote log((1 - e) / e), and the rows it errs on are weighted by exp(vote). It ends after
     ``rounds``, where a stump errs on none (it then decides alone), or where none is better than
-    chance. Without rows it refuses; with one class every row gets that class.
+    chance. Thresholds are at most ``bins`` - 1 quantiles a feature. Without rows it refuses; with
+    one class every row gets that class.
     """
 
-    def __init__(self, rounds: int = 50, seed: int = 42):
-        self.rounds, self.seed = rounds, seed
+    def __init__(self, rounds: int = 50, bins: int = 32):
+        self.rounds, self.bins = rounds, bins
 
     def fit(self, data: DataFrame) -> BoostedStumpsModel:
-        rows = data.select("features", "label")
-        n, positives = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+        x = vector_to_array("features")
+        n, positives, size = data.agg(F.count(F.lit(1)), F.sum("label"), F.max(F.size(x))).first()
         if not n:
             raise ValueError("no rows to fit on")
         if positives in (0, n):
             return BoostedStumpsModel([Stump(-1, 0.0, int(positives > 0), int(positives > 0), 1.0)])
+        probs = [i / self.bins for i in range(1, self.bins)]
+        row = data.agg(*[F.percentile_approx(x[i], probs).alias(f"q{i}") for i in range(size)],
+                       *[F.max(x[i]).alias(f"m{i}") for i in range(size)]).first()
+        thresholds = [sorted({t for t in row[f"q{i}"] if t < row[f"m{i}"]}) for i in range(size)]  # beyond the largest nothing is left
+        cuts = F.array(*[F.array(*[F.lit(t) for t in tt]) if tt else F.array().cast("array<double>") for tt in thresholds])
+        binned = reliable_checkpoint(data.select(F.col("label").cast("int").alias("y"), F.zip_with(
+            x, cuts, lambda v, tt: F.size(F.filter(tt, lambda t: t < v))).alias("bin")))
         stumps: list[Stump] = []
-        tree = DecisionTreeClassifier(maxDepth=1, maxBins=64, weightCol="_w", seed=self.seed)
-        x = vector_to_array("features")
-        log_weight, total = F.lit(0.0), float(n)
+        places: list[Stump] = []  # the same stumps over bins
+        log_total = 0.0  # of the weights, over that of the first round
         for _ in range(self.rounds):
-            if stumps:
-                log_weight = F.aggregate(_terms(stumps), F.lit(0.0),
-                                         lambda a, s: a + F.when(_class(s, x) != F.col("label"), s["vote"]).otherwise(0.0))
-                total = rows.agg(F.sum(F.exp(log_weight))).first()[0]
-            # weights of mean 1
-            weighted = rows.withColumn("_w", F.exp(log_weight - F.lit(math.log(total / n))))
-            s = _stump(tree.fit(weighted))
-            e = (weighted.agg(F.sum(F.when(s.predicts(x) != F.col("label"), F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0])
+            log_weight = F.aggregate(_terms(places), F.lit(0.0), lambda a, s: a + F.when(
+                _class(s, F.col("bin")) != F.col("y"), s["vote"]).otherwise(0.0)) if places else F.lit(0.0)
+            sums = (binned.select("y", F.exp(log_weight - F.lit(log_total)).alias("w"), F.posexplode("bin").alias("f", "b"))
+                    .groupBy("f", "b", "y").agg(F.sum("w").alias("w")).collect())  # at most 2 * bins rows a feature
+            weights = np.zeros((size, self.bins, 2))
+            for r in sums:
+                weights[r["f"], r["b"], r["y"]] = r["w"]
+            s, at, e = best_stump(weights, thresholds)
             if e >= 0.5 - 1e-12:
                 break
-            if e <= 0:
+            if e <= 1e-15:
                 return BoostedStumpsModel([Stump(s.feature, s.threshold, s.low, s.high, 1.0)])
-            stumps.append(Stump(s.feature, s.threshold, s.low, s.high, math.log((1 - e) / e)))
+            vote = math.log((1 - e) / e)
+            stumps.append(Stump(s.feature, s.threshold, s.low, s.high, vote))
+            places.append(Stump(s.feature, float(at), s.low, s.high, vote))
+            log_total += math.log(2 * (1 - e))
         return BoostedStumpsModel(stumps or [Stump(-1, 0.0, int(positives * 2 >= n), int(positives * 2 >= n), 1.0)])

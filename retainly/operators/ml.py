@@ -48,7 +48,7 @@ def make_model(name: str, n_features: int, seed: int = 42, **kw):
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 8, 2], seed=seed, maxIter=kw.get("max_iter", 100))
     if name == "ada":
-        return BoostedStumps(kw.get("rounds", 50), seed)
+        return BoostedStumps(kw.get("rounds", 50))
     if name in closed_form.KINDS:
         return closed_form.ClosedForm(name, n_features)
     raise ValueError(name)

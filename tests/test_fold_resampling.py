@@ -95,9 +95,13 @@ def test_leaderboard_takes_resampling_as_an_option(spark):
     assert set(board) == {"lr", "ada"} and board["ada"]["auc"] > 0.7
 
 
+def impurity(w, y, left):
+    return sum(m.sum() * 2 * p * (1 - p) for m, p in ((w[side], np.average(y[side], weights=w[side])) for side in (left, ~left) if side.any()))
+
+
 def test_boosted_stumps_equal_plain_reweighting(spark):
     data = table(spark, 200)
-    model = BoostedStumps(rounds=6).fit(data)
+    model = BoostedStumps(rounds=6, bins=16).fit(data)
     rows = data.orderBy("id").collect()
     x, y = np.array([r["features"].toArray() for r in rows]), np.array([r["label"] for r in rows])
     w, vote = np.full(len(y), 1 / len(y)), np.zeros(len(y))
@@ -105,6 +109,8 @@ def test_boosted_stumps_equal_plain_reweighting(spark):
     for s in model.stumps:
         h = np.where(x[:, s.feature] <= s.threshold, s.low, s.high) if s.feature >= 0 else np.full(len(y), s.low)
         e = w[h != y].sum()
+        assert impurity(w, y, x[:, s.feature] <= s.threshold) <= min(
+            impurity(w, y, x[:, f] <= t) for f in (0, 1) for t in np.quantile(x[:, f], np.arange(1, 16) / 16, method="inverted_cdf")) + 1e-9
         assert e < 0.5 and math.isclose(s.vote, math.log((1 - e) / e), rel_tol=1e-9)
         w = w * np.exp(s.vote * (h != y))
         w /= w.sum()
