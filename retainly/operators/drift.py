@@ -43,13 +43,14 @@ def ks_drift(df: DataFrame, cols: list[str], period: str = "period", alpha: floa
     g = prefix_sum(g, ["v"], {"c1": "cum1", "c2": "cum2"}, group_cols=["column"], inclusive=True)
     # totals as literals: one row per tested column
     n = F.create_map(*[x for r in g.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).collect()
-                       for x in (F.lit(r["column"]), F.struct(F.lit(r["n1"]).alias("n1"), F.lit(r["n2"]).alias("n2")))]
-                     or [F.lit(""), F.struct(F.lit(0).alias("n1"), F.lit(0).alias("n2"))])
+                       for x in (F.lit(r["column"]), F.struct(F.lit(r["n1"]).cast("bigint").alias("n1"), F.lit(r["n2"]).cast("bigint").alias("n2")))]
+                     or [F.lit(""), F.struct(F.lit(0).cast("bigint").alias("n1"), F.lit(0).cast("bigint").alias("n2"))])
     g = g.withColumn("_n", n[F.col("column")])
     d = (g.select("*", "_n.n1", "_n.n2")
          .groupBy("column", "n1", "n2")
          .agg(F.max(F.abs(F.col("cum1") / F.col("n1") - F.col("cum2") / F.col("n2"))).alias("d")))
-    en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # their product leaves the integers
+    en = F.sqrt(n1 * n2 / (n1 + n2))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
     p = kolmogorov_pvalue(lam)
     ok = (F.col("n1") >= min_rows) & (F.col("n2") >= min_rows)
