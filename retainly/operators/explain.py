@@ -24,6 +24,15 @@ from ..functions.hashing import gaussian, uniform
 from ..functions.stats import pearson
 
 
+FAN_ROWS_PER_TASK = 1 << 18
+
+
+def _dealt(df: DataFrame, key: str, rows: int, fan: int) -> DataFrame:
+    """``df`` dealt by key to a task per ``FAN_ROWS_PER_TASK`` rows of its fan-out: its ``rows`` fill few tasks by their
+    size, the work grows with the fan-out. What is then grouped by the key stays where it is."""
+    return df.repartition(max(1, -(-rows * fan // FAN_ROWS_PER_TASK)), key)
+
+
 def attribution_arrays(df: DataFrame, key: str, terms: dict[str, tuple[Column, float]]) -> DataFrame:
     """(key, phis array<struct<feature, value, phi>>) for a linear score sum_j w_j x_j; E[x_j] over ``df``.
 
@@ -70,8 +79,9 @@ def sampling_shapley(df: DataFrame, key: str, features: list[str], predict, n_pe
     sum_j phi_j = f(x) - f(baseline).
     """
     k = len(features)
-    base = baseline or df.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
-    fan = df.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    first = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in features]).first()
+    base = baseline or dict(zip(features, first[1:]))
+    fan = _dealt(df, key, first[0], n_perm * (k + 1)).select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     # position of each feature in the permutation: rank of a stable hash per (key, perm, feature)
     hashes = F.array(*[F.struct(uniform(seed, F.col(key), F.col("perm"), F.lit(f)).alias("h"), F.lit(i).alias("j"))
                        for i, f in enumerate(features)])
@@ -80,7 +90,7 @@ def sampling_shapley(df: DataFrame, key: str, features: list[str], predict, n_pe
     # feature i is taken from x when its position in the order is < state
     pos = {i: F.array_position(F.col("order"), F.lit(i)) - 1 for i in range(k)}
     states = states.withColumns({f: F.when(pos[i] < F.col("state"), F.col(f)).otherwise(F.lit(base[f])) for i, f in enumerate(features)})
-    scored = predict(states)
+    scored = predict(states).select(key, "perm", "order", "state", "score")
     w = Window.partitionBy(key, "perm").orderBy("state")
     diffs = (scored.withColumn("delta", F.col("score") - F.lag("score").over(w))
              .filter(F.col("state") > 0)
@@ -99,20 +109,24 @@ def local_surrogate(df: DataFrame, key: str, features: list[str], predict, n_sam
     normal equations are complete before the shuffle: one row per key leaves a task. The small systems are solved in
     batches (least norm where singular). A row with a null feature or score gets no weights.
     """
-    stds = df.agg(*[F.stddev_pop(c).alias(c) for c in features]).first().asDict()
+    first = df.agg(F.count(F.lit(1)), *[F.stddev_pop(c) for c in features]).first()
+    stds = dict(zip(features, first[1:]))
     k = len(features)
     kw = kernel_width or 0.75 * np.sqrt(k)
-    fan = df.dropna(subset=[key, *features]).select(key, *[F.col(c).cast("double").alias(c) for c in features],
-                                                    F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
+    dealt = _dealt(df.dropna(subset=[key, *features]), key, first[0], n_samples)
+    fan = dealt.select(key, *[F.col(c).cast("double").alias(c) for c in features],
+                       F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
     z = {c: F.when(F.col("s") == 0, F.lit(0.0)).otherwise(gaussian(seed, F.col(key), F.col("s"), F.lit(c))) for c in features}
     drawn = fan.withColumns({f"z_{c}": F.lit(scale) * z[c] for c in features})
     scored = predict(drawn.withColumns({c: F.col(c) + F.lit(stds[c] or 0.0) * F.col(f"z_{c}") for c in features}))
     x = [F.lit(1.0), *[F.col(f"z_{c}") for c in features]]
-    w = F.exp(-sum((v * v for v in x[2:]), x[1] * x[1]) / F.lit(float(kw) ** 2))
+    # a sample without a score has no weight, so no sum counts it; a filter here would be moved below the draws and repeat them
+    w = F.when(F.col("score").isNotNull() & ~F.isnan("score"), F.exp(-sum((v * v for v in x[2:]), x[1] * x[1]) / F.lit(float(kw) ** 2)))
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    sums = (scored.filter("score IS NOT NULL AND NOT isnan(score)").withColumn("_w", w).groupBy(key)
+    sums = (scored.withColumn("_w", w).groupBy(key)
             .agg(F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("a"),
-                 F.array(*[F.sum(F.col("_w") * v * F.col("score")) for v in x]).alias("b")))
+                 F.array(*[F.sum(F.col("_w") * v * F.col("score")) for v in x]).alias("b"))
+            .filter(F.col("a")[0].isNotNull()))
 
     def solve(batches):
         for batch in batches:
