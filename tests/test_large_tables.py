@@ -53,3 +53,28 @@ def test_sampled_shapley_values_move_rows_before_the_fan_out_only(spark):
     means = df.agg(F.avg("x"), F.avg("y")).first()
     r = {x["feature"]: x["phi"] for x in got.filter("id = 3").collect()}
     assert r["x"] == pytest.approx(3 - means[0]) and r["y"] == pytest.approx(2 * (3 - means[1]))
+
+
+def test_training_rows_fill_the_cores_in_one_wave():
+    from retainly.plans.q_ml import train_tasks
+    assert [train_tasks(n, 12) for n in (0, 1, 50_000, 72_000, 720_000, 4_320_000, 60_000_000)] == [1, 1, 1, 2, 12, 12, 60]
+
+
+def test_stack_fits_models_and_folds_together(spark, monkeypatch):
+    import threading
+
+    from retainly.operators import ml as M
+    from retainly.operators.closed_form import ClosedForm
+    met = threading.Barrier(6, timeout=60)  # two models, without each of two folds and on all rows
+
+    class Meets(ClosedForm):
+        def fit(self, data):
+            met.wait()
+            return super().fit(data)
+
+    monkeypatch.setattr(M, "make_model", lambda name, n, **kw: Meets(name, n))
+    rows = spark.range(200).select("id", F.lit(0).alias("fold"), (F.col("id") % 9).cast("double").alias("x"),
+                                   ((F.col("id") % 9 + F.col("id") % 4) > 5).cast("int").alias("y"))
+    data = M.assemble(rows.withColumn("fold", (F.col("id") % 2).cast("int")), ["x"], "y", ["id", "fold"])
+    r = M.stack(data.filter("id < 150"), data.filter("id >= 150"), ["lda", "ridge"], 1, "id").first()
+    assert r["model"] == "stack_lda_ridge" and r["auc"] > 0.8
