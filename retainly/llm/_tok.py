@@ -3,8 +3,8 @@
 ``load`` returns the library's tokenizer for a ``.json`` or ``.model`` file, once per
 Python process. ``WordCoder`` serves tokenizers that drop white space before merging
 (``words_apart``): there the ids of a text are the ids of its words in order, so a
-block's distinct words are encoded once and the ids are laid out with numpy. Its memo
-is bounded; past the bound it starts anew, which changes speed and nothing else.
+block's distinct words, less their marks and case, are encoded once and the ids are laid out
+with numpy. Its memo is bounded; past the bound it starts anew, which changes speed and nothing else.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import json
 import os
 import re
 from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
-from ._text import Block, word_hashes
+from ._text import Block, slice_hashes, spans, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -27,6 +28,70 @@ _LOADED: dict[str, object] = {}
 # ASCII marks, Latin letters, ASCII marks: no pre-token crosses these borders (an apostrophe
 # before letters may, so it never ends the first part); all letters are precomposed
 _PARTS = re.compile(r"([!-&(-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~]*)")
+# bytes of a block: ASCII letters, other visible ASCII, white space; 4 is all else, and what may join with letters or be special
+_LETTER, _MARK = 1, 2
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[ord("'"), ord("|")]] = 4
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+@dataclass
+class Units:
+    """Byte slices whose ids, one after the other, are those of the block's words: runs of letters (lower-case here), the
+    marks before and after such a run, and all other words as they are."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+    letters: np.ndarray
+    lower: np.ndarray
+    hashes: np.ndarray
+
+
+def units(b: Block, apart: bool) -> Units:
+    """The block's words; with ``apart``, words of one run of letters between marks are taken apart."""
+    n = len(b.starts)
+    if not n or not apart:
+        return Units(b.starts, b.ends, b.doc, np.zeros(n, bool), b.data, word_hashes(b))
+    size = int(b.offsets[-1])
+    kinds = _KIND[b.data]
+    held = np.bitwise_or.reduceat(kinds[:size], b.starts)  # a word and the white space after it
+    letters = held == _LETTER
+    first, last = b.starts.copy(), b.ends.copy()
+    mixed = np.flatnonzero(held == _LETTER | _MARK)
+    if len(mixed):
+        begin, end = spans(kinds[:size] == _LETTER, b.offsets)
+        run = np.searchsorted(begin, b.starts[mixed])
+        one = np.append(begin, size)[run + 1] >= b.ends[mixed]
+        mixed, run = mixed[one], run[one]
+        first[mixed], last[mixed] = begin[run], end[run]
+        letters[mixed] = True
+    starts = np.stack([b.starts, first, last], 1).ravel()
+    ends = np.stack([first, last, b.ends], 1).ravel()
+    take = np.flatnonzero(ends > starts)
+    starts, ends = starts[take], ends[take]
+    letters = letters[take // 3] & (take % 3 == 1)
+    lower = _LOWER[b.data]
+    h = np.empty(len(take), np.uint64)
+    h[letters] = slice_hashes(lower, starts[letters], ends[letters])
+    h[~letters] = slice_hashes(b.data, starts[~letters], ends[~letters])
+    return Units(starts, ends, b.doc[take // 3], letters, lower, h)
+
+
+def lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """ASCII slices without line ends, as strings."""
+    size = ends - starts
+    end = np.cumsum(size + 1)
+    out = np.empty(int(end[-1]), np.uint8)
+    out[end - 1] = 10
+    body = np.ones(len(out), bool)
+    body[end - 1] = False
+    out[body] = data[np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)]
+    return out.tobytes().decode("ascii").split("\n")[:-1]
 
 
 def load(path: str):
@@ -85,7 +150,7 @@ class WordCoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)      # sorted word hashes
+        self.keys = np.zeros(0, np.uint64)      # sorted hashes of units
         self.rows = np.zeros(0, np.int64)       # their row in ``start``
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -119,9 +184,24 @@ class WordCoder:
             parts[p] = array("I", ids).tobytes()
         return [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] + parts[c[2]] for c in cut]
 
-    def rows_of(self, b: Block) -> np.ndarray:
-        """For each word of the block, its row in the memo."""
-        codes, seen = pd.factorize(word_hashes(b).view(np.int64))
+    def _encode(self, b: Block, u: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, sizes, ids): ids of the units ``at[order]``, one after the other, and how many each has."""
+        order = np.argsort(~u.letters[at], kind="stable")
+        n = int(u.letters[at].sum())
+        runs, others = at[order[:n]], at[order[n:]]
+        sizes, ids, tokenize = [], [], self.tok.model.tokenize
+        for s in lines(u.lower, u.starts[runs], u.ends[runs]) if n else ():
+            got = [t.id for t in tokenize(s)]
+            sizes.append(len(got))
+            ids += got
+        each = self._word_ids([b.data[u.starts[k]:u.ends[k]].tobytes().decode("utf-8", "surrogatepass") for k in others])
+        sizes += [len(v) // 4 for v in each]
+        return order, np.array(sizes, np.int64), np.concatenate([np.array(ids, np.uint32), np.frombuffer(b"".join(each), np.uint32)])
+
+    def rows_of(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit of the block, its row in the memo and its document."""
+        u = units(b, self.direct)
+        codes, seen = pd.factorize(u.hashes.view(np.int64))
         seen = seen.view(np.uint64)
         if len(self.keys) + len(seen) > MEMO_WORDS and len(self.keys):
             self._reset()
@@ -133,32 +213,32 @@ class WordCoder:
         if len(fresh):
             first = np.empty(len(seen), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            ids = self._word_ids([b.word(i) for i in first[fresh]])
+            order, sizes, ids = self._encode(b, u, first[fresh])
+            fresh = fresh[order]
             base = len(self.start) - 1
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             order = np.argsort(seen[fresh])
             place = at[fresh][order]
             self.keys = np.insert(self.keys, place, seen[fresh][order])
             self.rows = np.insert(self.rows, place, base + order)
             at = np.searchsorted(self.keys, seen)
-        return self.rows[at][codes]
+        return self.rows[at][codes], u.doc
 
     def counts(self, b: Block) -> np.ndarray:
         """Tokens of each row of the block."""
-        r = self.rows_of(b)
-        return np.bincount(b.doc, weights=(self.start[r + 1] - self.start[r]), minlength=b.rows).astype(np.int64)
+        r, doc = self.rows_of(b)
+        return np.bincount(doc, weights=(self.start[r + 1] - self.start[r]), minlength=b.rows).astype(np.int64)
 
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block in order, and the row offsets into them."""
-        r = self.rows_of(b)
+        r, doc = self.rows_of(b)
         lo, size = self.start[r], self.start[r + 1] - self.start[r]
         total = int(size.sum())
         begin = np.cumsum(size) - size
         flat = np.arange(total) + np.repeat(lo - begin, size)
         off = np.zeros(b.rows + 1, np.int64)
-        np.cumsum(np.bincount(b.doc, weights=size, minlength=b.rows).astype(np.int64), out=off[1:])
+        np.cumsum(np.bincount(doc, weights=size, minlength=b.rows).astype(np.int64), out=off[1:])
         return self.ids[flat], off
 
 

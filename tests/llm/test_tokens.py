@@ -120,6 +120,25 @@ def test_word_coder_equals_the_library():
     assert got == _tok.encode_texts(odd.path(), texts)
 
 
+def test_word_coder_takes_marks_and_case_off_words():
+    import pyarrow as pa
+    rng = random.Random(5)
+    marks = ["", "", "(", "$5", "--", "'", "|", "<|", "é", "\x7f", "\x00", "1a"]
+    texts = ["".join(rng.choice([rng.choice(marks) + rng.choice(["the", "Thinreent", "ABLE", "x", ""]) + rng.choice(marks), " ", "\n"])
+                     for _ in range(rng.randrange(6))) for _ in range(3000)]
+    coder = _tok.WordCoder(odd.path())
+    got = []
+    for b in blocks(pa.array(texts, pa.string()), max_bytes=2000):
+        ids, off = coder.encode(b)
+        got += [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])]
+    assert got == _tok.encode_texts(odd.path(), texts)
+    coder = _tok.WordCoder(odd.path())
+    plain = [f"{a}{w}{z}" for w in ("thinreent", "Thinreent", "THINREENT") for a in ("", "(", "--") for z in ("", ".", "),")]
+    for b in blocks(pa.array(plain, pa.string())):  # adjacent rows without white space between them
+        coder.encode(b)
+    assert len(coder.keys) == 5  # the letters, and each run of marks
+
+
 def test_word_coder_memo_may_start_anew(monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(_tok, "MEMO_WORDS", 50)
