@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from retainly.llm import decontamination as D
 from retainly.llm import lm_scores, quality_classifier, quality_rules, secret_scan
-from retainly.llm._text import word_hashes
+from retainly.llm._text import blocks, word_hashes
 from retainly.sources.tables import load_table
 
 from . import brute, odd
@@ -71,6 +72,38 @@ def test_lm_words_outside_the_vocabulary_keep_their_counts(spark, vocabulary, mi
         assert got[d].n_words == n and got[d].score == pytest.approx(s, rel=1e-9, abs=1e-6)
 
 
+def test_lm_bigrams_travel_many_to_a_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    data = [(i % 90 if i % 30 else None, " ".join(["of the"] * (i % 3) + [words[(i * 7 + j * j) % 300] for j in range(60)]), None, None)
+            for i in range(180)]
+    docs = odd.frame(spark, data).select("doc_id", "text").coalesce(1)
+    v, _ = lm_scores.learn_vocabulary(docs)
+    assert len(v.common)  # found by their share of a block
+    pair = word_hashes(next(blocks(pa.array(["of the"]))))
+    v.set_common(pair[:1], pair[1:])
+    v.common_total[:] = 180
+    shared = spark.sparkContext.broadcast(v)
+    rows = lm_scores._bigram_rows(docs, shared, 4, 2)
+    assert rows.count() <= 4 + 1  # one a bucket and one of sums, where there were thousands
+    got = {r.doc: r.gain for r in lm_scores._gains(rows, shared, 2).collect()}
+    seen, each, single = {}, {}, {}
+    for d, t, _, _ in data:
+        w = t.split()
+        for x, y in zip(w, w[1:]):
+            seen[x, y] = seen.get((x, y), 0) + 1
+            single[x] = single.get(x, 0) + 1
+        single[w[-1]] = single.get(w[-1], 0) + 1
+    assert seen["of", "the"] == 180
+    total = sum(single.values())
+    for d, t, _, _ in data:
+        w = t.split()
+        for x, y in zip(w, w[1:]):
+            if seen[x, y] >= 2:
+                each[d] = each.get(d, 0) + math.log(seen[x, y] / single[x]) - math.log(0.4 * single[y] / total)
+    assert len(v.common) == 1 and set(got) == set(each)
+    assert all(got[d] == pytest.approx(each[d], rel=1e-9, abs=1e-9) for d in each)
+
+
 def test_quality_held_out_accuracy_and_folds(spark):
     docs, labels = load_table(spark, "/root/testdata/sf0.1", "documents"), load_table(spark, "/root/testdata/sf0.1", "labels")
     got = quality_classifier.quality_scores(docs, labels)
