@@ -6,8 +6,8 @@
    vectors to cells; each cell keeps the true minimum and maximum of every dimension. The sample decides
    how well cells prune, never what is found.
 3. A query meets its own cell: the distance of its k-th neighbour there bounds the true one.
-4. It then goes to every cell whose box is no farther than that bound; each returns at most k candidates
-   and the nearest k of all are kept.
+4. It then goes to every cell whose box is no farther than that bound, found down the tree of boxes; each returns
+   at most k candidates and the nearest k of all are kept.
 
 A cell's queries are dealt in blocks of ``BLOCK`` rows, so a task holds one cell's distinct vectors and one block.
 Distances are sums of squares in column order; ties go by (vector, label). Rows with a null or NaN feature
@@ -61,6 +61,37 @@ class Cells:
         return node - ((1 << self.depth) - 1)
 
 
+class Boxes:
+    """The bounds of cells and of all nodes above them, heap numbered: what is too far from a node is too far from its cells."""
+
+    def __init__(self, number: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int):
+        self.first = (1 << depth) - 1  # the node of cell 0
+        self.low = np.full((2 * self.first + 1, low.shape[1]), np.inf)
+        self.high = -self.low
+        self.low[self.first + number], self.high[self.first + number] = low, high
+        for node in range(self.first - 1, -1, -1):
+            self.low[node] = np.minimum(self.low[2 * node + 1], self.low[2 * node + 2])
+            self.high[node] = np.maximum(self.high[2 * node + 1], self.high[2 * node + 2])
+        self.full = (self.low <= self.high).all(axis=1)
+
+    def within(self, v: np.ndarray, r: np.ndarray):
+        """(row, cell) of each cell with rows whose box is no farther than the row's ``r``, in order of rows, and the boxes compared."""
+        row, node, compared = np.arange(len(v)), np.zeros(len(v), np.int64), 0
+        while True:
+            keep = self.full[node]
+            row, node = row[keep], node[keep]
+            gap = np.zeros(len(row))
+            for j in range(v.shape[1]):  # squares in column order as in distances, so rounding never loses a cell
+                p = v[row, j]
+                gap += np.maximum(np.maximum(self.low[node, j] - p, p - self.high[node, j]), 0.0) ** 2
+            compared += len(row)
+            keep = np.sqrt(gap) <= r[row]
+            row, node = row[keep], node[keep]
+            if not len(node) or node[0] >= self.first:
+                return row, node - self.first, compared
+            row, node = np.repeat(row, 2), (2 * node[:, None] + [1, 2]).ravel()
+
+
 def _matrix(column, dims: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), dtype=float).reshape(-1, dims)
@@ -133,6 +164,7 @@ def exact_knn(refs: DataFrame, queries: DataFrame, features: list[str], k: int,
     edge = edge.toArrow()  # at most MAX_CELLS rows
     number = edge["cell"].to_numpy()
     low, high = (np.stack([edge[f"{s}{j}"].to_numpy() for j in range(dims)], 1) for s in ("lo", "hi"))
+    boxes = Boxes(number, low, high, depth)
 
     asked = queries.filter(present).select(vec.alias("v"), lab.alias("y")).distinct()
     y_type = d.schema["y"].dataType.simpleString()
@@ -159,17 +191,13 @@ def exact_knn(refs: DataFrame, queries: DataFrame, features: list[str], k: int,
     def routed(batches):
         for x in batches:
             v, r = _matrix(x.column("v"), dims), x.column("r").to_numpy()
-            step = max(1, PAIRS // max(1, len(number)))
+            step = max(1, PAIRS >> depth)  # pairs held at once, should a row go to every cell
             for i in range(0, len(v), step):
-                gap = np.zeros((len(v[i:i + step]), len(number)))
-                for j in range(dims):  # squares in column order as in distances, so rounding never loses a cell
-                    p = v[i:i + step, j, None]
-                    gap += np.maximum(np.maximum(low[None, :, j] - p, p - high[None, :, j]), 0.0) ** 2
-                row, cell = np.nonzero(np.sqrt(gap) <= r[i:i + step, None])
+                row, cell, _ = boxes.within(v[i:i + step], r[i:i + step])
                 for a in range(0, len(row), 50_000):
                     at = pa.array(i + row[a:a + 50_000])
                     yield pa.RecordBatch.from_arrays([*(x.column(c).take(at) for c in ("vid", "v", "y")),
-                                                      pa.array(number[cell[a:a + 50_000]].astype(np.int32))], ["vid", "v", "y", "cell"])
+                                                      pa.array(cell[a:a + 50_000].astype(np.int32))], ["vid", "v", "y", "cell"])
 
     goes = reliable_checkpoint(bounded.mapInArrow(routed, q_schema))
 

@@ -79,6 +79,24 @@ def test_a_query_visits_few_cells():
     assert visits.mean() < 4
 
 
+@pytest.mark.parametrize("depth", [0, 3, 10])
+def test_a_query_is_compared_with_few_boxes_and_goes_to_the_same_cells(depth):
+    rng = np.random.default_rng(4)
+    pts = rng.random((6000, 2))
+    cells = N.Cells(pts, depth)
+    cell = cells.of(pts)
+    number = rng.permutation(np.unique(cell)[1:] if depth else np.unique(cell))  # a cell may have no rows
+    low, high = (np.stack([f(pts[cell == c], axis=0) for c in number]) for f in (np.min, np.max))
+    asked = pts[:500]
+    r = np.where(np.arange(500) % 50 == 0, np.inf, 0.02)
+    row, got, compared = N.Boxes(number, low, high, depth).within(asked, r)
+    gap = np.maximum(np.maximum(low[None] - asked[:, None], asked[:, None] - high[None]), 0)
+    want_row, at = np.nonzero(np.sqrt((gap ** 2).sum(2)) <= r[:, None])
+    assert sorted(zip(row, got)) == sorted(zip(want_row, number[at])) and (np.diff(row) >= 0).all()
+    assert compared <= 10 * 2 * len(number) + 490 * 100 < 500 * len(number) or depth < 10
+    assert all(len(x) == 0 for x in N.Boxes(number, low, high, depth).within(asked[:0], r[:0])[:2])
+
+
 def psi(n):
     return -0.57721566490153286 + math.fsum(1 / i for i in range(1, n))
 
