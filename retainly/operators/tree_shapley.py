@@ -6,10 +6,12 @@ and all other splits send it both ways, in proportion to the training rows behin
 A leaf with value v and d different features on its path adds to that value the product over
 those features of one_i (the row takes all of the path's splits on i) for i in S, and zero_i (the
 share of training rows that do) for the others, times v. Its Shapley values therefore depend on
-the row only through the d bits one_i: a block of rows is reduced to the bit patterns that occur,
-the sums over coalitions are polynomials in the coalition's size, and rows gather their pattern's
-values. No permutations, no coalitions are enumerated, and rows never leave their task: the
-ensemble is broadcast (bounded by its number of nodes) and the table is read once.
+the row only through the d bits one_i, and the sums over coalitions are polynomials in the coalition's
+size. Leaves on the same features are summed before any row is read: one table holds their values
+for every cell of the grid of their cuts (at most ``GRID`` cells), and a row gathers from its cell. For
+leaves on more features, or on categories, a block of rows is reduced to the bit patterns that occur.
+No permutations, no coalitions are enumerated. The tables are broadcast (bounded by the ensemble, not
+by the rows); rows are dealt evenly to a task per ``ROWS_PER_TASK``.
 
 Boosted trees are explained on the margin (the probability is 1 / (1 + exp(-2 margin))), forests
 on the probability of class 1.
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
+GRID = 1 << 16
+ROWS_PER_TASK = 1 << 17
 
 
 @dataclass
@@ -111,6 +115,63 @@ def shapley_matrix(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     return phi
 
 
+@dataclass
+class Table:
+    """Summed values of leaves on the same features: a column of ``values`` a feature, a row a cell of the grid of ``cuts``."""
+
+    features: tuple[int, ...]
+    cuts: list  # a feature's cuts, ascending; an entry's place is the number of cuts below it (NaN: all)
+    values: np.ndarray
+
+
+def _table(features: tuple[int, ...], leaves: list[Leaf], cuts: list) -> Table:
+    d = len(features)
+    patterns = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+    places = [np.arange(len(c) + 1) for c in cuts]
+    values = np.zeros((d, np.prod([len(p) for p in places])))
+    for leaf in leaves:
+        pattern = np.zeros(1, np.int64)
+        for i, (c, at) in enumerate(zip(cuts, places)):
+            takes = (at > (np.searchsorted(c, leaf.low[i]) if leaf.low[i] > -np.inf else -1)) & (at <= np.searchsorted(c, leaf.high[i]))
+            pattern = np.add.outer(pattern, takes.astype(np.int64) << i).ravel()
+        values += (leaf.value * leaf_values(patterns, leaf.zero)).T[:, pattern]
+    return Table(features, cuts, values)
+
+
+def tabled(leaves: list[Leaf], grid: int | None = None) -> tuple[list[Table], list[Leaf]]:
+    """Tables of the leaves whose grid has at most ``grid`` cells, and the leaves left over."""
+    groups: dict[tuple, list[Leaf]] = {}
+    plain = [x for x in leaves if len(x.features) and any(a is not None for a in x.among)]
+    for leaf in leaves:
+        if len(leaf.features) and all(a is None for a in leaf.among):
+            groups.setdefault(tuple(leaf.features.tolist()), []).append(leaf)
+    tables = []
+    for features, group in sorted(groups.items()):
+        edges = [np.unique([e for x in group for e in (x.low[i], x.high[i])]) for i in range(len(features))]
+        cuts = [e[np.isfinite(e)] for e in edges]
+        if np.prod([len(c) + 1.0 for c in cuts]) <= (GRID if grid is None else grid):
+            tables.append(_table(features, group, cuts))
+        else:
+            plain += group
+    return tables, plain
+
+
+def tabled_matrix(x: np.ndarray, tables: list[Table], plain: list[Leaf]) -> np.ndarray:
+    """``shapley_matrix`` of the leaves behind ``tables`` and ``plain``."""
+    phi = np.ascontiguousarray(shapley_matrix(x, plain).T)
+    used = sorted({f for t in tables for f in t.features})
+    cuts = {f: np.unique(np.concatenate([c for t in tables for g, c in zip(t.features, t.cuts) if g == f])) for f in used}
+    place = {f: np.searchsorted(cuts[f], x[:, f]) for f in used}  # numbers of cuts below; NaN sorts last
+    for t in tables:
+        cell = np.zeros(len(x), np.int64)
+        for f, c in zip(t.features, t.cuts):
+            own = np.concatenate([[0], np.searchsorted(c, cuts[f], side="right")])  # the place among the table's cuts
+            cell = cell * (len(c) + 1) + own[place[f]]
+        for f, v in zip(t.features, t.values):
+            phi[f] += v[cell]
+    return phi.T
+
+
 def base_value(leaves: list[Leaf]) -> float:
     """The ensemble's expectation over its training rows: the value of the empty coalition."""
     return float(sum(leaf.value * leaf.zero.prod() for leaf in leaves))
@@ -121,9 +182,10 @@ def tree_shapley(df: DataFrame, key: str, features: list[str], leaves: list[Leaf
 
     ``features`` in the order of the model's vector. A null feature counts as not a number.
     """
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(tabled(leaves))
     base = base_value(leaves)
     narrow = df.select(key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    narrow = narrow.repartition(max(1, -(-df.count() // ROWS_PER_TASK)))  # rows fill few tasks by their size, the output is wide
     kind = dict(narrow.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +193,9 @@ def tree_shapley(df: DataFrame, key: str, features: list[str], leaves: list[Leaf
             for i in range(0, whole.num_rows, BLOCK_ROWS):
                 b = whole.slice(i, BLOCK_ROWS)
                 x = np.column_stack([b.column(k).fill_null(np.nan).to_numpy(zero_copy_only=False) for k in range(1, b.num_columns)])
-                phi = shapley_matrix(x, shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(phi.tolist(), pa.list_(pa.float64()))], names=[key, "phi"])
+                phi = tabled_matrix(x, *shared.value)
+                ends = pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=[key, "phi"])
 
     arrays = narrow.mapInArrow(run, f"`{key}` {kind}, phi array<double>")
     named = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("phi").alias("phi"))

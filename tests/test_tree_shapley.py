@@ -103,3 +103,35 @@ def test_sampled_values_of_independent_features_agree(spark):
     want = sampling_shapley(df, "k", ["a", "b"], lambda d: d.withColumn("score", sign[0] + sign[1]), n_perm=4, baseline={"a": 0.0, "b": 0.0})
     a, b = ({(r.k, r.feature): round(r.phi, 9) for r in x.collect()} for x in (T.tree_shapley(df, "k", ["a", "b"], leaves), want))
     assert a == b
+
+
+@pytest.mark.parametrize("grid", [0, 6, 1 << 16])
+def test_tables_of_leaves_equal_leaf_by_leaf(spark, fitted, grid):
+    _, _, path = fitted
+    leaves = T.saved_ensemble(spark, path) + [
+        T.Leaf(1.5, np.array([1]), np.array([0.25]), np.array([-np.inf]), np.array([np.inf]), [{0.0, 0.5}]),
+        T.Leaf(-2.0, np.array([], int), np.array([]), np.array([]), np.array([]), [])]
+    tables, plain = T.tabled(leaves, grid)
+    assert all(len(t.values[0]) <= grid for t in tables) and bool(tables) == (grid > 0)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.column_stack([rng.random((400, 3)).round(2), rng.integers(0, 4, 400)]),
+                        [[t] * 4 for leaf in leaves for t in leaf.high if np.isfinite(t)], [[np.nan] * 4, [np.inf] * 4]])
+    assert np.allclose(T.tabled_matrix(x, tables, plain), T.shapley_matrix(x, leaves), atol=1e-12)
+    assert T.tabled_matrix(x[:0], tables, plain).shape == (0, 4)
+
+
+def test_rows_meet_tables_of_the_ensemble_not_its_leaves():
+    """200 rounds on the same few features: as many tables as sets of features, in tasks by the number of rows."""
+    rng = np.random.default_rng(2)
+    leaves = [T.Leaf(1.0, np.array([f, f + 1]), np.array([0.5, 0.5]), rng.integers(0, 5, 2) / 10, rng.integers(6, 9, 2) / 10, [None, None])
+              for f in (0, 1) for _ in range(800)]
+    tables, plain = T.tabled(leaves)
+    assert len(tables) == 2 and not plain
+
+
+def test_rows_in_one_task_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 100)
+    leaf = T.Leaf(1.0, np.array([0]), np.array([0.5]), np.array([499.0]), np.array([np.inf]), [None])
+    got = T.tree_shapley(spark.range(0, 1000, 1, 1).select("id", F.col("id").cast("double").alias("x")), "id", ["x"], [leaf])
+    assert got.rdd.getNumPartitions() == 10
+    assert {(r.phi, r["count"]) for r in got.groupBy("phi").count().collect()} == {(-0.5, 500), (0.5, 500)}
