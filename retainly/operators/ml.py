@@ -38,7 +38,8 @@ def make_model(name: str, n_features: int, seed: int = 42, **kw):
     if name == "lr":
         return LogisticRegression(maxIter=kw.get("max_iter", 1000), regParam=kw.get("reg", 0.0))
     if name == "rf":
-        return RandomForestClassifier(numTrees=kw.get("n_trees", 100), maxDepth=kw.get("max_depth", 8), seed=seed)
+        return RandomForestClassifier(numTrees=kw.get("n_trees", 100), maxDepth=kw.get("max_depth", 8), seed=seed,
+                                      cacheNodeIds=kw.get("keep_node_ids", False))
     if name == "gbt":
         return GBTClassifier(maxIter=kw.get("n_iter", 100), maxDepth=kw.get("max_depth", 3), seed=seed)
     if name == "dt":
@@ -185,7 +186,7 @@ def holdout_board(train: DataFrame, holdout: DataFrame, models: list[str], n_fea
 
 
 def train_eval(train: DataFrame, test: DataFrame, name: str, n_features: int, **kw) -> tuple[object, DataFrame]:
-    model = make_model(name, n_features, **kw).fit(train)
+    model = make_model(name, n_features, **{"keep_node_ids": True, **kw}).fit(train)
     pred = positive_score(model.transform(test))
     return model, eval_predictions(pred).withColumn("model", F.lit(name))
 
@@ -257,21 +258,29 @@ def vote(preds: dict[str, DataFrame], key: str, method: str = "soft") -> DataFra
 
 def ensemble_vote(train: DataFrame, test: DataFrame, models: list[str], n_features: int, key: str, method: str = "soft",
                   params: dict | None = None, fitted: dict | None = None) -> DataFrame:
-    """Test metrics of each model and of their vote; ``fitted`` holds models that need no fit."""
+    """Test metrics of each model and of their vote; ``fitted`` holds models that need no fit.
+
+    A forest keeps the node of each row in each tree (in memory, else on disk): the same trees, without sending each row
+    through every tree at every depth. A model is evaluated while others are still fitted.
+    """
     from concurrent.futures import ThreadPoolExecutor
 
     params, fitted = params or {}, fitted or {}
 
     def scored(m):
-        model = fitted[m] if m in fitted else make_model(m, n_features, **params.get(m, {})).fit(train)
+        model = fitted[m] if m in fitted else make_model(m, n_features, **{"keep_node_ids": True, **params.get(m, {})}).fit(train)
         return reliable_checkpoint(positive_score(model.transform(test)).select(key, "label", "score", "prediction"))  # rows are scored once
 
+    def evaluated(name, pred):  # one row a model
+        return reliable_checkpoint(eval_predictions(pred()).withColumn("model", F.lit(name)))
+
     with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
-        preds = dict(zip(models, pool.map(scored, models)))
-    out = eval_predictions(reliable_checkpoint(vote(preds, key, method))).withColumn("model", F.lit(f"ensemble_{method}"))
-    for m in models:
-        out = out.unionByName(eval_predictions(preds[m]).withColumn("model", F.lit(m)))
-    out = reliable_checkpoint(out)  # one row a model, read twice
+        preds = {m: pool.submit(scored, m) for m in models}  # before what waits for them
+        rows = [pool.submit(evaluated, m, preds[m].result) for m in models]
+        voted = reliable_checkpoint(vote({m: p.result() for m, p in preds.items()}, key, method))
+        out = evaluated(f"ensemble_{method}", lambda: voted)
+        for r in rows:
+            out = out.unionByName(r.result())
     best = out.filter(F.col("model") != f"ensemble_{method}").agg(F.max("auc")).scalar()
     return out.withColumn("delta_to_best_auc", F.round(F.col("auc") - best, 4))
 
