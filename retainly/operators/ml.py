@@ -31,6 +31,7 @@ from .evaluate import auc_exact, confusion_counts, metric_columns
 
 NODE_ID_BYTES = 2 << 30  # kept by the forests of a search
 FITS_AT_ONCE = 8  # independent fits share the cluster, as CrossValidator(parallelism) does
+LONGEST_FIRST = ("gbt", "rf", "fm", "svc", "lr", "mlp")  # so that no long fit is left when the others have ended
 
 
 def make_model(name: str, n_features: int, seed: int = 42, **kw):
@@ -128,14 +129,16 @@ class ConstantBaseline:
         return data.withColumn("prediction", F.lit(1.0 if self.rate >= 0.5 else 0.0)).withColumn("score", F.lit(float(self.rate)))
 
 
-def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str = "fold", digits: int = 4,
-                resample: Callable[[DataFrame], DataFrame] | None = None, **kw) -> DataFrame:
-    """Cross-validated metrics per model from pooled out-of-fold predictions, ordered by AUC.
+def _begun(name: str) -> int:
+    return LONGEST_FIRST.index(name) if name in LONGEST_FIRST else len(LONGEST_FIRST)
 
-    Fits run per model and fold; the out-of-fold predictions of all models are
-    unioned with a ``model`` column and evaluated by ONE grouped aggregation.
-    ``resample`` maps the training rows of a fold to the rows to fit on (once a fold,
-    for all models); held-out rows are scored as they are.
+
+def fold_scores(data: DataFrame, models: list[str], n_features: int, fold: str = "fold", keep=(),
+                resample: Callable[[DataFrame], DataFrame] | None = None, **kw) -> dict[tuple[str, int], tuple[DataFrame, float]]:
+    """Each model fitted without each fold: {(model, fold): (its scores of the fold's rows, seconds of the fit)}.
+
+    Scores are written once, while other models are fitted: (keep, label, prediction, score). The factorization machine
+    fits all folds in the same passes. Forests keep the node of each row in each tree (the same trees) where these fit.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -144,29 +147,47 @@ def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str =
     train = {f: data.filter(F.col(fold) != f) for f in folds}
     if resample:
         train = {f: resample(rows) for f, rows in train.items()}
+    params = {name: kw.get(name, {}) for name in models}
+    if "rf" in params and not resample:
+        params["rf"] = {"keep_node_ids": node_ids_fit(data.count(), params["rf"].get("n_trees", 100), len(folds)), **params["rf"]}
 
-    def fit_one(task):
-        name, f = task
+    def scored(task):
+        name, some = task
         t0 = time.time()
-        est = ConstantBaseline() if name == "dummy" else make_model(name, n_features, **kw.get(name, {}))
-        return est.fit(train[f]), time.time() - t0
-
-    tasks = [(m, f) for m in models for f in folds]
+        est = ConstantBaseline() if name == "dummy" else make_model(name, n_features, **params[name])
+        fitted = est.fit_folds(data, fold, some) if len(some) > 1 else {f: est.fit(train[f]) for f in some}
+        took, out = (time.time() - t0) / len(some), {}
+        for f, model in fitted.items():
+            p = positive_score(model.transform(data.filter(F.col(fold) == f)))
+            out[(name, f)] = reliable_checkpoint(p.select(*keep, "label", "prediction", F.col("score").cast("double").alias("score"))), took
+        return out
+
+    tasks = [(m, some) for m in sorted(models, key=_begun) for some in ([folds] if m == "fm" and not resample else [[f] for f in folds])]
+    out = {}
     with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
-        fitted = dict(zip(tasks, pool.map(fit_one, tasks)))
-    preds, secs = [], {}
+        for got in pool.map(scored, tasks):
+            out |= got
+    return out
+
+
+def leaderboard(data: DataFrame, models: list[str], n_features: int, fold: str = "fold", digits: int = 4,
+                resample: Callable[[DataFrame], DataFrame] | None = None, scores: dict | None = None, **kw) -> DataFrame:
+    """Cross-validated metrics per model from pooled out-of-fold predictions, ordered by AUC.
+
+    Fits run per model and fold; the out-of-fold predictions of all models are
+    unioned with a ``model`` column and evaluated by ONE grouped aggregation.
+    ``resample`` maps the training rows of a fold to the rows to fit on (once a fold,
+    for all models); held-out rows are scored as they are. ``scores`` holds what ``fold_scores`` gave.
+    """
+    scores = scores or fold_scores(data, models, n_features, fold, (), resample, **kw)
+    pooled, secs = None, {m: 0.0 for m in models}
     for name in models:
-        parts = [fitted[(name, f)][0].transform(data.filter(F.col(fold) == f)) for f in folds]
-        parts = [p if name == "dummy" else positive_score(p) for p in parts]
-        pred = parts[0]
-        for p in parts[1:]:
-            pred = pred.unionByName(p)
-        secs[name] = 0.0 if name == "dummy" else sum(fitted[(name, f)][1] for f in folds)
-        preds.append(pred.select(F.lit(name).alias("model"), "label", "prediction", F.col("score").cast("double").alias("score")))
-    pooled = preds[0]
-    for p in preds[1:]:
-        pooled = pooled.unionByName(p)
-    ev = eval_predictions(reliable_checkpoint(pooled), ["model"], digits=digits)  # rows are scored once
+        for m, f in sorted(k for k in scores if k[0] == name):
+            p, took = scores[(m, f)]
+            p = p.select(F.lit(name).alias("model"), "label", "prediction", "score")
+            pooled = p if pooled is None else pooled.union(p)
+            secs[name] += 0.0 if name == "dummy" else took
+    ev = eval_predictions(pooled, ["model"], digits=digits)
     timing = data.sparkSession.createDataFrame([(m, round(t, 3)) for m, t in secs.items()], "model string, fit_seconds double")
     return ev.join(F.broadcast(timing), "model").select("model", "accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc",
                                                        "fit_seconds")
@@ -286,25 +307,29 @@ def ensemble_vote(train: DataFrame, test: DataFrame, models: list[str], n_featur
 
 
 def stack(train: DataFrame, test: DataFrame, base_models: list[str], n_features: int, key: str, fold: str = "fold",
-          params: dict | None = None) -> DataFrame:
+          params: dict | None = None, scores: dict | None = None) -> DataFrame:
     """Out-of-fold base scores on train feed a logistic meta-model; evaluated on test.
 
-    The fits of all models, without each fold and on all rows, are independent and run ``FITS_AT_ONCE`` together.
+    The fits of all models, without each fold and on all rows, are independent and run ``FITS_AT_ONCE`` together; rows are
+    scored once, while other models are fitted. ``scores`` holds by (model, fold) what ``fold_scores`` gave for these
+    rows and parameters, with the key: they need no second fit.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    params = params or {}
+    params, scores = params or {}, scores or {}
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())  # fold ids: k small integers
+    tasks = sorted(((m, f) for m in base_models for f in [None, *folds] if (m, f) not in scores), key=lambda t: _begun(t[0]))
+    node_ids = "rf" in base_models and node_ids_fit(train.count(), params.get("rf", {}).get("n_trees", 100), sum(m == "rf" for m, _ in tasks))
 
     def scored(task):
         m, f = task
         rows, held = (train, test) if f is None else (train.filter(F.col(fold) != f), train.filter(F.col(fold) == f))
-        model = make_model(m, n_features, **params.get(m, {})).fit(rows)
-        return positive_score(model.transform(held)).select(key, "label", F.col("score").alias(f"s_{m}"))
+        model = make_model(m, n_features, **{"keep_node_ids": node_ids, **params.get(m, {})}).fit(rows)
+        return reliable_checkpoint(positive_score(model.transform(held)).select(key, "label", "score"))
 
-    tasks = [(m, f) for m in base_models for f in [*folds, None]]
     with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
-        parts = dict(zip(tasks, pool.map(scored, tasks)))
+        parts = dict(zip(tasks, pool.map(scored, tasks))) | {k: p for k, (p, _) in scores.items()}
+    parts = {(m, f): p.select(key, "label", F.col("score").alias(f"s_{m}")) for (m, f), p in parts.items()}
     oof, test_scores = None, None
     for m in base_models:
         p = parts[(m, folds[0])]

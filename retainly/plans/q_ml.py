@@ -66,10 +66,17 @@ def ml_data(spark, sf):
     return _memo("ml_data", spark, sf, build)
 
 
+def fold_scores(spark, sf):
+    """The out-of-fold scores of the board's models."""
+    train, _ = ml_data(spark, sf)
+    return _memo("fold_scores", spark, sf, lambda: M.fold_scores(train, LEADERBOARD_MODELS, len(FEATS), keep=[KEY]))
+
+
 def leaderboard(spark, sf):
     def build():
         train, _ = ml_data(spark, sf)
-        return reliable_checkpoint(M.leaderboard(train, LEADERBOARD_MODELS, len(FEATS)).orderBy(F.col("auc").desc(), "model"))
+        board = M.leaderboard(train, LEADERBOARD_MODELS, len(FEATS), scores=fold_scores(spark, sf))
+        return reliable_checkpoint(board.orderBy(F.col("auc").desc(), "model"))
     return _memo("leaderboard", spark, sf, build)
 
 
@@ -146,8 +153,9 @@ def q_blend_vote(spark, sf):
 
 @register("stack")
 def q_stack(spark, sf):
+    """The board's models without each fold have the rows, parameters and seeds of those of the stack, so their scores are taken."""
     train, test = ml_data(spark, sf)
-    return M.stack(train, test, _top_models(spark, sf, TOP_MODELS), len(FEATS), KEY, "fold")
+    return M.stack(train, test, _top_models(spark, sf, TOP_MODELS), len(FEATS), KEY, "fold", scores=fold_scores(spark, sf))
 
 
 def _model_path(spark, sf, name):

@@ -51,3 +51,20 @@ def test_sparse_vectors_are_the_dense_ones(spark):
 def test_other_labels_are_refused(rows):
     with pytest.raises(Exception, match="labels must be 0 or 1"):
         BlockFMClassifier(seed=1).fit(rows.withColumn("label", F.col("label") + 1))
+
+
+def test_the_fits_without_each_fold_share_their_passes(spark, rows):
+    """The same models, bit by bit, as of fits of their own; a pass is one job, not one a fold."""
+    data = rows.withColumn("fold", F.monotonically_increasing_id() % 3).checkpoint()
+    est = BlockFMClassifier(seed=42, stepSize=0.01, maxIter=12, factorSize=2)
+    alone = {f: est.fit(data.filter(F.col("fold") != f)) for f in range(3)}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = jobs()
+    got = est.fit_folds(data, "fold", [0, 1, 2])
+    assert jobs() - before < 2 * 12
+    for f in range(3):
+        assert got[f].intercept == alone[f].intercept and (got[f].linear.toArray() == alone[f].linear.toArray()).all()
+        assert (got[f].factors.toArray() == alone[f].factors.toArray()).all()
+    assert got[0].intercept != got[1].intercept
+    gd = BlockFMClassifier(seed=42, maxIter=3, solver="gd")
+    assert gd.fit_folds(data, "fold", [0, 1])[1].intercept == gd.fit(data.filter("fold != 1")).intercept
